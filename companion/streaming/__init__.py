@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference has no streaming surface (no stream sources, watermarks,
+windows over time or state), so nothing is built here; every pipeline is a
+batch plan.  The folder is kept so the package layout stays uniform.
+"""
