@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from companion.operators.reshape import as_base_ratings, as_comp_ratings
 
 
-def companion_relation(meta_flat: DataFrame, list_col: str = "also_bought") -> DataFrame:
-    """One ``(asin, compProd)`` row per list element.
+def companion_relation(meta_flat: DataFrame, list_col: str = "also_bought",
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """One ``([keep...,] asin, compProd)`` row per list element.
 
     Items with a null or empty list keep one row with a null ``compProd``
     (``explode_outer``), as the reference's stacked join does."""
-    return meta_flat.select("asin", F.explode_outer(list_col).alias("compProd"))
+    return meta_flat.select(*keep, "asin", F.explode_outer(list_col).alias("compProd"))
 
 
 def companion_ids(rel: DataFrame) -> DataFrame:

@@ -47,6 +47,32 @@ metadata_lists AS (
 metadata_flat AS (
   SELECT i.asin, i.title, i.price, m.also_bought
   FROM items i LEFT JOIN metadata_lists m ON i.asin = m.asin),
+meta_relation AS (
+  SELECT m.asin, u.compProd FROM metadata_flat m
+  LEFT JOIN LATERAL (SELECT unnest(m.also_bought) AS compProd) u ON true),
+cat_reviews AS (
+  SELECT r.reviewerID, r.asin, r.overall, i.category FROM reviews r JOIN items i ON r.asin = i.asin),
+cat_meta AS (
+  SELECT m.asin, m.also_bought, i.category FROM metadata_flat m JOIN items i ON m.asin = i.asin),
+cat_relation AS (
+  SELECT m.category, m.asin, u.compProd FROM cat_meta m
+  LEFT JOIN LATERAL (SELECT unnest(m.also_bought) AS compProd) u ON true),
+cat_per_product AS (
+  SELECT category, asin, count(overall) AS n FROM cat_reviews GROUP BY category, asin),
+cat_per_user AS (
+  SELECT category, reviewerID, count(overall) AS n FROM cat_reviews
+  WHERE reviewerID IS NOT NULL GROUP BY category, reviewerID),
+cat_comp_user AS (
+  SELECT category, reviewerID, count(DISTINCT asin) AS n FROM cat_reviews r
+  WHERE reviewerID IS NOT NULL AND EXISTS (
+    SELECT 1 FROM cat_relation c WHERE c.compProd = r.asin AND c.category = r.category
+      AND c.asin IS NOT NULL)
+  GROUP BY category, reviewerID),
+cat_comp_base AS (
+  SELECT category, asin, count(DISTINCT compProd) AS n FROM cat_relation c
+  WHERE asin IS NOT NULL AND compProd IS NOT NULL AND EXISTS (
+    SELECT 1 FROM cat_reviews r WHERE r.asin = c.compProd AND r.category = c.category)
+  GROUP BY category, asin),
 comp_ids AS (SELECT DISTINCT compProd AS asin FROM relation WHERE compProd IS NOT NULL),
 base_ratings AS (
   SELECT reviewerID, asin AS productID, overall AS prodRating FROM reviews
@@ -129,10 +155,56 @@ pop_user_metrics AS (
 """
 
 
+def hist_sql(values: str, bins: int, by: str = "category") -> str:
+    """numpy-rule histogram of ``values`` (a query giving ``[by,] v``)."""
+    key = f"{by}, " if by else ""
+    using = f"USING ({by})" if by else "ON true"
+    edge = lambda i: (f"(CASE WHEN {i} = {bins} THEN hi "
+                      f"ELSE {i} * ((hi - lo) / {float(bins)}) + lo END)")
+    return f"""
+      hv AS ({values}),
+      hr AS (SELECT {key}
+               CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+               CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
+             FROM hv WHERE v IS NOT NULL {"GROUP BY " + by if by else ""}),
+      h1 AS (SELECT {key} v, lo, hi,
+               CAST(trunc((v - lo) / (hi - lo) * {float(bins)}) AS BIGINT) AS i0
+             FROM hv JOIN hr {using} WHERE v IS NOT NULL),
+      h2 AS (SELECT *, CASE WHEN i0 = {bins} THEN {bins - 1} ELSE i0 END AS i1 FROM h1),
+      h3 AS (SELECT *, CASE WHEN v < {edge("i1")} THEN i1 - 1 ELSE i1 END AS i2 FROM h2),
+      h4 AS (SELECT {key} CASE WHEN v >= {edge("(i2 + 1)")} AND i2 <> {bins - 1}
+                     THEN i2 + 1 ELSE i2 END AS bin FROM h3),
+      hc AS (SELECT {key} bin, count(*) AS n FROM h4 GROUP BY {key} bin),
+      hg AS (SELECT {key} lo, hi, unnest(range(0, {bins})) AS bin FROM hr)
+    SELECT {key} CAST(g.bin AS BIGINT) AS bin,
+           round({edge("g.bin")}, 6) AS lo, round({edge("(g.bin + 1)")}, 6) AS hi,
+           CAST(coalesce(c.n, 0) AS BIGINT) AS n
+    FROM hg g LEFT JOIN hc c USING ({key} bin)"""
+
+
 def with_prelude(body: str) -> str:
+    body = body.strip()
+    if body.startswith("hv AS"):   # histogram bodies add their own CTEs
+        return f"WITH {PRELUDE}, {body}"
     return f"WITH {PRELUDE}\n{body}"
 
 
+COUNTS = """
+  SELECT {key}
+         CAST(count(*) FILTER (WHERE src = 'r') AS BIGINT) AS n_ratings,
+         CAST(count(DISTINCT a) FILTER (WHERE src = 'r') AS BIGINT) AS n_users,
+         CAST(count(DISTINCT b) FILTER (WHERE src = 'r') AS BIGINT) AS n_items,
+         CAST(count(DISTINCT a) FILTER (WHERE src = 'm') AS BIGINT) AS n_bases,
+         CAST(count(DISTINCT a) FILTER (WHERE src = 'c') AS BIGINT) AS n_comps
+  FROM (SELECT {key} 'r' AS src, reviewerID AS a, asin AS b FROM {reviews}
+        UNION ALL SELECT {key} 'm', asin, NULL FROM {meta}
+        UNION ALL SELECT {key} 'c', compProd, NULL FROM {rel}) {group}"""
+
+WHOLE_COUNTS = COUNTS.format(key="", reviews="reviews", meta="metadata_flat",
+                             rel="meta_relation", group="")
+CAT_COUNTS = COUNTS.format(key="category,", reviews="cat_reviews", meta="cat_meta",
+                           rel="cat_relation", group="GROUP BY category")
+
 SQL: dict[str, str] = {
     "project_reviews": "SELECT reviewerID, asin, overall FROM reviews",
     "flatten_metadata": """
@@ -170,6 +242,35 @@ SQL: dict[str, str] = {
                round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
                round(avg(ndcg), 6) AS ndcg
         FROM pop_user_metrics""",
+    "ratings_per_product": """
+        SELECT asin, CAST(count(overall) AS BIGINT) AS n_ratings FROM reviews GROUP BY asin""",
+    "ratings_per_user": """
+        SELECT reviewerID, CAST(count(overall) AS BIGINT) AS n_ratings FROM reviews
+        WHERE reviewerID IS NOT NULL GROUP BY reviewerID""",
+    "companions_per_user": """
+        SELECT reviewerID, CAST(count(DISTINCT asin) AS BIGINT) AS n_companions FROM reviews
+        WHERE reviewerID IS NOT NULL AND asin IN (
+          SELECT compProd FROM meta_relation WHERE asin IS NOT NULL AND compProd IS NOT NULL)
+        GROUP BY reviewerID""",
+    "companions_per_base": """
+        SELECT asin, CAST(count(DISTINCT compProd) AS BIGINT) AS n_companions FROM meta_relation
+        WHERE asin IS NOT NULL AND compProd IS NOT NULL
+          AND compProd IN (SELECT asin FROM reviews)
+        GROUP BY asin""",
+    "dataset_counts": WHOLE_COUNTS,
+    "sparsity": f"""
+        SELECT n_ratings, n_items, n_users,
+               round(1.0 - n_ratings / (CAST(n_items AS DOUBLE) * n_users), 6) AS sparsity
+        FROM ({WHOLE_COUNTS})""",
+    "category_stats": f"""
+        SELECT *, round(1.0 - n_ratings / (CAST(n_items AS DOUBLE) * n_users), 6) AS sparsity
+        FROM ({CAT_COUNTS})""",
+    "hist_rating": hist_sql("SELECT category, overall AS v FROM cat_reviews", 10),
+    "hist_per_product": hist_sql("SELECT category, n AS v FROM cat_per_product", 500),
+    "hist_per_user": hist_sql("SELECT category, n AS v FROM cat_per_user", 200),
+    "hist_companions_per_user": hist_sql("SELECT category, n AS v FROM cat_comp_user", 100),
+    "hist_companions_per_base": hist_sql("SELECT category, n AS v FROM cat_comp_base", 100),
+    "hist_rating_all": hist_sql("SELECT overall AS v FROM reviews", 10, by=""),
 }
 
 

@@ -18,6 +18,7 @@ from companion.operators import popularity as P
 from companion.operators import reshape as R
 from companion.operators import relation as REL
 from companion.operators import targets as TG
+from companion.plans import report as REPORT
 from companion.plans.popularity import TOP_K, popularity_pipeline
 from companion.sources import fixtures as FX
 
@@ -158,3 +159,89 @@ def popularity_evaluation(spark, sf_dir):
     s = popularity_pipeline(i["base"], i["comp"], i["relation"])["summary"]
     return s.select("n_users", "zero_hit",
                     *[r6(c).alias(c) for c in ("precision", "recall", "ndcg")])
+
+
+# ------------------------------------------------------------- statistics
+
+def _whole_report(spark, sf_dir):
+    meta_flat = R.flatten_metadata(FX.metadata(spark, sf_dir))
+    return REPORT.dataset_report(FX.reviews(spark, sf_dir), meta_flat,
+                                 REL.companion_relation(meta_flat))
+
+
+def _category_report(spark, sf_dir):
+    c = REPORT.categorized(FX.reviews(spark, sf_dir), FX.metadata(spark, sf_dir),
+                           FX.item_categories(spark, sf_dir))
+    return REPORT.dataset_report(c["reviews"], c["meta"], c["relation"], ("category",))
+
+
+def _hist(df):
+    return df.withColumn("lo", r6("lo")).withColumn("hi", r6("hi"))
+
+
+@query
+def ratings_per_product(spark, sf_dir):
+    return _whole_report(spark, sf_dir)["ratings_per_product"]
+
+
+@query
+def ratings_per_user(spark, sf_dir):
+    return _whole_report(spark, sf_dir)["ratings_per_user"]
+
+
+@query
+def companions_per_user(spark, sf_dir):
+    return _whole_report(spark, sf_dir)["companions_per_user"]
+
+
+@query
+def companions_per_base(spark, sf_dir):
+    return _whole_report(spark, sf_dir)["companions_per_base"]
+
+
+@query
+def dataset_counts(spark, sf_dir):
+    return _whole_report(spark, sf_dir)["counts"].drop("sparsity")
+
+
+@query
+def sparsity(spark, sf_dir):
+    return _whole_report(spark, sf_dir)["counts"].select(
+        "n_ratings", "n_items", "n_users", r6("sparsity").alias("sparsity"))
+
+
+@query
+def category_stats(spark, sf_dir):
+    return _category_report(spark, sf_dir)["counts"].withColumn(
+        "sparsity", r6("sparsity"))
+
+
+@query
+def hist_rating(spark, sf_dir):
+    return _hist(_category_report(spark, sf_dir)["hist_rating"])
+
+
+@query
+def hist_per_product(spark, sf_dir):
+    return _hist(_category_report(spark, sf_dir)["hist_per_product"])
+
+
+@query
+def hist_per_user(spark, sf_dir):
+    return _hist(_category_report(spark, sf_dir)["hist_per_user"])
+
+
+@query
+def hist_companions_per_user(spark, sf_dir):
+    return _hist(_category_report(spark, sf_dir)["hist_companions_per_user"])
+
+
+@query
+def hist_companions_per_base(spark, sf_dir):
+    return _hist(_category_report(spark, sf_dir)["hist_companions_per_base"])
+
+
+@query
+def hist_rating_all(spark, sf_dir):
+    """The rating histogram of the whole data set (no series column)."""
+    return _hist(_whole_report(spark, sf_dir)["hist_rating"])
