@@ -273,6 +273,134 @@ SQL: dict[str, str] = {
     "hist_rating_all": hist_sql("SELECT overall AS v FROM reviews", 10, by=""),
 }
 
+ALS_PRELUDE = """
+active AS (SELECT reviewerID FROM comp_ratings GROUP BY reviewerID HAVING count(*) >= 2),
+coh_main AS (
+  SELECT DISTINCT reviewerID, productID, prodRating FROM base_ratings
+  WHERE reviewerID IN (SELECT reviewerID FROM active)),
+coh_comp AS (
+  SELECT DISTINCT reviewerID, compProd, compRating FROM comp_ratings
+  WHERE reviewerID IN (SELECT reviewerID FROM active)
+    AND reviewerID IN (SELECT reviewerID FROM base_ratings)),
+cohort AS (
+  SELECT reviewerID, productID, prodRating FROM coh_main
+  UNION ALL SELECT reviewerID, compProd, compRating FROM coh_comp),
+item_ids AS (
+  SELECT productID, CAST(row_number() OVER (ORDER BY productID) - 1 AS BIGINT) AS productID_int
+  FROM (SELECT DISTINCT productID FROM cohort WHERE productID IS NOT NULL)),
+user_ids AS (
+  SELECT reviewerID, CAST(row_number() OVER (ORDER BY reviewerID) - 1 AS BIGINT) AS reviewerID_int
+  FROM (SELECT DISTINCT reviewerID FROM base_ratings WHERE reviewerID IS NOT NULL)),
+base_enc AS (
+  SELECT u.reviewerID_int, i.productID_int, b.prodRating FROM base_ratings b
+  JOIN user_ids u ON b.reviewerID = u.reviewerID JOIN item_ids i ON b.productID = i.productID),
+comp_enc AS (
+  SELECT DISTINCT u.reviewerID_int, i.productID_int, c.compRating FROM comp_ratings c
+  JOIN user_ids u ON c.reviewerID = u.reviewerID JOIN item_ids i ON c.compProd = i.productID),
+split_h AS (
+  SELECT *, md5(concat_ws(':', '42', CAST(reviewerID_int AS VARCHAR),
+                CAST(productID_int AS VARCHAR), CAST(compRating AS VARCHAR))) AS h,
+         count(*) OVER (PARTITION BY reviewerID_int) AS n
+  FROM (SELECT DISTINCT reviewerID_int, productID_int,
+               CAST(trunc(compRating) AS BIGINT) AS compRating FROM comp_enc)),
+split AS (
+  SELECT reviewerID_int, productID_int, compRating,
+         (row_number() OVER (PARTITION BY reviewerID_int ORDER BY h, productID_int, compRating) - 1)
+           < floor(CAST(0.8 AS DOUBLE) * n) AS is_train
+  FROM split_h),
+train AS (
+  SELECT reviewerID_int, productID_int, coalesce(CAST(trunc(prodRating) AS BIGINT), 0) AS prodRating
+  FROM base_enc
+  UNION ALL SELECT reviewerID_int, productID_int, coalesce(compRating, 0) FROM split WHERE is_train),
+test AS (
+  SELECT DISTINCT reviewerID_int, productID_int, compRating AS prodRating FROM split WHERE NOT is_train),
+pool AS (
+  SELECT productID_int, row_number() OVER (ORDER BY productID_int) - 1 AS idx
+  FROM (SELECT DISTINCT productID_int FROM comp_enc)),
+psize AS (SELECT count(*) AS p FROM pool),
+tests AS (SELECT * FROM test WHERE reviewerID_int IN (SELECT reviewerID_int FROM train)),
+wanted AS (SELECT reviewerID_int, count(*) AS t FROM tests GROUP BY reviewerID_int),
+seen AS (
+  SELECT DISTINCT reviewerID_int, productID_int FROM (
+    SELECT reviewerID_int, productID_int FROM train
+    UNION ALL SELECT reviewerID_int, productID_int FROM tests)),
+drawn AS (
+  SELECT d.reviewerID_int, d.k, p.productID_int
+  FROM (SELECT w.reviewerID_int, unnest(range(0, 2 * w.t + 8)) AS k FROM wanted w) d
+  JOIN pool p ON p.idx = ('0x' || substr(md5(concat_ws(':', '42', CAST(d.reviewerID_int AS VARCHAR),
+                                               CAST(d.k AS VARCHAR))), 1, 15))::BIGINT
+                         % (SELECT p FROM psize)),
+firsts AS (
+  SELECT f.reviewerID_int, f.productID_int FROM (
+    SELECT *, row_number() OVER (PARTITION BY reviewerID_int ORDER BY k) - 1 AS r FROM (
+      SELECT reviewerID_int, productID_int, min(k) AS k FROM drawn d
+      WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.reviewerID_int = d.reviewerID_int
+                                              AND s.productID_int = d.productID_int)
+      GROUP BY reviewerID_int, productID_int)) f
+  JOIN wanted w ON f.reviewerID_int = w.reviewerID_int WHERE f.r < w.t),
+seen_pool AS (
+  SELECT reviewerID_int, count(*) AS s FROM seen
+  WHERE productID_int IN (SELECT productID_int FROM pool) GROUP BY reviewerID_int),
+got AS (SELECT reviewerID_int, count(*) AS g FROM firsts GROUP BY reviewerID_int),
+short AS (
+  SELECT w.reviewerID_int,
+         least(w.t, (SELECT p FROM psize) - coalesce(s.s, 0)) - coalesce(g.g, 0) AS rest
+  FROM wanted w LEFT JOIN seen_pool s ON w.reviewerID_int = s.reviewerID_int
+  LEFT JOIN got g ON w.reviewerID_int = g.reviewerID_int),
+extra AS (
+  SELECT reviewerID_int, productID_int FROM (
+    SELECT sh.reviewerID_int, p.productID_int, sh.rest,
+           row_number() OVER (PARTITION BY sh.reviewerID_int ORDER BY
+             md5(concat_ws(':', '42', CAST(sh.reviewerID_int AS VARCHAR),
+                           CAST(p.productID_int AS VARCHAR))), p.productID_int) - 1 AS r
+    FROM short sh, pool p
+    WHERE sh.rest > 0
+      AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.reviewerID_int = sh.reviewerID_int
+                                            AND s.productID_int = p.productID_int)
+      AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.reviewerID_int = sh.reviewerID_int
+                                              AND f.productID_int = p.productID_int))
+  WHERE r < rest),
+instances AS (
+  SELECT reviewerID_int, productID_int, false AS is_negative FROM tests
+  UNION ALL SELECT reviewerID_int, productID_int, true FROM firsts
+  UNION ALL SELECT reviewerID_int, productID_int, true FROM extra),
+means AS (
+  SELECT u.reviewerID_int, m.avgRating FROM (
+    SELECT reviewerID, avg(prodRating) AS avgRating FROM cohort WHERE prodRating <> 0
+    GROUP BY reviewerID) m JOIN user_ids u ON m.reviewerID = u.reviewerID),
+als_pos AS (
+  SELECT t.reviewerID_int, t.productID_int FROM test t JOIN means m
+    ON t.reviewerID_int = m.reviewerID_int WHERE t.prodRating >= m.avgRating - 2.0),
+als_neg AS (
+  SELECT t.reviewerID_int, t.productID_int FROM test t JOIN means m
+    ON t.reviewerID_int = m.reviewerID_int WHERE t.prodRating < m.avgRating - 2.0),
+eligible AS (
+  SELECT * FROM als_pos WHERE reviewerID_int IN (
+    SELECT reviewerID_int FROM als_pos GROUP BY reviewerID_int HAVING count(*) >= 5))
+"""
+
+ALS_SQL: dict[str, str] = {
+    "active_users": "SELECT reviewerID FROM active",
+    "cohort_ratings": "SELECT * FROM cohort",
+    "item_index": "SELECT * FROM item_ids",
+    "user_index": "SELECT * FROM user_ids",
+    "encode_base": "SELECT * FROM base_enc",
+    "encode_comp": "SELECT * FROM comp_enc",
+    "holdout_split": "SELECT * FROM split",
+    "training_set": """
+        SELECT reviewerID_int, productID_int, prodRating, true AS is_train FROM train
+        UNION ALL SELECT reviewerID_int, productID_int, prodRating, false FROM test""",
+    "negative_samples": "SELECT * FROM instances",
+    "user_mean_rating": "SELECT reviewerID_int, round(avgRating, 6) AS avgRating FROM means",
+    "als_targets": """
+        SELECT reviewerID_int, productID_int, true AS positive FROM als_pos
+        UNION ALL SELECT reviewerID_int, productID_int, false FROM als_neg""",
+    "eligible_targets": "SELECT * FROM eligible",
+}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_prelude(body) for name, body in SQL.items()}
+    out = {name: with_prelude(body) for name, body in SQL.items()}
+    for name, body in ALS_SQL.items():
+        out[name] = f"WITH {PRELUDE}, {ALS_PRELUDE}\n{body}"
+    return out

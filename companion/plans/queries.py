@@ -19,6 +19,7 @@ from companion.operators import reshape as R
 from companion.operators import relation as REL
 from companion.operators import targets as TG
 from companion.plans import report as REPORT
+from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.popularity import TOP_K, popularity_pipeline
 from companion.sources import fixtures as FX
 
@@ -245,3 +246,108 @@ def hist_companions_per_base(spark, sf_dir):
 def hist_rating_all(spark, sf_dir):
     """The rating histogram of the whole data set (no series column)."""
     return _hist(_whole_report(spark, sf_dir)["hist_rating"])
+
+
+# ------------------------------------------------------------------- ALS
+
+def _als(spark, sf_dir) -> ALSRun:
+    i = inputs(spark, sf_dir)
+    return ALSRun(i["base"], i["comp"], ALSConfig())
+
+
+def _long_ids(df: DataFrame) -> DataFrame:
+    """Integer ids and ratings leave as bigint, like the oracle's."""
+    for c in ("reviewerID_int", "productID_int", "pos"):
+        if c in df.columns:
+            df = df.withColumn(c, F.col(c).cast("long"))
+    return df
+
+
+@query
+def active_users(spark, sf_dir):
+    return TG.users_with_at_least(inputs(spark, sf_dir)["comp"], "reviewerID", 2)
+
+
+@query
+def cohort_ratings(spark, sf_dir):
+    return _als(spark, sf_dir).prepare().out["cohort"]
+
+
+@query
+def item_index(spark, sf_dir):
+    return _long_ids(_als(spark, sf_dir).prepare().out["items"])
+
+
+@query
+def user_index(spark, sf_dir):
+    return _long_ids(_als(spark, sf_dir).prepare().out["users"])
+
+
+@query
+def encode_base(spark, sf_dir):
+    return _long_ids(_als(spark, sf_dir).prepare().out["base_enc"])
+
+
+@query
+def encode_comp(spark, sf_dir):
+    return _long_ids(_als(spark, sf_dir).prepare().out["comp_enc"])
+
+
+@query
+def holdout_split(spark, sf_dir):
+    s = _als(spark, sf_dir).split().out["split"]
+    return _long_ids(s.withColumn("compRating", F.col("compRating").cast("long")))
+
+
+@query
+def training_set(spark, sf_dir):
+    out = _als(spark, sf_dir).split().out
+    train = out["train"].withColumn("is_train", F.lit(True))
+    test = out["test"].withColumn("is_train", F.lit(False))
+    return _long_ids(train.unionByName(test).withColumn(
+        "prodRating", F.col("prodRating").cast("long")))
+
+
+@query
+def negative_samples(spark, sf_dir):
+    return _long_ids(_als(spark, sf_dir).instances().out["instances"])
+
+
+@query
+def user_mean_rating(spark, sf_dir):
+    means = _als(spark, sf_dir).targets().out["means"]
+    return _long_ids(means.withColumn("avgRating", r6("avgRating")))
+
+
+@query
+def als_targets(spark, sf_dir):
+    out = _als(spark, sf_dir).targets().out
+    return _long_ids(out["positives"].withColumn("positive", F.lit(True)).unionByName(
+        out["negatives"].withColumn("positive", F.lit(False))))
+
+
+@query
+def eligible_targets(spark, sf_dir):
+    return _long_ids(_als(spark, sf_dir).targets().out["eligible"])
+
+
+@query
+def als_predictions(spark, sf_dir):
+    """[rows-only] predicted ratings of the scoring instances."""
+    out = _als(spark, sf_dir).fit().out
+    return _long_ids(out["predictions"].withColumn("prediction", r6("prediction")))
+
+
+@query
+def als_recommend(spark, sf_dir):
+    """[rows-only] top-5 list per user by predicted rating."""
+    out = _als(spark, sf_dir).fit().out
+    return _long_ids(out["recommendations"].withColumn("prediction", r6("prediction")))
+
+
+@query
+def als_evaluation(spark, sf_dir):
+    """[rows-only] precision, recall, NDCG, MRR and zero-hit users of ALS."""
+    s = _als(spark, sf_dir).evaluate().out["summary"]
+    return s.select("n_users", "zero_hit",
+                    *[r6(c).alias(c) for c in ("precision", "recall", "ndcg", "mrr")])
