@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from companion.functions.hashing import draw_index, hex_prefix, seeded_digest
 from companion.operators.ranking import (DEFAULT_GROUP_ROWS, dense_index, hash_bucket,
                                          key_rank)
+from companion.session import keep, materialize
 
 EXTRA_DRAWS = 8
 
@@ -54,10 +55,10 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
     pool_size = pool.select(F.count(F.lit(1))).scalar()
 
     train_users = train.select(user).distinct()
-    tests = test.join(train_users, user, "left_semi")
-    wanted = tests.groupBy(user).agg(F.count(F.lit(1)).alias("_t"))
-    seen = (train.select(user, item).unionByName(tests.select(user, item))
-            .distinct())
+    tests = keep(test.join(train_users, user, "left_semi"))
+    wanted = keep(tests.groupBy(user).agg(F.count(F.lit(1)).alias("_t")))
+    seen = keep(train.select(user, item).unionByName(tests.select(user, item))
+                .distinct())
 
     # 1-3: seeded draws, seen items removed, first t distinct by draw number
     draws = _chunked_range(wanted, user, F.lit(2) * F.col("_t") + EXTRA_DRAWS, "_k",
@@ -67,9 +68,9 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
     hits = (draws.join(pool, "_idx").join(seen, [user, item], "left_anti")
             .groupBy(user, item).agg(F.min("_k").alias("_k")))
     hits = hits.withColumn("_b", F.floor(F.col("_k") / F.lit(group_rows)))
-    firsts = (key_rank(hits, [user], "_b", [F.col("_k")], "_r")
-              .join(wanted, user).where(F.col("_r") < F.col("_t"))
-              .select(user, item))
+    firsts = materialize(key_rank(hits, [user], "_b", [F.col("_k")], "_r")
+                         .join(wanted, user).where(F.col("_r") < F.col("_t"))
+                         .select(user, item), "negatives-first-pass")
 
     # 4: exact completion for users short of min(t, unseen pool)
     seen_in_pool = (seen.join(pool, item, "left_semi").groupBy(user)

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from companion.session import checkpoint_dir
+from companion.session import scratch_path
 
 # rows per sub-group of a key; large enough that ordinary keys stay whole
 DEFAULT_GROUP_ROWS = 1 << 17
@@ -68,16 +69,20 @@ def dense_index(df: DataFrame, key: str, id_col: str,
     """``(key, id)`` with ids 0..n-1 in ascending key order (nulls skipped).
 
     Distinct keys are range-partitioned and sorted, tagged with their
-    position inside the partition, and checkpointed to the shared folder so
-    the ids never change, even if an executor is lost.  Offsets of the range
-    partitions (one row per partition) are broadcast."""
+    position inside the partition, and written once as a table in the shared
+    checkpoint folder, so the ids never change afterwards (not even when an
+    executor is lost).  Offsets of the range partitions (one row per
+    partition) are broadcast."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    tagged = (keys.repartitionByRange(n, key).sortWithinPartitions(key)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().persist(
+        StorageLevel.MEMORY_AND_DISK)
+    path = scratch_path(spark, f"dense-index-{key}")
+    (keys.repartitionByRange(n, key).sortWithinPartitions(key)
+     .withColumn("_mid", F.monotonically_increasing_id())
+     .write.parquet(path))
+    keys.unpersist()
+    tagged = spark.read.parquet(path)
     tagged = (tagged.withColumn("_pid", F.shiftright("_mid", 33))
               .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

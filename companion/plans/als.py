@@ -2,19 +2,22 @@
 
 Stages (each a lazy DataFrame unless noted):
 
-``prepare``    cohort, dense ids (checkpointed), encoded ratings
+``prepare``    cohort, dense ids, encoded ratings
 ``split``      per-user 80/20 hold-out, train / test sets
 ``instances``  test items plus sampled unseen items per user
 ``targets``    positives (rating >= user mean - 2) and negatives
 ``fit``        ALS model (runs the training jobs), top-K recommendations
 ``evaluate``   per-user metrics and the one-row summary
+
+Outputs reused by later stages (inputs, encoded ratings, split, instances,
+recommendations) are written once as tables in the shared checkpoint
+folder; the rest stays lazy.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from companion.operators import als as A
@@ -24,6 +27,7 @@ from companion.operators import targets as TG
 from companion.operators.negatives import scoring_instances
 from companion.operators.ranking import DEFAULT_GROUP_ROWS
 from companion.operators.split import holdout_split, training_set
+from companion.session import materialize
 
 # Fixed values of the reference's experiment.
 TOP_K = 5
@@ -44,7 +48,7 @@ class ALSConfig:
     max_iter: int = A.MAX_ITER
     reg_param: float = A.REG_PARAM
     group_rows: int = DEFAULT_GROUP_ROWS
-    persist: bool = True
+    materialize: bool = True          # write stage outputs to the shared folder
 
 
 @dataclass
@@ -54,17 +58,20 @@ class ALSRun:
     cfg: ALSConfig = field(default_factory=ALSConfig)
     out: dict = field(default_factory=dict)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else df
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Stage output reused downstream: written once to the shared folder."""
+        return materialize(df, name) if self.cfg.materialize else df
 
     def prepare(self) -> "ALSRun":
-        cohort = C.cohort_ratings(self.base, self.comp, self.cfg.min_comp)
+        base = self._keep(self.base, "als-base")
+        comp = self._keep(self.comp, "als-comp")
+        cohort = C.cohort_ratings(base, comp, self.cfg.min_comp)
         items = C.item_index(cohort["all"])
-        users = C.user_index(self.base)
+        users = C.user_index(base)
         self.out.update(
             cohort=cohort["all"], items=items, users=users,
-            base_enc=C.encode_base(self.base, users, items),
-            comp_enc=C.encode_comp(self.comp, users, items))
+            base_enc=self._keep(C.encode_base(base, users, items), "als-base-enc"),
+            comp_enc=self._keep(C.encode_comp(comp, users, items), "als-comp-enc"))
         return self
 
     def split(self) -> "ALSRun":
@@ -72,7 +79,7 @@ class ALSRun:
             self.prepare()
         split = self._keep(holdout_split(
             self.out["comp_enc"], "reviewerID_int", "productID_int", "compRating",
-            self.cfg.frac, self.cfg.seed, self.cfg.group_rows))
+            self.cfg.frac, self.cfg.seed, self.cfg.group_rows), "als-split")
         train, test = training_set(self.out["base_enc"], split)
         self.out.update(split=split, train=train, test=test)
         return self
@@ -83,7 +90,7 @@ class ALSRun:
         pool = self.out["comp_enc"].select("productID_int").distinct()
         self.out["instances"] = self._keep(scoring_instances(
             self.out["test"], self.out["train"], pool, self.cfg.seed,
-            group_rows=self.cfg.group_rows))
+            group_rows=self.cfg.group_rows), "als-instances")
         return self
 
     def targets(self) -> "ALSRun":
@@ -108,7 +115,8 @@ class ALSRun:
         pred = A.predict(model, self.out["instances"].select("reviewerID_int",
                                                             "productID_int"))
         self.out.update(model=model, predictions=pred,
-                        recommendations=self._keep(A.recommend(pred, self.cfg.k)))
+                        recommendations=self._keep(A.recommend(pred, self.cfg.k),
+                                                   "als-recommendations"))
         return self
 
     def evaluate(self) -> "ALSRun":

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -38,6 +39,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
                         f"{name}-{uuid.uuid4().hex}")
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a DataFrame that several branches of a plan reuse.
+
+    Only deterministic results are cached: a block lost with its executor
+    is recomputed from lineage to the same rows."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder
+    and continue from the written table.
+
+    This cuts the lineage: later plans start at a scan (short to analyse,
+    no recomputation of upstream stages), and a lost executor costs a
+    re-read, not a recomputation from the raw inputs."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "companion") -> SparkSession:
     """Local session used by tests and the bench (UI off, AQE on)."""
