@@ -9,7 +9,7 @@ recommendation list itself (at most K entries) becomes an array per user.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from companion.functions import metrics as M
@@ -31,6 +31,31 @@ def _rec_lists(rec: DataFrame, users: DataFrame, pos: DataFrame,
     return rows.groupBy(user).agg(M.ordered_list("pos", "hit", "neg").alias("lst"))
 
 
+def _ideal_entries(rows: DataFrame) -> DataFrame:
+    """One row per (entry, ideal class): 0 = positive, 1 = unlabelled,
+    2 = negative.  An entry both positive and negative is in 0 and 2."""
+    classes = F.array(
+        F.when(F.col("hit"), F.lit(0)),
+        F.when(~F.col("hit") & ~F.col("neg"), F.lit(1)),
+        F.when(F.col("neg"), F.lit(2)))
+    return rows.withColumn("cls", F.explode(classes)).where(F.col("cls").isNotNull())
+
+
+def ideal_order(rec: DataFrame, pos: DataFrame, neg: DataFrame,
+                user: str = "reviewerID", item: str = "compProd") -> DataFrame:
+    """Long form of the ideal reordering of each non-empty list:
+    ``user, ideal_pos, item, cls`` with class 0 = positive, 1 = unlabelled,
+    2 = negative; within a class the list order is kept.  An item that is
+    both positive and negative appears in classes 0 and 2."""
+    rows = rec.where(F.col("pos").isNotNull())
+    rows = _flag(_flag(rows, pos, user, item, "hit"), neg, user, item, "neg")
+    entries = _ideal_entries(rows)
+    # lists hold at most K entries, so this window is bounded per user
+    w = Window.partitionBy(user).orderBy("cls", "pos")
+    return entries.select(user, F.row_number().over(w).cast("long").alias("ideal_pos"),
+                          item, F.col("cls").cast("long").alias("cls"))
+
+
 def target_sizes(pos: DataFrame, user: str) -> DataFrame:
     """``user, n_target``: positive target rows per user (repeats count)."""
     return pos.groupBy(user).agg(F.count(F.lit(1)).alias("n_target"))
@@ -65,12 +90,7 @@ def instance_ideal_dcg(instances: DataFrame, pos: DataFrame, neg: DataFrame,
     instances (positives, unlabelled, negatives, each by ``order``) and is
     cut to K.  Only the first K ideal entries are ranked, via a group limit."""
     rows = _flag(_flag(instances, pos, user, item, "hit"), neg, user, item, "neg")
-    classes = F.array(
-        F.when(F.col("hit"), F.lit(0)),
-        F.when(~F.col("hit") & ~F.col("neg"), F.lit(1)),
-        F.when(F.col("neg"), F.lit(2)))
-    entries = (rows.withColumn("cls", F.explode(classes))
-               .where(F.col("cls").isNotNull()))
+    entries = _ideal_entries(rows)
     best = top_k_per_key(entries, [user], [F.col("cls"), *[F.col(c) for c in order]],
                          k, pos_col="ideal_pos")
     return best.groupBy(user).agg(

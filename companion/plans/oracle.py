@@ -271,6 +271,30 @@ SQL: dict[str, str] = {
     "hist_companions_per_user": hist_sql("SELECT category, n AS v FROM cat_comp_user", 100),
     "hist_companions_per_base": hist_sql("SELECT category, n AS v FROM cat_comp_base", 100),
     "hist_rating_all": hist_sql("SELECT overall AS v FROM reviews", 10, by=""),
+    "hit_count": "SELECT reviewerID, hit FROM pop_user_metrics",
+    "ideal_order": """
+        SELECT r.reviewerID, CAST(row_number() OVER (PARTITION BY r.reviewerID ORDER BY c.cls, r.pos)
+                                  AS BIGINT) AS ideal_pos,
+               r.compProd, CAST(c.cls AS BIGINT) AS cls
+        FROM (SELECT reviewerID, pos, compProd,
+                compProd IN (SELECT compProd FROM pop_pos p WHERE p.reviewerID = x.reviewerID) AS hit,
+                compProd IN (SELECT compProd FROM pop_neg q WHERE q.reviewerID = x.reviewerID) AS neg
+              FROM pop_rec x WHERE pos IS NOT NULL) r
+        JOIN (SELECT 0 AS cls UNION ALL SELECT 1 UNION ALL SELECT 2) c
+          ON (c.cls = 0 AND r.hit) OR (c.cls = 1 AND NOT r.hit AND NOT r.neg) OR (c.cls = 2 AND r.neg)""",
+    "top_k_per_key": f"""
+        SELECT * FROM (
+          SELECT reviewerID, asin, overall,
+                 CAST(row_number() OVER (PARTITION BY reviewerID ORDER BY overall DESC, asin) AS BIGINT) AS pos
+          FROM reviews) WHERE pos <= {K}""",
+    "records_roundtrip": "SELECT reviewerID, asin, overall FROM reviews",
+    "metadata_records": "SELECT asin, compProd FROM meta_relation",
+    "csv_roundtrip": "SELECT * FROM comp_ratings",
+    "preprocess_summary": """
+        SELECT 'relation' AS "table", CAST(count(*) AS BIGINT) AS n_rows, CAST(2 AS BIGINT) AS n_cols
+        FROM meta_relation
+        UNION ALL SELECT 'base', CAST(count(*) AS BIGINT), CAST(3 AS BIGINT) FROM base_ratings
+        UNION ALL SELECT 'comp', CAST(count(*) AS BIGINT), CAST(3 AS BIGINT) FROM comp_ratings""",
 }
 
 ALS_PRELUDE = """

@@ -15,13 +15,18 @@ from pyspark.sql import functions as F
 
 from companion.operators import evaluation as E
 from companion.operators import popularity as P
+from companion.operators import ranking as RK
 from companion.operators import reshape as R
 from companion.operators import relation as REL
 from companion.operators import targets as TG
+from companion import schemas
+from companion.plans import preprocess as PRE
 from companion.plans import report as REPORT
 from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.popularity import TOP_K, popularity_pipeline
+from companion.session import scratch_path
 from companion.sources import fixtures as FX
+from companion.sources.records import read_records, write_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -351,3 +356,73 @@ def als_evaluation(spark, sf_dir):
     s = _als(spark, sf_dir).evaluate().out["summary"]
     return s.select("n_users", "zero_hit",
                     *[r6(c).alias(c) for c in ("precision", "recall", "ndcg", "mrr")])
+
+
+# ---------------------------------------------- record files, CSV, PL1
+
+def _record_files(spark, sf_dir) -> tuple[str, str]:
+    """Fixture reviews and metadata written as gzipped literal records in
+    the shared folder (the reference's raw input format)."""
+    reviews_path = scratch_path(spark, "reviews-records")
+    meta_path = scratch_path(spark, "metadata-records")
+    write_records(FX.reviews(spark, sf_dir), reviews_path)
+    write_records(FX.metadata(spark, sf_dir), meta_path)
+    return reviews_path, meta_path
+
+
+@query
+def records_roundtrip(spark, sf_dir):
+    """Reviews written as literal records and read back without eval."""
+    reviews_path, _ = _record_files(spark, sf_dir)
+    return R.project_reviews(read_records(spark, reviews_path, schemas.REVIEW, 8))
+
+
+@query
+def metadata_records(spark, sf_dir):
+    """Nested metadata records read back, flattened and exploded."""
+    _, meta_path = _record_files(spark, sf_dir)
+    meta = read_records(spark, meta_path, schemas.METADATA, 8)
+    return REL.companion_relation(R.flatten_metadata(meta))
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """PL1 from record files to CSV directories, companion ratings read back."""
+    reviews_path, meta_path = _record_files(spark, sf_dir)
+    paths = PRE.preprocess_files(spark, reviews_path, meta_path,
+                                 scratch_path(spark, "preprocessed"), 8)
+    return PRE.read_outputs(spark, paths)["comp"]
+
+
+@query
+def preprocess_summary(spark, sf_dir):
+    """Row and column counts of the three preprocessing outputs."""
+    out = PRE.preprocess(FX.reviews(spark, sf_dir), FX.metadata(spark, sf_dir))
+    return PRE.shapes(out)
+
+
+# ------------------------------------------------- list operators
+
+@query
+def hit_count(spark, sf_dir):
+    """Hits of each popularity list (repeats in the list count)."""
+    i = inputs(spark, sf_dir)
+    return popularity_pipeline(i["base"], i["comp"], i["relation"])["user_metrics"].select(
+        "reviewerID", "hit")
+
+
+@query
+def ideal_order(spark, sf_dir):
+    """Ideal reordering of every non-empty popularity list, long form."""
+    i = inputs(spark, sf_dir)
+    out = popularity_pipeline(i["base"], i["comp"], i["relation"])
+    return E.ideal_order(out["recommendations"], out["positives"], out["negatives"])
+
+
+@query
+def top_k_per_key(spark, sf_dir):
+    """Generic top-K: each reviewer's five best-rated items (ties by item)."""
+    reviews = FX.reviews(spark, sf_dir)
+    top = RK.top_k_per_key(reviews, ["reviewerID"],
+                           [F.col("overall").desc(), F.col("asin")], TOP_K)
+    return top.withColumn("pos", F.col("pos").cast("long"))
