@@ -1,0 +1,17 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from companion.session import local_session  # noqa: E402
+
+SF_TINY = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = local_session("*", shuffle_partitions=8, app="companion-tests")
+    yield s
+    s.stop()
