@@ -16,18 +16,24 @@ from companion.functions import metrics as M
 from companion.operators.ranking import top_k_per_key
 
 
-def _flag(df: DataFrame, pairs: DataFrame, user: str, item: str,
-          name: str) -> DataFrame:
-    marks = pairs.select(user, item).distinct().withColumn(name, F.lit(True))
+def _flag(df: DataFrame, pos: DataFrame, neg: DataFrame, user: str,
+          item: str) -> DataFrame:
+    """Add ``hit`` (item is a positive target) and ``neg`` (a negative one)
+    from one aggregate over both target sets and one join."""
+    marks = (pos.select(user, item, F.lit(True).alias("hit"), F.lit(False).alias("neg"))
+             .unionByName(neg.select(user, item, F.lit(False).alias("hit"),
+                                     F.lit(True).alias("neg")))
+             .groupBy(user, item).agg(F.max("hit").alias("hit"), F.max("neg").alias("neg")))
     return (df.join(marks, [user, item], "left")
-            .withColumn(name, F.coalesce(F.col(name), F.lit(False))))
+            .withColumn("hit", F.coalesce(F.col("hit"), F.lit(False)))
+            .withColumn("neg", F.coalesce(F.col("neg"), F.lit(False))))
 
 
 def _rec_lists(rec: DataFrame, users: DataFrame, pos: DataFrame,
                neg: DataFrame, user: str, item: str) -> DataFrame:
     """``user, lst`` for the given users; lst sorted, hit/neg flags set."""
     rows = rec.join(users, user, "left_semi")
-    rows = _flag(_flag(rows, pos, user, item, "hit"), neg, user, item, "neg")
+    rows = _flag(rows, pos, neg, user, item)
     return rows.groupBy(user).agg(M.ordered_list("pos", "hit", "neg").alias("lst"))
 
 
@@ -48,7 +54,7 @@ def ideal_order(rec: DataFrame, pos: DataFrame, neg: DataFrame,
     2 = negative; within a class the list order is kept.  An item that is
     both positive and negative appears in classes 0 and 2."""
     rows = rec.where(F.col("pos").isNotNull())
-    rows = _flag(_flag(rows, pos, user, item, "hit"), neg, user, item, "neg")
+    rows = _flag(rows, pos, neg, user, item)
     entries = _ideal_entries(rows)
     # lists hold at most K entries, so this window is bounded per user
     w = Window.partitionBy(user).orderBy("cls", "pos")
@@ -89,7 +95,7 @@ def instance_ideal_dcg(instances: DataFrame, pos: DataFrame, neg: DataFrame,
     """``user, idcg`` where the ideal list reorders a user's scoring
     instances (positives, unlabelled, negatives, each by ``order``) and is
     cut to K.  Only the first K ideal entries are ranked, via a group limit."""
-    rows = _flag(_flag(instances, pos, user, item, "hit"), neg, user, item, "neg")
+    rows = _flag(instances, pos, neg, user, item)
     entries = _ideal_entries(rows)
     best = top_k_per_key(entries, [user], [F.col("cls"), *[F.col(c) for c in order]],
                          k, pos_col="ideal_pos")

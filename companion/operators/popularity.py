@@ -73,7 +73,11 @@ def recommend_from_top(base: DataFrame, top: DataFrame, k: int) -> DataFrame:
 
 
 def popularity_recommend(base: DataFrame, rel: DataFrame, comp: DataFrame,
-                         k: int) -> DataFrame:
-    """Top-K companion list per user by popularity (long form)."""
+                         k: int, keep_top=None) -> DataFrame:
+    """Top-K companion list per user by popularity (long form).
+
+    ``keep_top`` may store the per-base top list (read twice) once."""
     top = top_companions(companion_scores(rel, comp), k)
+    if keep_top is not None:
+        top = keep_top(top)
     return recommend_from_top(base, top, k)

@@ -49,6 +49,7 @@ class ALSConfig:
     reg_param: float = A.REG_PARAM
     group_rows: int = DEFAULT_GROUP_ROWS
     materialize: bool = True          # write stage outputs to the shared folder
+    materialize_inputs: bool = True   # off when the inputs are already tables
 
 
 @dataclass
@@ -63,8 +64,10 @@ class ALSRun:
         return materialize(df, name) if self.cfg.materialize else df
 
     def prepare(self) -> "ALSRun":
-        base = self._keep(self.base, "als-base")
-        comp = self._keep(self.comp, "als-comp")
+        base, comp = self.base, self.comp
+        if self.cfg.materialize_inputs:
+            base = self._keep(base, "als-base")
+            comp = self._keep(comp, "als-comp")
         cohort = C.cohort_ratings(base, comp, self.cfg.min_comp)
         items = C.item_index(cohort["all"])
         users = C.user_index(base)

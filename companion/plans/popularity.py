@@ -7,14 +7,22 @@ from pyspark.sql import DataFrame
 from companion.operators import evaluation as E
 from companion.operators.popularity import popularity_recommend
 from companion.operators.targets import popularity_targets
+from companion.session import materialize
 
 TOP_K = 5
 
 
 def popularity_pipeline(base: DataFrame, comp: DataFrame, rel: DataFrame,
-                        k: int = TOP_K) -> dict[str, DataFrame]:
-    """Recommendations, targets, per-user metrics and the one-row summary."""
-    rec = popularity_recommend(base, rel, comp, k)
+                        k: int = TOP_K, store: bool = True) -> dict[str, DataFrame]:
+    """Recommendations, targets, per-user metrics and the one-row summary.
+
+    With ``store`` the per-base top lists and the recommendations (at most
+    K rows per base / per user, read several times downstream) are written
+    once to the shared folder instead of being recomputed per branch."""
+    keep_top = (lambda df: materialize(df, "popularity-top")) if store else None
+    rec = popularity_recommend(base, rel, comp, k, keep_top=keep_top)
+    if store:
+        rec = materialize(rec, "popularity-recommendations")
     pos, neg = popularity_targets(comp)
     per_user = E.popularity_user_metrics(rec, pos, neg, k)
     return {"recommendations": rec, "positives": pos, "negatives": neg,
