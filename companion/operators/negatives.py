@@ -76,10 +76,24 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
     seen_in_pool = (seen.join(pool, item, "left_semi").groupBy(user)
                     .agg(F.count(F.lit(1)).alias("_s")))
     got = firsts.groupBy(user).agg(F.count(F.lit(1)).alias("_g"))
-    short = (wanted.join(seen_in_pool, user, "left").join(got, user, "left")
-             .select(user, (F.least(F.col("_t"), pool_size - F.coalesce("_s", F.lit(0)))
-                            - F.coalesce("_g", F.lit(0))).alias("_rest"))
-             .where(F.col("_rest") > 0))
+    short = materialize(
+        wanted.join(seen_in_pool, user, "left").join(got, user, "left")
+        .select(user, (F.least(F.col("_t"), pool_size - F.coalesce("_s", F.lit(0)))
+                       - F.coalesce("_g", F.lit(0))).alias("_rest"))
+        .where(F.col("_rest") > 0), "negatives-short-users")
+    negatives = firsts
+    if not short.isEmpty():
+        negatives = negatives.unionByName(
+            _complete(short, pool, pool_size, seen, firsts, seed, user, item, group_rows))
+    return (tests.select(user, item, F.lit(False).alias("is_negative"))
+            .unionByName(negatives.withColumn("is_negative", F.lit(True))))
+
+
+def _complete(short: DataFrame, pool: DataFrame, pool_size, seen: DataFrame,
+              firsts: DataFrame, seed: int, user: str, item: str,
+              group_rows: int) -> DataFrame:
+    """The remaining ``_rest`` unseen items of each short user, taken from
+    the whole pool in seeded hash order."""
     spread = _chunked_range(short, user, pool_size, "_idx", group_rows)
     rest = (spread.join(pool, "_idx").join(seen, [user, item], "left_anti")
             .join(firsts, [user, item], "left_anti")
@@ -87,9 +101,5 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
     sizes = rest.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
     rest = rest.join(sizes, user).withColumn(
         "_b", hash_bucket(hex_prefix(F.col("_h")), F.col("_n"), group_rows))
-    extra = (key_rank(rest, [user], "_b", [F.col("_h"), F.col(item)], "_r")
-             .where(F.col("_r") < F.col("_rest")).select(user, item))
-
-    negatives = firsts.unionByName(extra).withColumn("is_negative", F.lit(True))
-    return (tests.select(user, item, F.lit(False).alias("is_negative"))
-            .unionByName(negatives))
+    return (key_rank(rest, [user], "_b", [F.col("_h"), F.col(item)], "_r")
+            .where(F.col("_r") < F.col("_rest")).select(user, item))

@@ -30,6 +30,17 @@ def split_targets(ratings: DataFrame, means: DataFrame, user: str, item: str,
     return pos, neg
 
 
+def label_targets(ratings: DataFrame, means: DataFrame, user: str, item: str,
+                  rating: str, offset: float = 0.0,
+                  mean_col: str = "avgRating") -> DataFrame:
+    """``user, item, positive`` in one pass: the rows of ``split_targets``'s
+    positives (true) and negatives (false)."""
+    bar = F.col(mean_col) - F.lit(offset)
+    return (ratings.join(means, user)
+            .where(F.col(rating).isNotNull() & F.col(mean_col).isNotNull())
+            .select(user, item, (F.col(rating) >= bar).alias("positive")))
+
+
 def popularity_targets(comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Targets of the popularity evaluation: a companion rating at or above
     the user's own mean companion rating is positive."""

@@ -103,8 +103,11 @@ class ALSRun:
                               nonzero=True)
                  .join(self.out["users"], "reviewerID")
                  .select("reviewerID_int", "avgRating").dropDuplicates())
-        pos, neg = TG.split_targets(self.out["test"], means, "reviewerID_int",
-                                    "productID_int", "prodRating", self.cfg.offset)
+        labels = self._keep(TG.label_targets(
+            self.out["test"], means, "reviewerID_int", "productID_int", "prodRating",
+            self.cfg.offset), "als-targets")
+        pos = labels.where("positive").select("reviewerID_int", "productID_int")
+        neg = labels.where("not positive").select("reviewerID_int", "productID_int")
         need = self.cfg.min_targets if self.cfg.min_targets is not None else self.cfg.k
         self.out.update(means=means, positives=pos, negatives=neg,
                         eligible=TG.keep_users_with_at_least(pos, "reviewerID_int", need))
