@@ -23,13 +23,20 @@ def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(i == F.lit(bins), hi).otherwise(i.cast("double") * step + lo)
 
 
-def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """numpy's bin index of ``v`` inside ``[lo, hi]`` (values are in range)."""
-    raw = ((v - lo) / (hi - lo) * F.lit(float(bins))).cast("long")
-    raw = F.when(raw == F.lit(bins), F.lit(bins - 1)).otherwise(raw)
-    down = F.when(v < _edge(raw, lo, hi, bins), raw - 1).otherwise(raw)
-    return F.when((v >= _edge(down + 1, lo, hi, bins)) & (down != F.lit(bins - 1)),
-                  down + 1).otherwise(down)
+def bin_index(df: DataFrame, v: str, lo: str, hi: str, bins: int,
+              out: str = "bin") -> DataFrame:
+    """Add numpy's bin index of column ``v`` inside ``[lo, hi]`` (values
+    are in range): the scaled offset, then numpy's one-ULP corrections
+    against the exact edges, one column at a time."""
+    V, LO, HI = F.col(v), F.col(lo), F.col(hi)
+    raw = ((V - LO) / (HI - LO) * F.lit(float(bins))).cast("long")
+    df = df.withColumn("_raw", F.when(raw == F.lit(bins), F.lit(bins - 1)).otherwise(raw))
+    down = F.col("_raw")
+    df = df.withColumn("_down", F.when(V < _edge(down, LO, HI, bins), down - 1).otherwise(down))
+    down = F.col("_down")
+    return df.withColumn(out, F.when((V >= _edge(down + 1, LO, HI, bins))
+                                     & (down != F.lit(bins - 1)), down + 1)
+                         .otherwise(down)).drop("_raw", "_down")
 
 
 def _bounds(lo0: Column, hi0: Column) -> tuple[Column, Column]:
@@ -42,8 +49,9 @@ def histogram(df: DataFrame, value: str, bins: int,
               by: Sequence[str] = ()) -> DataFrame:
     """``[by...,] bin, lo, hi, n`` for every bin of every series.
 
-    Nulls are ignored.  Without ``by`` the range enters as two scalar
-    subqueries; with ``by`` it is joined on the series keys."""
+    Nulls are ignored.  Without ``by`` the range is computed first (one
+    row) and enters as literals; with ``by`` it is joined on the series
+    keys."""
     by = list(by)
     vals = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull())
@@ -54,15 +62,16 @@ def histogram(df: DataFrame, value: str, bins: int,
         tagged = vals.join(rng, by)
         series = rng
     else:
-        lo, hi = _bounds(vals.select(F.min("_v")).scalar(),
-                         vals.select(F.max("_v")).scalar())
+        # the range is a one-row aggregate: two numbers (a bounded
+        # statistic) enter the plan as literals; no join, no subquery copies
+        lo0, hi0 = vals.agg(F.min("_v"), F.max("_v")).first()
+        empty = lo0 is None
+        lo, hi = _bounds(F.lit(0.0 if empty else float(lo0)),
+                         F.lit(0.0 if empty else float(hi0)))
         tagged = vals.select("_v", lo.alias("_lo"), hi.alias("_hi"))
-        lo, hi = _bounds(F.col("_lo0"), F.col("_hi0"))
-        series = (vals.agg(F.min("_v").alias("_lo0"), F.max("_v").alias("_hi0"))
-                  .where(F.col("_lo0").isNotNull())
-                  .select(lo.alias("_lo"), hi.alias("_hi")))
-    counts = (tagged.select(*by, bin_index(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)
-                            .alias("bin"))
+        series = vals.sparkSession.range(0 if empty else 1).select(
+            lo.alias("_lo"), hi.alias("_hi"))
+    counts = (bin_index(tagged, "_v", "_lo", "_hi", bins)
               .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("_n")))
     grid = series.select(*by, "_lo", "_hi",
                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
