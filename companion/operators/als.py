@@ -31,7 +31,9 @@ def fit_als(train: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
     ``checkpoint_interval`` iterations, so long runs survive executor loss
     without recomputing from the first iteration."""
     checkpoint_dir(train.sparkSession)
-    blocks = num_blocks or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one factor block per core by default (shuffle partitions are sized for
+    # shuffles, and can be far more numerous than useful ALS blocks)
+    blocks = num_blocks or train.sparkSession.sparkContext.defaultParallelism
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg_param, userCol=user,
               itemCol=item, ratingCol=rating, coldStartStrategy="drop", seed=seed,
               numUserBlocks=blocks, numItemBlocks=blocks,

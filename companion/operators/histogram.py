@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from companion.session import broadcast_if_small
+
 
 def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
     step = (hi - lo) / F.lit(float(bins))
@@ -58,7 +60,9 @@ def histogram(df: DataFrame, value: str, bins: int,
     if by:
         rng = vals.groupBy(*by).agg(F.min("_v").alias("_lo0"), F.max("_v").alias("_hi0"))
         lo, hi = _bounds(F.col("_lo0"), F.col("_hi0"))
-        rng = rng.select(*by, lo.alias("_lo"), hi.alias("_hi"))
+        # one row per series: broadcast after a size check, so a series key
+        # with few values never routes a whole series to one reducer
+        rng = broadcast_if_small(rng.select(*by, lo.alias("_lo"), hi.alias("_hi")))
         tagged = vals.join(rng, by)
         series = rng
     else:

@@ -55,12 +55,15 @@ def companions_per_base(reviews: DataFrame, rel: DataFrame,
 
 
 def dataset_counts(reviews: DataFrame, meta: DataFrame, rel: DataFrame,
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), exact: bool = True,
+                   rsd: float = 0.01) -> DataFrame:
     """``[by,] n_ratings, n_users, n_items, n_bases, n_comps, sparsity``.
 
     The three tables are stacked with a source tag and described by one
     aggregate: no join between one-row results.  Sparsity is
-    ``1 - ratings / (items * users)``."""
+    ``1 - ratings / (items * users)``.  ``exact=False`` counts distinct
+    values with HyperLogLog++ (relative error ``rsd``): one partial
+    aggregate instead of one expanded copy of each row per distinct count."""
     by = list(by)
     stacked = (reviews.select(*by, F.lit("r").alias("_src"),
                               F.col("reviewerID").alias("_a"), F.col("asin").alias("_b"))
@@ -74,12 +77,15 @@ def dataset_counts(reviews: DataFrame, meta: DataFrame, rel: DataFrame,
     def of(src: str, c: str):
         return F.when(F.col("_src") == src, F.col(c))
 
+    def distinct(c):
+        return F.countDistinct(c) if exact else F.approx_count_distinct(c, rsd)
+
     out = stacked.groupBy(*by).agg(
         F.count(F.when(F.col("_src") == "r", F.lit(1))).cast("long").alias("n_ratings"),
-        F.countDistinct(of("r", "_a")).cast("long").alias("n_users"),
-        F.countDistinct(of("r", "_b")).cast("long").alias("n_items"),
-        F.countDistinct(of("m", "_a")).cast("long").alias("n_bases"),
-        F.countDistinct(of("c", "_a")).cast("long").alias("n_comps"))
+        distinct(of("r", "_a")).cast("long").alias("n_users"),
+        distinct(of("r", "_b")).cast("long").alias("n_items"),
+        distinct(of("m", "_a")).cast("long").alias("n_bases"),
+        distinct(of("c", "_a")).cast("long").alias("n_comps"))
     cells = F.col("n_items").cast("double") * F.col("n_users").cast("double")
     return out.withColumn(
         "sparsity", F.when(cells > 0, F.lit(1.0) - F.col("n_ratings") / cells))

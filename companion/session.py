@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -60,6 +61,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# largest table (rows) that is broadcast after a size check
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint for ``df`` only after counting it.
+
+    ``df`` is cached first so the count and the join read the same rows;
+    above ``max_rows`` it is returned as is and joined by a shuffle."""
+    df = keep(df)
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "companion") -> SparkSession:
     """Local session used by tests and the bench (UI off, AQE on)."""
