@@ -55,7 +55,8 @@ def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "reviews":
         return FX.reviews(spark, sf_dir)
     if name == "metadata":
-        return FX.metadata(spark, sf_dir)
+        rel = prepared(spark, sf_dir, "relation")
+        return FX.metadata(spark, sf_dir, rel.where(F.col("compProd").isNotNull()))
     if name == "relation":
         return FX.relation(spark, sf_dir)
     if name == "categories":
@@ -204,17 +205,33 @@ def popularity_evaluation(spark, sf_dir):
 
 # ------------------------------------------------------------- statistics
 
+class _Report:
+    """``report[name]`` plans only the requested statistic."""
+
+    def __init__(self, spark, sf_dir, by_category: bool):
+        self.spark, self.sf_dir, self.by_category = spark, sf_dir, by_category
+
+    def __getitem__(self, name: str) -> DataFrame:
+        spark, sf_dir = self.spark, self.sf_dir
+        if self.by_category:
+            c = REPORT.categorized(prepared(spark, sf_dir, "reviews"),
+                                   prepared(spark, sf_dir, "metadata"),
+                                   prepared(spark, sf_dir, "categories"))
+            tables, by = (c["reviews"], c["meta"], c["relation"]), ("category",)
+        else:
+            meta_flat = R.flatten_metadata(prepared(spark, sf_dir, "metadata"))
+            tables = (prepared(spark, sf_dir, "reviews"), meta_flat,
+                      REL.companion_relation(meta_flat))
+            by = ()
+        return REPORT.dataset_report(*tables, by=by, items=(name,))[name]
+
+
 def _whole_report(spark, sf_dir):
-    meta_flat = R.flatten_metadata(prepared(spark, sf_dir, "metadata"))
-    return REPORT.dataset_report(prepared(spark, sf_dir, "reviews"), meta_flat,
-                                 REL.companion_relation(meta_flat))
+    return _Report(spark, sf_dir, by_category=False)
 
 
 def _category_report(spark, sf_dir):
-    c = REPORT.categorized(prepared(spark, sf_dir, "reviews"),
-                           prepared(spark, sf_dir, "metadata"),
-                           prepared(spark, sf_dir, "categories"))
-    return REPORT.dataset_report(c["reviews"], c["meta"], c["relation"], ("category",))
+    return _Report(spark, sf_dir, by_category=True)
 
 
 def _hist(df):

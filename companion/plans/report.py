@@ -31,24 +31,40 @@ def categorized(reviews: DataFrame, meta: DataFrame,
     return {"reviews": cat_reviews, "meta": cat_meta, "relation": cat_rel}
 
 
+REPORT_ITEMS = ("counts", "ratings_per_product", "ratings_per_user",
+                "companions_per_user", "companions_per_base", "hist_rating",
+                "hist_per_product", "hist_per_user", "hist_companions_per_user",
+                "hist_companions_per_base")
+
+
 def dataset_report(reviews: DataFrame, meta_flat: DataFrame, rel: DataFrame,
-                   by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Counts, sparsity and the five histograms of the reference's notebook."""
-    per_product = S.ratings_per_product(reviews, by)
-    per_user = S.ratings_per_user(reviews, by)
-    comp_user = S.companions_per_user(reviews, rel, by)
-    comp_base = S.companions_per_base(reviews, rel, by)
-    return {
-        "counts": S.dataset_counts(reviews, meta_flat, rel, by),
-        "ratings_per_product": per_product,
-        "ratings_per_user": per_user,
-        "companions_per_user": comp_user,
-        "companions_per_base": comp_base,
-        "hist_rating": histogram(reviews, "overall", RATING_BINS, by),
-        "hist_per_product": histogram(per_product, "n_ratings", PER_PRODUCT_BINS, by),
-        "hist_per_user": histogram(per_user, "n_ratings", PER_USER_BINS, by),
-        "hist_companions_per_user": histogram(comp_user, "n_companions",
-                                              COMPANIONS_PER_USER_BINS, by),
-        "hist_companions_per_base": histogram(comp_base, "n_companions",
-                                              COMPANIONS_PER_BASE_BINS, by),
+                   by: tuple[str, ...] = (),
+                   items: tuple[str, ...] = REPORT_ITEMS) -> dict[str, DataFrame]:
+    """Counts, sparsity and the five histograms of the reference's notebook.
+
+    Only the requested ``items`` are planned (a histogram computes its
+    range statistic when it is planned)."""
+    made: dict[str, DataFrame] = {}
+
+    def get(name: str) -> DataFrame:
+        if name not in made:
+            made[name] = build[name]()
+        return made[name]
+
+    build = {
+        "counts": lambda: S.dataset_counts(reviews, meta_flat, rel, by),
+        "ratings_per_product": lambda: S.ratings_per_product(reviews, by),
+        "ratings_per_user": lambda: S.ratings_per_user(reviews, by),
+        "companions_per_user": lambda: S.companions_per_user(reviews, rel, by),
+        "companions_per_base": lambda: S.companions_per_base(reviews, rel, by),
+        "hist_rating": lambda: histogram(reviews, "overall", RATING_BINS, by),
+        "hist_per_product": lambda: histogram(get("ratings_per_product"), "n_ratings",
+                                              PER_PRODUCT_BINS, by),
+        "hist_per_user": lambda: histogram(get("ratings_per_user"), "n_ratings",
+                                           PER_USER_BINS, by),
+        "hist_companions_per_user": lambda: histogram(
+            get("companions_per_user"), "n_companions", COMPANIONS_PER_USER_BINS, by),
+        "hist_companions_per_base": lambda: histogram(
+            get("companions_per_base"), "n_companions", COMPANIONS_PER_BASE_BINS, by),
     }
+    return {name: get(name) for name in items}

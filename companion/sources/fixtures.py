@@ -80,13 +80,16 @@ def relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(lonely)
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metadata(spark: SparkSession, sf_dir: str,
+             pairs: DataFrame | None = None) -> DataFrame:
     """Nested metadata: ``asin, title, price, related.also_bought``.
 
     Lists are sorted; a list longer than ``META_LIST_LEN`` is split over
     several rows of the same asin (chunk by an md5 prefix of the companion)
-    so no row grows with the data."""
-    pairs = relation_pairs(spark, sf_dir)
+    so no row grows with the data.  ``pairs`` may pass relation pairs that
+    were already computed."""
+    if pairs is None:
+        pairs = relation_pairs(spark, sf_dir)
     sizes = pairs.groupBy("asin").agg(F.count("*").alias("n"))
     chunked = pairs.join(sizes, "asin").withColumn(
         "chunk", draw_index(F.md5("compProd"),
