@@ -287,6 +287,12 @@ SQL: dict[str, str] = {
           SELECT reviewerID, asin, overall,
                  CAST(row_number() OVER (PARTITION BY reviewerID ORDER BY overall DESC, asin) AS BIGINT) AS pos
           FROM reviews) WHERE pos <= {K}""",
+    "rating_lists": """
+        SELECT reviewerID,
+               coalesce(string_agg(compProd, ' ' ORDER BY pos) FILTER (WHERE pos IS NOT NULL), '')
+                 AS recommendation,
+               CAST(count(pos) AS BIGINT) AS n_items
+        FROM pop_rec GROUP BY reviewerID""",
     "records_roundtrip": "SELECT reviewerID, asin, overall FROM reviews",
     "metadata_records": "SELECT asin, compProd FROM meta_relation",
     "csv_roundtrip": "SELECT * FROM comp_ratings",
@@ -420,6 +426,9 @@ ALS_SQL: dict[str, str] = {
         SELECT reviewerID_int, productID_int, true AS positive FROM als_pos
         UNION ALL SELECT reviewerID_int, productID_int, false FROM als_neg""",
     "eligible_targets": "SELECT * FROM eligible",
+    "pack_ratings": """
+        SELECT reviewerID_int, productID_int AS item,
+               CAST(trunc(compRating) AS BIGINT) AS rating FROM comp_enc""",
 }
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from companion.functions import metrics as M
 from companion.operators import evaluation as E
 from companion.operators import popularity as P
 from companion.operators import ranking as RK
@@ -480,3 +481,29 @@ def top_k_per_key(spark, sf_dir):
     top = RK.top_k_per_key(reviews, ["reviewerID"],
                            [F.col("overall").desc(), F.col("asin")], TOP_K)
     return top.withColumn("pos", F.col("pos").cast("long"))
+
+
+@query
+def pack_ratings(spark, sf_dir):
+    """(item, rating) packed into a struct per encoded companion rating and
+    read back by field, renamed (P16)."""
+    enc = _als(spark, sf_dir).prepare().out["comp_enc"]
+    packed = R.pack_ratings(enc.withColumn("compRating", R.rating_as_int("compRating")),
+                            "productID_int", "compRating", "rating_pair")
+    return _long_ids(packed.select(
+        "reviewerID_int", F.col("rating_pair.productID_int").alias("item"),
+        F.col("rating_pair.compRating").cast("long").alias("rating")))
+
+
+@query
+def rating_lists(spark, sf_dir):
+    """Ordered list per user (G9) where a list is bounded: the popularity
+    recommendation (at most K entries), as text in list order."""
+    i = inputs(spark, sf_dir)
+    rec = popularity_pipeline(i["base"], i["comp"], i["relation"])["recommendations"]
+    lists = rec.groupBy("reviewerID").agg(
+        M.ordered_list("pos", "compProd").alias("lst"))
+    return lists.select("reviewerID",
+                        F.array_join(F.transform("lst", lambda x: x["compProd"]), " ")
+                        .alias("recommendation"),
+                        F.size("lst").cast("long").alias("n_items"))
