@@ -39,7 +39,7 @@ def _chunked_range(df: DataFrame, user: str, total: F.Column, name: str,
     n_chunks = F.ceil(total / F.lit(chunk_rows)).cast("int")
     chunks = (df.withColumn("_total", total.cast("long"))
               .withColumn("_c", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-              .repartition(user, "_c"))
+              .repartition(user, "_c"))        # AQE sizes this shuffle
     lo = F.col("_c").cast("long") * F.lit(chunk_rows)
     hi = F.least(lo + F.lit(chunk_rows), F.col("_total")) - 1
     return chunks.withColumn(name, F.explode(F.sequence(lo, hi))).drop("_c", "_total")

@@ -74,11 +74,14 @@ def dense_index(df: DataFrame, key: str, id_col: str,
     executor is lost).  Offsets of the range partitions (one row per
     partition) are broadcast."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(key).where(F.col(key).isNotNull()).distinct().persist(
         StorageLevel.MEMORY_AND_DISK)
     path = scratch_path(spark, f"dense-index-{key}")
-    (keys.repartitionByRange(n, key).sortWithinPartitions(key)
+    # without an explicit count AQE may merge adjacent ranges, which keeps
+    # every partition a contiguous key range
+    ranged = (keys.repartitionByRange(num_partitions, key) if num_partitions
+              else keys.repartitionByRange(key))
+    (ranged.sortWithinPartitions(key)
      .withColumn("_mid", F.monotonically_increasing_id())
      .write.parquet(path))
     keys.unpersist()
