@@ -9,6 +9,7 @@ Stages (each a lazy DataFrame unless noted):
 ``fit``        ALS model (runs the training jobs), top-K recommendations
 ``evaluate``   per-user metrics and the one-row summary
 
+Stage methods are idempotent: a stage already run is not run again.
 Outputs reused by later stages (inputs, encoded ratings, split, instances,
 recommendations) are written once as tables in the shared checkpoint
 folder; the rest stays lazy.
@@ -64,6 +65,8 @@ class ALSRun:
         return materialize(df, name) if self.cfg.materialize else df
 
     def prepare(self) -> "ALSRun":
+        if "comp_enc" in self.out:
+            return self
         base, comp = self.base, self.comp
         if self.cfg.materialize_inputs:
             base = self._keep(base, "als-base")
@@ -78,8 +81,9 @@ class ALSRun:
         return self
 
     def split(self) -> "ALSRun":
-        if "comp_enc" not in self.out:
-            self.prepare()
+        if "split" in self.out:
+            return self
+        self.prepare()
         split = self._keep(holdout_split(
             self.out["comp_enc"], "reviewerID_int", "productID_int", "compRating",
             self.cfg.frac, self.cfg.seed, self.cfg.group_rows), "als-split")
@@ -88,8 +92,9 @@ class ALSRun:
         return self
 
     def instances(self) -> "ALSRun":
-        if "train" not in self.out:
-            self.split()
+        if "instances" in self.out:
+            return self
+        self.split()
         pool = self.out["comp_enc"].select("productID_int").distinct()
         self.out["instances"] = self._keep(scoring_instances(
             self.out["test"], self.out["train"], pool, self.cfg.seed,
@@ -97,8 +102,9 @@ class ALSRun:
         return self
 
     def targets(self) -> "ALSRun":
-        if "test" not in self.out:
-            self.split()
+        if "eligible" in self.out:
+            return self
+        self.split()
         means = (TG.user_mean(self.out["cohort"], "reviewerID", "prodRating",
                               nonzero=True)
                  .join(self.out["users"], "reviewerID")
@@ -114,8 +120,9 @@ class ALSRun:
         return self
 
     def fit(self) -> "ALSRun":
-        if "instances" not in self.out:
-            self.instances()
+        if "recommendations" in self.out:
+            return self
+        self.instances()
         model = A.fit_als(self.out["train"], self.cfg.rank, self.cfg.max_iter,
                           self.cfg.reg_param, self.cfg.seed)
         pred = A.predict(model, self.out["instances"].select("reviewerID_int",
@@ -126,10 +133,10 @@ class ALSRun:
         return self
 
     def evaluate(self) -> "ALSRun":
-        if "recommendations" not in self.out:
-            self.fit()
-        if "eligible" not in self.out:
-            self.targets()
+        if "summary" in self.out:
+            return self
+        self.fit()
+        self.targets()
         inst = self.out["instances"].withColumn(
             "_kind", self.out["instances"]["is_negative"].cast("int"))
         per_user = E.als_user_metrics(
