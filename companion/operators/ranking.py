@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from companion.session import scratch_path
+from companion.session import materialize, scratch_path
 
 # rows per sub-group of a key; large enough that ordinary keys stay whole
 DEFAULT_GROUP_ROWS = 1 << 17
@@ -72,7 +72,7 @@ def dense_index(df: DataFrame, key: str, id_col: str,
     position inside the partition, and written once as a table in the shared
     checkpoint folder, so the ids never change afterwards (not even when an
     executor is lost).  Offsets of the range partitions (one row per
-    partition) are broadcast."""
+    partition) are broadcast, and the resulting id table is written too."""
     spark = df.sparkSession
     keys = df.select(key).where(F.col(key).isNotNull()).distinct().persist(
         StorageLevel.MEMORY_AND_DISK)
@@ -93,5 +93,7 @@ def dense_index(df: DataFrame, key: str, id_col: str,
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0))
                            .alias("_off"))
-    return tagged.join(F.broadcast(offsets), "_pid").select(
+    ids = tagged.join(F.broadcast(offsets), "_pid").select(
         key, (F.col("_off") + F.col("_pos")).cast("int").alias(id_col))
+    # the id table itself is written too, so every later use is a plain scan
+    return materialize(ids, f"dense-ids-{key}")

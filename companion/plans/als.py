@@ -71,7 +71,9 @@ class ALSRun:
         if self.cfg.materialize_inputs:
             base = self._keep(base, "als-base")
             comp = self._keep(comp, "als-comp")
-        cohort = C.cohort_ratings(base, comp, self.cfg.min_comp)
+        # the cohort feeds the item ids and the user means: written once
+        cohort = {"all": self._keep(C.cohort_ratings(base, comp, self.cfg.min_comp)["all"],
+                                    "als-cohort")}
         items = C.item_index(cohort["all"])
         users = C.user_index(base)
         self.out.update(
