@@ -406,7 +406,15 @@ als_neg AS (
     ON t.reviewerID_int = m.reviewerID_int WHERE t.prodRating < m.avgRating - 2.0),
 eligible AS (
   SELECT * FROM als_pos WHERE reviewerID_int IN (
-    SELECT reviewerID_int FROM als_pos GROUP BY reviewerID_int HAVING count(*) >= 5))
+    SELECT reviewerID_int FROM als_pos GROUP BY reviewerID_int HAVING count(*) >= 5)),
+ideal_flags AS (
+  SELECT i.reviewerID_int, i.productID_int, CAST(i.is_negative AS INTEGER) AS kind,
+         EXISTS (SELECT 1 FROM eligible e WHERE e.reviewerID_int = i.reviewerID_int
+                                            AND e.productID_int = i.productID_int) AS hit,
+         EXISTS (SELECT 1 FROM als_neg n WHERE n.reviewerID_int = i.reviewerID_int
+                                           AND n.productID_int = i.productID_int) AS neg
+  FROM instances i
+  WHERE i.reviewerID_int IN (SELECT reviewerID_int FROM eligible))
 """
 
 ALS_SQL: dict[str, str] = {
@@ -426,6 +434,20 @@ ALS_SQL: dict[str, str] = {
         SELECT reviewerID_int, productID_int, true AS positive FROM als_pos
         UNION ALL SELECT reviewerID_int, productID_int, false FROM als_neg""",
     "eligible_targets": "SELECT * FROM eligible",
+    "als_ideal_dcg": f"""
+        SELECT reviewerID_int,
+               round(sum(CASE WHEN hit THEN ln(2) / ln(r + 1) ELSE 0 END), 6) AS idcg
+        FROM (
+          SELECT *, row_number() OVER (PARTITION BY reviewerID_int
+                                       ORDER BY cls, kind, productID_int) AS r
+          FROM (
+            SELECT reviewerID_int, productID_int, kind, hit, 0 AS cls FROM ideal_flags WHERE hit
+            UNION ALL SELECT reviewerID_int, productID_int, kind, hit, 1 FROM ideal_flags
+              WHERE NOT hit AND NOT neg
+            UNION ALL SELECT reviewerID_int, productID_int, kind, hit, 2 FROM ideal_flags
+              WHERE neg))
+        WHERE r <= {K}
+        GROUP BY reviewerID_int""",
     "pack_ratings": """
         SELECT reviewerID_int, productID_int AS item,
                CAST(trunc(compRating) AS BIGINT) AS rating FROM comp_enc""",

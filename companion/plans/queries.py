@@ -525,3 +525,20 @@ def rating_lists(spark, sf_dir):
                         F.array_join(F.transform("lst", lambda x: x["compProd"]), " ")
                         .alias("recommendation"),
                         F.size("lst").cast("long").alias("n_items"))
+
+
+@query
+def als_ideal_dcg(spark, sf_dir):
+    """Ideal DCG of the ALS evaluation (E5/E6): each eligible user's scoring
+    instances reordered (positives, unlabelled, negatives) and cut to K.
+    Model-independent, so it has an exact oracle."""
+    run = _als(spark, sf_dir).instances().targets()
+    out = run.out
+    inst = out["instances"].withColumn("_kind", F.col("is_negative").cast("int"))
+    users = (out["eligible"].select("reviewerID_int").distinct()
+             .join(inst.select("reviewerID_int").distinct(), "reviewerID_int"))
+    ideal = E.instance_ideal_dcg(inst.join(users, "reviewerID_int", "left_semi"),
+                                 out["eligible"], out["negatives"], TOP_K,
+                                 "reviewerID_int", "productID_int",
+                                 ["_kind", "productID_int"])
+    return _long_ids(ideal.withColumn("idcg", r6("idcg")))

@@ -55,7 +55,8 @@ FAST = ["companion_relation", "flatten_metadata", "base_ratings", "comp_ratings"
         "hist_companions_per_base", "dataset_counts", "sparsity", "top_k_per_key",
         "user_candidates", "companions_per_user", "preprocess_summary"]
 ALS = ["item_index", "user_index", "holdout_split", "training_set", "negative_samples",
-       "als_targets", "eligible_targets", "user_mean_rating", "cohort_ratings"]
+       "als_targets", "eligible_targets", "user_mean_rating", "cohort_ratings",
+       "als_ideal_dcg", "pack_ratings"]
 
 
 @pytest.mark.parametrize("name", FAST + ALS)

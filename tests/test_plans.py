@@ -12,7 +12,8 @@ from conftest import SF_TINY
 SKIP = {"als_predictions", "als_recommend", "als_evaluation", "negative_samples",
         "holdout_split", "training_set", "encode_base", "encode_comp", "item_index",
         "user_index", "als_targets", "eligible_targets", "user_mean_rating",
-        "cohort_ratings", "records_roundtrip", "metadata_records", "csv_roundtrip"}
+        "cohort_ratings", "records_roundtrip", "metadata_records", "csv_roundtrip",
+        "als_ideal_dcg", "pack_ratings"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
              "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
 GROUP_LIMITED = ["top_companions", "top_k_per_key", "user_candidates",
