@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from companion import schemas
 from companion.operators.relation import base_ratings, comp_ratings, companion_relation
 from companion.operators.reshape import flatten_metadata, project_reviews, table_shape
+from companion.session import materialize
 from companion.sources.records import read_records
 from companion.sources.tables import read_csv_table, write_csv_table
 
@@ -26,12 +27,20 @@ def preprocess(reviews_raw: DataFrame, meta_raw: DataFrame) -> dict[str, DataFra
 def preprocess_files(spark: SparkSession, reviews_path: str, meta_path: str,
                      out_dir: str, partitions: int | None = None) -> dict[str, str]:
     """Read record files, write ``relation``, ``base`` and ``comp`` CSV
-    directories under ``out_dir``; returns their paths."""
-    out = preprocess(read_records(spark, reviews_path, schemas.REVIEW, partitions),
-                     read_records(spark, meta_path, schemas.METADATA, partitions))
-    paths = {name: os.path.join(out_dir, name) for name in out}
-    for name, df in out.items():
-        write_csv_table(df, paths[name])
+    directories under ``out_dir``; returns their paths.
+
+    Each raw file is parsed once: the relation is written first and read
+    back, and the projected reviews are written once to the shared folder;
+    both rating tables are then split from those tables."""
+    paths = {name: os.path.join(out_dir, name) for name in ("relation", "base", "comp")}
+    meta = read_records(spark, meta_path, schemas.METADATA, partitions)
+    write_csv_table(companion_relation(flatten_metadata(meta)), paths["relation"])
+    rel = read_csv_table(spark, paths["relation"], schemas.RELATION)
+    reviews = materialize(
+        project_reviews(read_records(spark, reviews_path, schemas.REVIEW, partitions)),
+        "preprocess-reviews")
+    write_csv_table(base_ratings(reviews, rel), paths["base"])
+    write_csv_table(comp_ratings(reviews, rel), paths["comp"])
     return paths
 
 
