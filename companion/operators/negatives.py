@@ -30,21 +30,31 @@ from companion.operators.ranking import (DEFAULT_GROUP_ROWS, dense_index, hash_b
 from companion.session import keep, materialize
 
 EXTRA_DRAWS = 8
+ROWS_PER_TASK = 1 << 20       # generated draws per task
 
 
 def _chunked_range(df: DataFrame, user: str, total: F.Column, name: str,
-                   chunk_rows: int) -> DataFrame:
+                   chunk_rows: int, partitions: int) -> DataFrame:
     """Rows ``0..total-1`` per input row as column ``name``, generated in
-    chunks of ``chunk_rows`` that are shuffled before expansion."""
+    chunks of ``chunk_rows`` that are shuffled into ``partitions`` parts
+    before expansion (sized by the expanded row count, not the input)."""
     n_chunks = F.ceil(total / F.lit(chunk_rows)).cast("int")
     chunks = (df.withColumn("_total", total.cast("long"))
               .withColumn("_c", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-              .repartition(user, "_c"))        # AQE sizes this shuffle
+              .repartition(partitions, user, "_c"))
     lo = F.col("_c").cast("long") * F.lit(chunk_rows)
     hi = F.least(lo + F.lit(chunk_rows), F.col("_total")) - 1
     return chunks.withColumn(name, F.explode(F.sequence(lo, hi))).drop("_c", "_total")
 
 
+def _parts_for(df: DataFrame, rows: F.Column) -> int:
+    """Partitions for ``sum(rows)`` generated rows: one per core at least,
+    and about ``ROWS_PER_TASK`` rows each (one aggregate, one number)."""
+    total = df.select(F.sum(rows)).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-int(total) // ROWS_PER_TASK))
+
+
 def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
                       seed: int = 42, user: str = "reviewerID_int",
                       item: str = "productID_int",
@@ -61,8 +71,9 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
                 .distinct())
 
     # 1-3: seeded draws, seen items removed, first t distinct by draw number
-    draws = _chunked_range(wanted, user, F.lit(2) * F.col("_t") + EXTRA_DRAWS, "_k",
-                           group_rows)
+    n_draws = F.lit(2) * F.col("_t") + EXTRA_DRAWS
+    draws = _chunked_range(wanted, user, n_draws, "_k", group_rows,
+                           _parts_for(wanted, n_draws))
     draws = draws.withColumn(
         "_idx", draw_index(seeded_digest(seed, user, "_k"), pool_size))
     hits = (draws.join(pool, "_idx").join(seen, [user, item], "left_anti")
@@ -94,7 +105,8 @@ def _complete(short: DataFrame, pool: DataFrame, pool_size, seen: DataFrame,
               group_rows: int) -> DataFrame:
     """The remaining ``_rest`` unseen items of each short user, taken from
     the whole pool in seeded hash order."""
-    spread = _chunked_range(short, user, pool_size, "_idx", group_rows)
+    spread = _chunked_range(short, user, pool_size, "_idx", group_rows,
+                            _parts_for(short.select(pool_size.alias("_p")), F.col("_p")))
     rest = (spread.join(pool, "_idx").join(seen, [user, item], "left_anti")
             .join(firsts, [user, item], "left_anti")
             .withColumn("_h", seeded_digest(seed, user, item)))
