@@ -5,7 +5,7 @@ of the companion pool that the user has neither trained on nor been tested
 on, by rejection sampling in a Python UDF (and never ends when the pool is
 exhausted).  Here:
 
-1. the pool gets dense indexes ``0..P-1`` (item order, checkpointed);
+1. the pool gets dense indexes ``0..P-1`` (item order, written once);
 2. every user makes ``2t + 8`` seeded draws ``md5(seed:user:k) mod P``;
    draws are generated in chunks with a shuffle in between, so a user with
    a third of all rows is spread over many tasks;
