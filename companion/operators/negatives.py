@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from companion.functions.hashing import draw_index, hex_prefix, seeded_digest
 from companion.operators.ranking import (DEFAULT_GROUP_ROWS, dense_index, hash_bucket,
                                          key_rank)
-from companion.session import keep, materialize
+from companion.session import materialize
 
 EXTRA_DRAWS = 8
 ROWS_PER_TASK = 1 << 20       # generated draws per task
@@ -64,11 +64,14 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
     pool = dense_index(pool_items.select(item), item, "_idx")
     pool_size = pool.select(F.count(F.lit(1))).scalar()
 
+    # read by several branches: written once (a cached plan would keep its
+    # shuffle's full partition count; a written table is sized by AQE)
     train_users = train.select(user).distinct()
-    tests = keep(test.join(train_users, user, "left_semi"))
-    wanted = keep(tests.groupBy(user).agg(F.count(F.lit(1)).alias("_t")))
-    seen = keep(train.select(user, item).unionByName(tests.select(user, item))
-                .distinct())
+    tests = materialize(test.join(train_users, user, "left_semi"), "negatives-tests")
+    wanted = materialize(tests.groupBy(user).agg(F.count(F.lit(1)).alias("_t")),
+                         "negatives-wanted")
+    seen = materialize(train.select(user, item).unionByName(tests.select(user, item))
+                       .distinct(), "negatives-seen")
 
     # 1-3: seeded draws, seen items removed, first t distinct by draw number
     n_draws = F.lit(2) * F.col("_t") + EXTRA_DRAWS
