@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +39,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
                         f"{name}-{uuid.uuid4().hex}")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cache a DataFrame that several branches of a plan reuse.
-
-    Only deterministic results are cached: a block lost with its executor
-    is recomputed from lineage to the same rows."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder
     and continue from the written table.
@@ -68,9 +59,9 @@ BROADCAST_MAX_ROWS = 1_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint for ``df`` only after counting it.
 
-    ``df`` is cached first so the count and the join read the same rows;
-    above ``max_rows`` it is returned as is and joined by a shuffle."""
-    df = keep(df)
+    ``df`` is written once first, so the count and the join read the same
+    rows; above ``max_rows`` it is returned as is and joined by a shuffle."""
+    df = materialize(df, "broadcast-candidate")
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
