@@ -1,6 +1,7 @@
 """The driver contract, and the DuckDB oracle on the smallest fixture."""
 
 import math
+import re
 
 import duckdb
 import pandas as pd
@@ -46,7 +47,8 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_unless_rows_only():
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
-    assert set(q) - set(sql) == ROWS_ONLY
+    own = {name for name in q if not re.match(r"op\d+_|pipeline$", name)}
+    assert own - set(sql) == ROWS_ONLY
 
 
 FAST = ["companion_relation", "flatten_metadata", "base_ratings", "comp_ratings",
