@@ -6,17 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from companion.llm import decontaminate, mixing, secrets_scan, simhash, toxicity
+from companion.llm import (
+    decontaminate,
+    language_id,
+    licence_scan,
+    mixing,
+    nearest,
+    pii,
+    secrets_scan,
+    simhash,
+    toxicity,
+    url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("redactions")
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -28,6 +56,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"),
                                     table(spark, sf_dir, "labels"))
@@ -40,7 +72,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_secret_scan, op6_simhash_near_dedup, op7_decontamination, op9_toxicity,
+        op1_pii, op2_licence_scan, op3_nearest_neighbours, op4_secret_scan, op5_url_filter,
+        op6_simhash_near_dedup, op7_decontamination, op8_language_id, op9_toxicity,
         op10_source_mixing)
 }
 
@@ -112,7 +145,31 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM docs d LEFT JOIN covered c ON d.r = c.r LEFT JOIN found f ON d.r = f.r
 """
 
+def licence_sql(known=licence_scan.KNOWN) -> str:
+    """The canonical form, digests and look-ups in SQL, over the same known texts."""
+    def canonical(text: str) -> str:
+        out = f"regexp_replace(lower({text}), '{licence_scan.COPYRIGHT_LINE}', '', 'g')"
+        for written, usual in licence_scan.SPELLINGS:
+            out = f"replace({out}, '{written}', '{usual}')"
+        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    values = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in known)
+    return f"""
+WITH given(licence, scope, text) AS (VALUES {values}),
+known AS (SELECT scope, digest, string_agg(DISTINCT licence, '|' ORDER BY licence) AS licence
+          FROM (SELECT scope, licence, sha256({canonical('text')}) AS digest FROM given) GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+found AS (SELECT r, count(DISTINCT k.licence) AS n, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS ids
+          FROM lines JOIN known k ON k.scope = 'notice' AND k.digest = sha256({canonical('line')}) GROUP BY r)
+SELECT d.doc_id, k.licence, CAST(coalesce(f.n, 0) AS BIGINT) AS n_notices, coalesce(f.ids, '') AS notices
+FROM docs d LEFT JOIN known k ON k.scope = 'text' AND k.digest = sha256({canonical('d.text')})
+LEFT JOIN found f ON f.r = d.r
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_licence_scan": licence_sql(),
     "op7_decontamination": DECONTAMINATION_SQL,
     "op10_source_mixing": MIXING_SQL,
 }
