@@ -5,18 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder, setting one only for local runs.
 
     The folder comes from the session (``SparkContext.getCheckpointDir`` or
-    ``spark.checkpoint.dir``).  Only a ``local`` master without either gets a
-    fresh temporary folder; on a cluster an unset folder is an error, because
-    a machine-local path would not survive the loss of an executor.
+    ``spark.checkpoint.dir``).  Only a single-process ``local`` master without
+    either gets a fresh temporary folder; elsewhere (``local-cluster`` too, whose
+    executors are processes of their own) an unset folder is an error, because a
+    machine-local path would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -26,17 +28,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="companion-ckpt-"))
     return sc.getCheckpointDir()
 
 
+_RUNS: list[str] = []          # folders of the open runs, innermost last
+
+
+def _tables(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh table path inside the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "tables",
-                        f"{name}-{uuid.uuid4().hex}")
+    """A fresh table path inside the shared checkpoint folder, in the folder of
+    the innermost open run (see ``run_tables``) or of the application."""
+    return os.path.join(_RUNS[-1] if _RUNS else _tables(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def run_tables(spark: SparkSession) -> Iterator[str]:
+    """Stage tables written inside the block belong to one run and are removed when it
+    ends.  Results are lazy reads of them: write or collect what is to stay first."""
+    folder = os.path.join(_tables(spark), f"run-{uuid.uuid4().hex}")
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        _remove(spark, folder)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Remove every stage table that this application has written outside of runs."""
+    _remove(spark, _tables(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,19 +84,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# largest table (rows) that is broadcast after a size check
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` only after counting it.
-
-    ``df`` is written once first, so the count and the join read the same
-    rows; above ``max_rows`` it is returned as is and joined by a shuffle."""
-    df = materialize(df, "broadcast-candidate")
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "companion") -> SparkSession:
     """Local session used by tests and the bench (UI off, AQE on)."""

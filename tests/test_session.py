@@ -1,7 +1,10 @@
 import contextlib
 import io
+import os
 
-from companion.session import broadcast_if_small, checkpoint_dir, materialize
+import pytest
+
+from companion.session import checkpoint_dir, materialize, run_tables
 
 
 def plan_of(df) -> str:
@@ -11,18 +14,42 @@ def plan_of(df) -> str:
     return buf.getvalue()
 
 
-def test_broadcast_only_below_the_checked_size(spark):
-    big = spark.range(200000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    joined = big.join(broadcast_if_small(small, max_rows=100), "k")
-    assert "BroadcastHashJoin" in plan_of(joined)
-    # above the limit no hint is given; the join is planned without one
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plain = big.join(broadcast_if_small(big.select("k"), max_rows=100), "k")
-        assert "BroadcastHashJoin" not in plan_of(plain)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+class FakeCluster:
+    """A session as ``checkpoint_dir`` sees it, without a configured folder."""
+
+    def __init__(self, master):
+        self.sparkContext, self.master = self, master
+
+    def getCheckpointDir(self):
+        return None
+
+    def getConf(self):
+        return {}
+
+
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "spark://host:7077", "yarn"])
+def test_only_a_local_process_gets_a_folder_of_its_own(master):
+    with pytest.raises(RuntimeError, match="shared folder"):
+        checkpoint_dir(FakeCluster(master))
+
+
+def test_a_closed_run_leaves_no_folder(spark):
+    with run_tables(spark) as folder:
+        out = materialize(spark.range(5), "run-test")
+        assert os.path.basename(folder) in out.inputFiles()[0] and out.count() == 5
+        with run_tables(spark) as inner:
+            materialize(spark.range(2), "inner-test")
+        assert not os.path.exists(local(inner)) and os.path.exists(local(folder))
+    assert not os.path.exists(local(folder))
+    with pytest.raises(ZeroDivisionError):
+        with run_tables(spark) as folder:
+            materialize(spark.range(5), "run-test")
+            1 / 0
+    assert not os.path.exists(local(folder))
+
+
+def local(path):
+    return path.removeprefix("file:")
 
 
 def test_materialize_cuts_lineage_into_the_shared_folder(spark):
