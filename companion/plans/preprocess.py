@@ -11,12 +11,12 @@ from companion import schemas
 from companion.operators.relation import base_ratings, comp_ratings, companion_relation
 from companion.operators.reshape import flatten_metadata, project_reviews, table_shape
 from companion.session import materialize
-from companion.sources.records import read_records
+from companion.sources.records import record_counts, require_clean, split_records
 from companion.sources.tables import read_csv_table, write_csv_table
 
 
 def preprocess(reviews_raw: DataFrame, meta_raw: DataFrame) -> dict[str, DataFrame]:
-    """The three tables the recommenders read, as lazy DataFrames."""
+    """The three tables both models read, as lazy DataFrames."""
     reviews = project_reviews(reviews_raw)
     rel = companion_relation(flatten_metadata(meta_raw))
     return {"relation": rel,
@@ -25,27 +25,34 @@ def preprocess(reviews_raw: DataFrame, meta_raw: DataFrame) -> dict[str, DataFra
 
 
 def preprocess_files(spark: SparkSession, reviews_path: str, meta_path: str,
-                     out_dir: str, partitions: int | None = None) -> dict[str, str]:
+                     out_dir: str, strict: bool = True) -> dict[str, str]:
     """Read record files, write ``relation``, ``base`` and ``comp`` CSV
-    directories under ``out_dir``; returns their paths.
+    directories and a ``report`` (file, n_records, n_corrupt) under ``out_dir``;
+    returns their paths.
 
-    Each raw file is parsed once: the relation is written first and read
-    back, and the projected reviews are written once to the shared folder;
-    both rating tables are then split from those tables."""
-    paths = {name: os.path.join(out_dir, name) for name in ("relation", "base", "comp")}
-    meta = read_records(spark, meta_path, schemas.METADATA, partitions)
-    write_csv_table(companion_relation(flatten_metadata(meta)), paths["relation"])
+    A line that cannot be parsed stops the run; without ``strict`` it is left out and
+    counted in the report.  Each raw file is parsed once, into a table; the relation is
+    written first and read back, and both rating tables are split from the tables."""
+    paths = {name: os.path.join(out_dir, name) for name in CSV_SCHEMAS}
+    files = {"metadata": (meta_path, schemas.METADATA), "reviews": (reviews_path, schemas.REVIEW)}
+    parsed = {name: materialize(split_records(spark, path, schema), f"preprocess-{name}")
+              for name, (path, schema) in files.items()}
+    if strict:
+        for name, table in parsed.items():
+            require_clean(table, files[name][0])
+    report = [record_counts(t).select(F.lit(name).alias("file"), "*") for name, t in parsed.items()]
+    write_csv_table(report[0].unionByName(report[1]), paths["report"])
+    good = {name: t.where(F.col("_corrupt").isNull()).drop("_corrupt") for name, t in parsed.items()}
+    write_csv_table(companion_relation(flatten_metadata(good["metadata"])), paths["relation"])
     rel = read_csv_table(spark, paths["relation"], schemas.RELATION)
-    reviews = materialize(
-        project_reviews(read_records(spark, reviews_path, schemas.REVIEW, partitions)),
-        "preprocess-reviews")
+    reviews = project_reviews(good["reviews"])
     write_csv_table(base_ratings(reviews, rel), paths["base"])
     write_csv_table(comp_ratings(reviews, rel), paths["comp"])
     return paths
 
 
 CSV_SCHEMAS = {"relation": schemas.RELATION, "base": schemas.BASE_RATINGS,
-               "comp": schemas.COMP_RATINGS}
+               "comp": schemas.COMP_RATINGS, "report": schemas.RECORD_REPORT}
 
 
 def read_outputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:

@@ -36,3 +36,10 @@ COMP_RATINGS = T.StructType([
     T.StructField("compProd", T.StringType()),
     T.StructField("compRating", T.DoubleType()),
 ])
+
+# lines read and lines that could not be parsed, per record file
+RECORD_REPORT = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("n_records", T.LongType()),
+    T.StructField("n_corrupt", T.LongType()),
+])

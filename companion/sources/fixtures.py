@@ -21,12 +21,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from companion.functions.hashing import draw_index
-
-# Fixed fixture values: size classes of parts and the longest metadata list.
+# Fixed fixture values: size classes of parts.
 MAIN_MIN_SIZE = 48        # p_size >= 48: main (base) product
 COMP_MAX_SIZE = 25        # p_size <= 25: companion product
-META_LIST_LEN = 1000      # a longer also-bought list is split over rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,17 +81,11 @@ def metadata(spark: SparkSession, sf_dir: str,
              pairs: DataFrame | None = None) -> DataFrame:
     """Nested metadata: ``asin, title, price, related.also_bought``.
 
-    Lists are sorted; a list longer than ``META_LIST_LEN`` is split over
-    several rows of the same asin (chunk by an md5 prefix of the companion)
-    so no row grows with the data.  ``pairs`` may pass relation pairs that
-    were already computed."""
+    Lists are sorted, one record per item as in the raw files.  ``pairs`` may pass
+    relation pairs that were already computed."""
     if pairs is None:
         pairs = relation_pairs(spark, sf_dir)
-    sizes = pairs.groupBy("asin").agg(F.count("*").alias("n"))
-    chunked = pairs.join(sizes, "asin").withColumn(
-        "chunk", draw_index(F.md5("compProd"),
-                            F.ceil(F.col("n") / META_LIST_LEN).cast("long")))
-    lists = (chunked.groupBy("asin", "chunk")
+    lists = (pairs.groupBy("asin")
              .agg(F.array_sort(F.collect_list("compProd")).alias("also_bought"))
              .select("asin", F.struct("also_bought").alias("related")))
     items = _items(spark, sf_dir).drop("category")

@@ -1,12 +1,14 @@
 """Line records written as Python literals (S1), read without ``eval``.
 
-The reference's raw files are gzipped text, one Python ``dict`` literal per
-line: single-quoted strings, ``None`` / ``True`` / ``False``.  They are read
-as text (Spark decompresses ``.gz`` per file), the three bare literals are
-rewritten to JSON where they stand as values, and ``from_json`` parses the
-line with single quotes allowed against an explicit schema.  Lines that
-still do not parse are counted by ``corrupt_records`` and dropped by
-``read_records``.
+The raw files are gzipped text, one Python ``dict`` literal per line: single- or
+double-quoted strings, ``None`` / ``True`` / ``False``.  They are read as text
+(Spark decompresses ``.gz`` per file); a line is cut into quoted strings and the
+rest, bare literals are rewritten to JSON in the rest only, and ``from_json``
+parses the line with single quotes allowed against an explicit schema.
+
+Lines that still do not parse are never dropped silently: ``split_records`` keeps
+them beside the records, ``record_counts`` counts both, and ``strict`` reading
+stops on the first file that has any.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed patterns: a bare Python literal standing as a value (after ':', '['
-# or ',' and before ',', '}' or ']').
+from companion.session import materialize
+
+# A line's pieces: a quoted string (escapes included), a stretch without quotes, or a
+# quote that is never closed.
+_PIECE = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[^'"]++|['"]"""
+# Bare Python literals and their JSON form.
 _LITERALS = (("None", "null"), ("True", "true"), ("False", "false"))
-_VALUE_BEFORE = r"(?<=[:\[,]\s{0,4})"
-_VALUE_AFTER = r"(?=\s*[,}\]])"
+_HEX_ESCAPE = r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})"
 
 _PARSE_OPTIONS = {
     "allowSingleQuotes": "true",
@@ -29,11 +34,22 @@ _PARSE_OPTIONS = {
 }
 
 
+def _outside_strings(line: F.Column, bare, quoted=lambda piece: piece) -> F.Column:
+    """``line`` with ``bare`` applied outside quoted strings and ``quoted`` to them."""
+    pieces = F.regexp_extract_all(line, F.lit(_PIECE), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(
+        p.startswith("'") | p.startswith('"'), quoted(p)).otherwise(bare(p))), "")
+
+
 def normalize_literals(line: F.Column) -> F.Column:
-    """Rewrite bare ``None``/``True``/``False`` values to JSON literals."""
-    for py, js in _LITERALS:
-        line = F.regexp_replace(line, _VALUE_BEFORE + py + _VALUE_AFTER, js)
-    return line
+    """Rewrite bare ``None``/``True``/``False`` to JSON, and ``\\xhh`` escapes inside strings."""
+    def bare(piece):
+        for py, js in _LITERALS:
+            piece = F.regexp_replace(piece, rf"\b{py}\b", js)
+        return piece
+
+    return _outside_strings(
+        line, bare, lambda piece: F.regexp_replace(piece, _HEX_ESCAPE, r"$1\\u00$2"))
 
 
 def parse_records(lines: DataFrame, schema: T.StructType,
@@ -49,38 +65,58 @@ def parse_records(lines: DataFrame, schema: T.StructType,
                            F.col("_line")).alias("_corrupt")))
 
 
-def _parsed(spark: SparkSession, path: str, schema: T.StructType,
-            partitions: int | None) -> DataFrame:
-    lines = spark.read.text(path)
-    if partitions:
-        # gzip files are not splittable: spread the lines before parsing
-        lines = lines.repartition(partitions)
-    return parse_records(lines, schema)
+def split_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Every non-blank line of Python-literal line files (gz or plain) as ``schema`` plus
+    ``_corrupt``.  Gzip files are not splittable: the lines are spread over partitions
+    sized by their bytes before they are parsed."""
+    return parse_records(spark.read.text(path).hint("rebalance"), schema)
+
+
+def record_counts(parsed: DataFrame) -> DataFrame:
+    """One row: ``n_records``, ``n_corrupt`` of ``split_records``."""
+    return parsed.agg(F.count_if(F.col("_corrupt").isNull()).cast("long").alias("n_records"),
+                      F.count_if(F.col("_corrupt").isNotNull()).cast("long").alias("n_corrupt"))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType,
-                 partitions: int | None = None) -> DataFrame:
-    """Records of ``schema`` from Python-literal line files (gz or plain)."""
-    return _parsed(spark, path, schema, partitions).where(
-        F.col("_corrupt").isNull()).drop("_corrupt")
+                 strict: bool = True) -> DataFrame:
+    """Records of ``schema``.  A line that cannot be parsed is an error; without
+    ``strict`` such lines are left to ``corrupt_records``."""
+    parsed = split_records(spark, path, schema)
+    if strict:
+        parsed = materialize(parsed, "records")
+        require_clean(parsed, path)
+    return parsed.where(F.col("_corrupt").isNull()).drop("_corrupt")
+
+
+def require_clean(parsed: DataFrame, path: str) -> None:
+    bad = record_counts(parsed).first().n_corrupt
+    if bad:
+        raise ValueError(f"{path}: {bad} lines cannot be parsed")
 
 
 def corrupt_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Lines that could not be parsed, with their text."""
-    return _parsed(spark, path, schema, None).where(
+    return split_records(spark, path, schema).where(
         F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("line"))
 
 
 def to_literal_lines(df: DataFrame) -> DataFrame:
-    """One Python-literal line per row (``value`` column): JSON with single
-    quotes and ``None`` for null fields.  Meant for values without quote
-    characters, such as the fixture tables."""
+    """One Python-literal line per row (``value`` column): single-quoted strings with
+    ``'`` and ``\\`` escaped, and ``None`` for null fields."""
     js = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    js = F.regexp_replace(js, '"', "'")
-    js = F.regexp_replace(js, r"(?<=[:\[,])null(?=[,}\]])", "None")
-    js = F.regexp_replace(js, r"(?<=[:\[,])true(?=[,}\]])", "True")
-    js = F.regexp_replace(js, r"(?<=[:\[,])false(?=[,}\]])", "False")
-    return df.select(js.alias("value"))
+
+    def bare(piece):
+        for py, literal in _LITERALS:
+            piece = F.regexp_replace(piece, rf"\b{literal}\b", py)
+        return piece
+
+    def quoted(piece):
+        inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        inner = F.regexp_replace(inner, r'(?<!\\)((?:\\\\)*)\\"', '$1"')
+        return F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+    return df.select(_outside_strings(js, bare, quoted).alias("value"))
 
 
 def write_records(df: DataFrame, path: str, compression: str = "gzip") -> None:

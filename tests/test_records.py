@@ -1,8 +1,12 @@
+import ast
 import gzip
 import os
 
+import pytest
+
 from companion import schemas
-from companion.sources.records import corrupt_records, read_records, write_records
+from companion.sources.records import (corrupt_records, read_records, record_counts,
+                                       split_records, write_records)
 from companion.sources.tables import read_csv_table, write_csv_table
 from companion.session import scratch_path
 
@@ -20,10 +24,37 @@ def test_reads_python_literal_lines_without_eval(spark, tmp_path):
     path = os.path.join(tmp_path, "reviews.json.gz")
     with gzip.open(path, "wt") as fh:
         fh.write("\n".join(LINES) + "\n")
-    got = sorted(tuple(r) for r in read_records(spark, path, schemas.REVIEW).collect())
+    got = sorted(tuple(r) for r in read_records(spark, path, schemas.REVIEW, strict=False).collect())
     assert got == [("A1", "p1", 5.0), ("A2", "p2", 3.0), ("A3", "p3", None)]
     bad = [r.line for r in corrupt_records(spark, path, schemas.REVIEW).collect()]
     assert bad == [LINES[3]]
+    counts = record_counts(split_records(spark, path, schemas.REVIEW)).first()
+    assert (counts.n_records, counts.n_corrupt) == (3, 1)
+    with pytest.raises(ValueError, match="1 lines"):
+        read_records(spark, path, schemas.REVIEW)
+
+
+TITLES = ["Yes, None, True, ok", "Bob's \"mug\"", "back\\slash \\' end\\", "null, [None], {True}", "tab\there",
+          "", None, "é 'x': None,", "None", "\\x41 stays", "new\nline"]
+
+
+def test_text_survives_a_roundtrip(spark):
+    rows = [(str(i), t, 1.0, None) for i, t in enumerate(TITLES)]
+    path = scratch_path(spark, "titles-test")
+    write_records(spark.createDataFrame(rows, schemas.METADATA), path)
+    for line in spark.read.text(path).collect():
+        ast.literal_eval(line.value)                       # every line is a Python literal
+    back = {r.asin: r.title for r in read_records(spark, path, schemas.METADATA).collect()}
+    assert back == {str(i): t for i, t in enumerate(TITLES)}
+
+
+def test_lines_as_python_writes_them(spark, tmp_path):
+    rows = [{"asin": str(i), "title": t, "price": None if i % 2 else 1.5} for i, t in enumerate(TITLES)]
+    path = os.path.join(tmp_path, "meta.json")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.writelines(repr(r) + "\n" for r in rows)
+    back = {r.asin: (r.title, r.price) for r in read_records(spark, path, schemas.METADATA).collect()}
+    assert back == {r["asin"]: (r["title"], r["price"]) for r in rows}
 
 
 def test_nested_metadata_roundtrip(spark):
