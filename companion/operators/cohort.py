@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from companion.operators.ranking import dense_index
-from companion.operators.targets import keep_users_with_at_least
+from companion.operators.targets import users_with_at_least
+from companion.session import materialize
 
 
 def cohort_ratings(base: DataFrame, comp: DataFrame,
@@ -21,13 +22,16 @@ def cohort_ratings(base: DataFrame, comp: DataFrame,
     Returns distinct base rows (``main``), distinct companion rows
     (``comp``) and their union ``all`` as ``reviewerID, productID,
     prodRating``."""
-    active = keep_users_with_at_least(comp, "reviewerID", min_comp)
-    active_users = active.select("reviewerID").distinct()
+    # rows are deduplicated before they meet the user tables, and those are written
+    # first: a user with very many rows is never aggregated or joined in one task
+    active_users = materialize(users_with_at_least(comp, "reviewerID", min_comp),
+                               "cohort-active-users")
     base_users = base.select("reviewerID").distinct()
-    main = (base.join(active_users, "reviewerID", "left_semi")
-            .select("reviewerID", "productID", "prodRating").dropDuplicates())
-    comp_rows = (active.join(base_users, "reviewerID", "left_semi")
-                 .select("reviewerID", "compProd", "compRating").dropDuplicates())
+    users = materialize(active_users.join(base_users, "reviewerID", "left_semi"), "cohort-users")
+    main = (base.select("reviewerID", "productID", "prodRating").dropDuplicates()
+            .join(users, "reviewerID", "left_semi"))
+    comp_rows = (comp.select("reviewerID", "compProd", "compRating").dropDuplicates()
+                 .join(users, "reviewerID", "left_semi"))
     every = main.unionByName(comp_rows.select(
         "reviewerID", F.col("compProd").alias("productID"),
         F.col("compRating").alias("prodRating")))

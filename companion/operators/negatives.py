@@ -66,7 +66,9 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
 
     # read by several branches: written once (a cached plan would keep its
     # shuffle's full partition count; a written table is sized by AQE)
-    train_users = train.select(user).distinct()
+    # id tables are written before they are joined: both sides of the join are then plain
+    # shuffles, and Spark can split a user with very many rows
+    train_users = materialize(train.select(user).distinct(), "negatives-train-users")
     tests = materialize(test.join(train_users, user, "left_semi"), "negatives-tests")
     wanted = materialize(tests.groupBy(user).agg(F.count(F.lit(1)).alias("_t")),
                          "negatives-wanted")
@@ -80,10 +82,10 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
     draws = draws.withColumn(
         "_idx", draw_index(seeded_digest(seed, user, "_k"), pool_size))
     hits = (draws.join(pool, "_idx").join(seen, [user, item], "left_anti")
-            .groupBy(user, item).agg(F.min("_k").alias("_k")))
+            .groupBy(user, item).agg(F.min("_k").alias("_k"), F.max("_t").alias("_t")))
     hits = hits.withColumn("_b", F.floor(F.col("_k") / F.lit(group_rows)))
     firsts = materialize(key_rank(hits, [user], "_b", [F.col("_k")], "_r")
-                         .join(wanted, user).where(F.col("_r") < F.col("_t"))
+                         .where(F.col("_r") < F.col("_t"))
                          .select(user, item), "negatives-first-pass")
 
     # 4: exact completion for users short of min(t, unseen pool)
@@ -113,8 +115,7 @@ def _complete(short: DataFrame, pool: DataFrame, pool_size, seen: DataFrame,
     rest = (spread.join(pool, "_idx").join(seen, [user, item], "left_anti")
             .join(firsts, [user, item], "left_anti")
             .withColumn("_h", seeded_digest(seed, user, item)))
-    sizes = rest.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
-    rest = rest.join(sizes, user).withColumn(
-        "_b", hash_bucket(hex_prefix(F.col("_h")), F.col("_n"), group_rows))
+    total = short.count() * pool.count()
+    rest = rest.withColumn("_b", hash_bucket(hex_prefix(F.col("_h")), total, group_rows))
     return (key_rank(rest, [user], "_b", [F.col("_h"), F.col(item)], "_r")
             .where(F.col("_r") < F.col("_rest")).select(user, item))

@@ -34,27 +34,36 @@ def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             .where(F.col(pos_col) <= k))
 
 
-def hash_bucket(prefix: Column, n_rows: Column, group_rows: int) -> Column:
+def hash_bucket(prefix: Column, total_rows: int, group_rows: int) -> Column:
     """Sub-group of a row ordered by a uniform 60-bit hash prefix.
 
-    A key of ``n_rows`` rows gets ``ceil(n_rows / group_rows)`` sub-groups of
-    the hash range; the bucket never decreases as the hash grows."""
-    n_buckets = F.ceil(n_rows / F.lit(group_rows))
-    return F.floor(prefix / F.lit(float(1 << 60)) * n_buckets).cast("long")
+    The hash range is cut into ``ceil(total_rows / group_rows)`` equal parts for
+    every key: a key cannot own more than all rows, so even one that owns them all
+    has about ``group_rows`` rows in a part, and no per-key count has to be joined
+    to the rows first.  The bucket never decreases as the hash grows."""
+    n_buckets = max(1, -(-int(total_rows) // group_rows))
+    return F.floor(prefix / F.lit(float(1 << 60)) * F.lit(float(n_buckets))).cast("long")
 
 
 def key_rank(df: DataFrame, keys: Sequence[str], coarse: str,
-             order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
-    """Exact 0-based rank of each row within ``keys`` by (``coarse``, ``order``).
+             order: Sequence[Column], rank_col: str = "rank",
+             size_col: str | None = None) -> DataFrame:
+    """Exact 0-based rank of each row within ``keys`` by (``coarse``, ``order``), and with
+    ``size_col`` the number of rows of its key.
 
     ``coarse`` must be a column of ``df`` that is non-decreasing in the row
     order within a key; the rank is then identical to a single window over
-    the key, but no task holds more than one ``(key, coarse)`` group."""
+    the key, but no task has to hold more than one ``(key, coarse)`` group: rows are
+    dealt by both before the window, whatever their distribution was, and the counts
+    come from one row per group."""
     keys = list(keys)
+    df = df.repartition(*keys, coarse)
     counts = df.groupBy(*keys, coarse).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(coarse).rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, coarse,
+    every = Window.partitionBy(*keys)
+    sizes = [F.sum("_n").over(every).alias(size_col)] if size_col else []
+    offsets = counts.select(*keys, coarse, *sizes,
                             F.coalesce(F.sum("_n").over(before), F.lit(0))
                             .alias("_before"))
     fine = Window.partitionBy(*keys, coarse).orderBy(*order)

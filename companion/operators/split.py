@@ -25,11 +25,9 @@ def holdout_split(df: DataFrame, user: str, item: str, rating: str,
     in seeded hash order.  A user with one row has it in test."""
     rows = (df.select(user, item, rating_as_int(rating).alias(rating)).distinct()
             .withColumn("_h", seeded_digest(seed, user, item, rating)))
-    sizes = rows.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(sizes, user).withColumn(
-        "_b", hash_bucket(hex_prefix(F.col("_h")), F.col("_n"), group_rows))
+    rows = rows.withColumn("_b", hash_bucket(hex_prefix(F.col("_h")), df.count(), group_rows))
     ranked = key_rank(rows, [user], "_b",
-                      [F.col("_h"), F.col(item), F.col(rating)], "_rank")
+                      [F.col("_h"), F.col(item), F.col(rating)], "_rank", size_col="_n")
     cut = F.floor(F.lit(frac) * F.col("_n"))
     return ranked.select(user, item, rating, (F.col("_rank") < cut).alias("is_train"))
 
@@ -38,7 +36,7 @@ def training_set(base_enc: DataFrame, split: DataFrame,
                  fill_missing: bool = True) -> tuple[DataFrame, DataFrame]:
     """``train``: every encoded base rating plus the companion training
     rows, rating as int (a missing rating becomes 0 unless disabled);
-    ``test``: distinct companion test rows.  Both
+    ``test``: companion test rows (distinct, as the split's rows are).  Both
     ``reviewerID_int, productID_int, prodRating``."""
     comp_train = split.where("is_train").select(
         "reviewerID_int", "productID_int", F.col("compRating").alias("prodRating"))
@@ -48,5 +46,5 @@ def training_set(base_enc: DataFrame, split: DataFrame,
     train = train.na.fill(0, ["prodRating"]) if fill_missing else train.na.drop()
     test = (split.where(~F.col("is_train"))
             .select("reviewerID_int", "productID_int",
-                    F.col("compRating").alias("prodRating")).distinct())
+                    F.col("compRating").alias("prodRating")))
     return train, test

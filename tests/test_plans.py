@@ -2,18 +2,20 @@
 
 import contextlib
 import io
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from companion.functions.hashing import hex_prefix, seeded_digest
+from companion.operators.cohort import cohort_ratings
+from companion.operators.ranking import hash_bucket, key_rank
+from companion.operators.split import holdout_split
+from companion.plans import queries
 from conftest import SF_TINY
 
-# stage-heavy ALS queries are covered by test_als.py
-SKIP = {"als_predictions", "als_recommend", "als_evaluation", "negative_samples",
-        "holdout_split", "training_set", "encode_base", "encode_comp", "item_index",
-        "user_index", "als_targets", "eligible_targets", "user_mean_rating",
-        "cohort_ratings", "records_roundtrip", "metadata_records", "csv_roundtrip",
-        "als_ideal_dcg", "pack_ratings"}
+# the queries of this library (others are registered by an optional subpackage)
+OWN = sorted(queries.REGISTRY)
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
              "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"]
 GROUP_LIMITED = ["top_companions", "top_k_per_key", "user_candidates",
@@ -27,15 +29,15 @@ def plan_of(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", OWN)
 def test_no_cross_join_or_python_in_plan(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF_TINY))
+    plan = plan_of(queries.REGISTRY[name](spark, SF_TINY))
     assert not [f for f in FORBIDDEN if f in plan]
 
 
 @pytest.mark.parametrize("name", GROUP_LIMITED)
 def test_top_k_windows_are_group_limited(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF_TINY))
+    plan = plan_of(queries.REGISTRY[name](spark, SF_TINY))
     # a partial limit runs in the map tasks, before the shuffle
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
@@ -46,3 +48,57 @@ def test_fixture_scans_prune_and_push_down(spark):
     assert "LessThanOrEqual(p_size,25)" in plan
     assert "GreaterThanOrEqual(p_size,48)" in plan
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def dealt_by(df) -> list[list[str]]:
+    """Keys of every hash exchange in the plan (without attribute numbers)."""
+    found = re.findall(r"hashpartitioning\(([^)]*)\)", plan_of(df))
+    return [[re.sub(r"#.*", "", k).strip() for k in f.split(",")[:-1]] for f in found]
+
+
+RATED = "reviewerID_int int, productID_int int, compRating double"
+
+
+def test_split_deals_a_user_over_many_tasks(spark, no_broadcast):
+    rows = spark.createDataFrame([(1, 1, 1.0)], RATED)
+    plan = holdout_split(rows, "reviewerID_int", "productID_int", "compRating", group_rows=16)
+    keys = dealt_by(plan)
+    assert ["reviewerID_int", "_b"] in keys
+    # the only exchange by the user alone is that of the small count table's window
+    ranked = key_rank(
+        rows.withColumn("_h", seeded_digest(1, "reviewerID_int")).withColumn(
+            "_b", hash_bucket(hex_prefix(F.col("_h")), 100, 16)),
+        ["reviewerID_int"], "_b", [F.col("_h")], "r")
+    text = plan_of(ranked)
+    by_user = re.findall(r"hashpartitioning\(reviewerID_int#\d+, \d+\)", text)
+    assert ["reviewerID_int", "_b"] in dealt_by(ranked) and len(by_user) <= 1
+
+
+def test_cohort_deduplicates_before_it_meets_users(spark, no_broadcast):
+    base = spark.createDataFrame([("u", "p", 1.0)], "reviewerID string, productID string, prodRating double")
+    comp = spark.createDataFrame([("u", "c", 1.0)] * 2, "reviewerID string, compProd string, compRating double")
+    out = cohort_ratings(base, comp)
+    assert ["reviewerID", "productID", "prodRating"] in dealt_by(out["main"])
+    assert ["reviewerID", "compProd", "compRating"] in dealt_by(out["comp"])
+
+
+def test_hot_user_rows_are_spread(spark, no_broadcast):
+    """A third of all rows in one user: the tasks of the ranking window hold few of them."""
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500 + 1).cast("int").alias("u"),
+        F.col("id").alias("v")).withColumn("_h", seeded_digest(2, "u", "v"))
+    rows = rows.withColumn("_b", hash_bucket(hex_prefix(F.col("_h")), 30000, 1000))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = (rows.repartition("u", "_b").where("u = 0").groupBy(F.spark_partition_id().alias("p"))
+                 .count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < 10000 / 2

@@ -12,10 +12,11 @@ def test_key_rank_equals_row_number_with_tiny_groups(spark):
     rows = [("hot", i) for i in range(400)] + [(f"k{rnd.randrange(20)}", i) for i in range(200)]
     df = spark.createDataFrame(rows, "key string, v int").withColumn(
         "_h", seeded_digest(1, "key", "v"))
-    n = df.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-    df = df.join(n, "key").withColumn("_b", hash_bucket(hex_prefix(F.col("_h")), F.col("_n"), 16))
+    df = df.withColumn("_b", hash_bucket(hex_prefix(F.col("_h")), df.count(), 16))
     assert df.select("_b").distinct().count() > 20          # the hot key is split
-    ranked = key_rank(df, ["key"], "_b", [F.col("_h"), F.col("v")], "r")
+    ranked = key_rank(df, ["key"], "_b", [F.col("_h"), F.col("v")], "r", size_col="n")
+    assert {r.key: r.n for r in ranked.collect()} == {
+        r.key: r["count"] for r in df.groupBy("key").count().collect()}
     expect = df.withColumn("e", F.row_number().over(
         Window.partitionBy("key").orderBy("_h", "v")) - 1)
     got = {(r.key, r.v): r.r for r in ranked.collect()}
