@@ -6,8 +6,8 @@ are equal); bin ``i`` is ``[edge_i, edge_i+1)``, the last one closed, with
 The index is computed as numpy does, including its one-ULP corrections, so
 counts agree with ``numpy.histogram`` value for value.
 
-The range is a partial aggregate per series; counting is a partial
-aggregate per ``(series, bin)``; empty bins are generated per series.
+Rows are counted per ``(series, value)`` first; the range and the bins are
+aggregates over those counts; empty bins are generated per series.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from companion.session import broadcast_if_small
+from companion.session import materialize
 
 
 def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -51,32 +51,33 @@ def histogram(df: DataFrame, value: str, bins: int,
               by: Sequence[str] = ()) -> DataFrame:
     """``[by...,] bin, lo, hi, n`` for every bin of every series.
 
-    Nulls are ignored.  Without ``by`` the range is computed first (one
-    row) and enters as literals; with ``by`` it is joined on the series
-    keys."""
+    Nulls are ignored.  Rows are counted per distinct value first (a partial
+    aggregate, written once), so the range, the binning and the join with the
+    range see distinct values only.  Without ``by`` the range is one row and enters
+    as literals; with ``by`` it is joined on the series keys."""
     by = list(by)
     vals = df.select(*by, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull())
+    values = materialize(vals.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_rows")),
+                         "histogram-values")
     if by:
-        rng = vals.groupBy(*by).agg(F.min("_v").alias("_lo0"), F.max("_v").alias("_hi0"))
+        rng = values.groupBy(*by).agg(F.min("_v").alias("_lo0"), F.max("_v").alias("_hi0"))
         lo, hi = _bounds(F.col("_lo0"), F.col("_hi0"))
-        # one row per series: broadcast after a size check, so a series key
-        # with few values never routes a whole series to one reducer
-        rng = broadcast_if_small(rng.select(*by, lo.alias("_lo"), hi.alias("_hi")))
-        tagged = vals.join(rng, by)
-        series = rng
+        series = materialize(rng.select(*by, lo.alias("_lo"), hi.alias("_hi")),
+                             "histogram-ranges")
+        tagged = values.join(series, by)
     else:
         # the range is a one-row aggregate: two numbers (a bounded
         # statistic) enter the plan as literals; no join, no subquery copies
-        lo0, hi0 = vals.agg(F.min("_v"), F.max("_v")).first()
+        lo0, hi0 = values.agg(F.min("_v"), F.max("_v")).first()
         empty = lo0 is None
         lo, hi = _bounds(F.lit(0.0 if empty else float(lo0)),
                          F.lit(0.0 if empty else float(hi0)))
-        tagged = vals.select("_v", lo.alias("_lo"), hi.alias("_hi"))
+        tagged = values.select("_v", "_rows", lo.alias("_lo"), hi.alias("_hi"))
         series = vals.sparkSession.range(0 if empty else 1).select(
             lo.alias("_lo"), hi.alias("_hi"))
     counts = (bin_index(tagged, "_v", "_lo", "_hi", bins)
-              .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("_n")))
+              .groupBy(*by, "bin").agg(F.sum("_rows").alias("_n")))
     grid = series.select(*by, "_lo", "_hi",
                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return (grid.join(counts, [*by, "bin"], "left").select(

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 
 def ratings_per_product(reviews: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``[by,] asin, n_ratings``: non-null ratings per item."""
-    return reviews.groupBy(*by, "asin").agg(
+    """``[by,] asin, n_ratings``: non-null ratings per item (rows without one are left out)."""
+    return reviews.where(F.col("asin").isNotNull()).groupBy(*by, "asin").agg(
         F.count("overall").cast("long").alias("n_ratings"))
 
 
@@ -59,33 +59,35 @@ def dataset_counts(reviews: DataFrame, meta: DataFrame, rel: DataFrame,
                    rsd: float = 0.01) -> DataFrame:
     """``[by,] n_ratings, n_users, n_items, n_bases, n_comps, sparsity``.
 
-    The three tables are stacked with a source tag and described by one
-    aggregate: no join between one-row results.  Sparsity is
-    ``1 - ratings / (items * users)``.  ``exact=False`` counts distinct
-    values with HyperLogLog++ (relative error ``rsd``): one partial
-    aggregate instead of one expanded copy of each row per distinct count."""
+    Each row gives one ``(source, value)`` per identifier that is counted: two per
+    review, one per metadata and relation row.  Those are counted once per distinct
+    value (partial aggregates), and the values per source then.  Sparsity is
+    ``1 - ratings / (items * users)``.  ``exact=False`` counts distinct values with
+    HyperLogLog++ (relative error ``rsd``) in one partial aggregate."""
     by = list(by)
-    stacked = (reviews.select(*by, F.lit("r").alias("_src"),
-                              F.col("reviewerID").alias("_a"), F.col("asin").alias("_b"))
-               .unionByName(meta.select(*by, F.lit("m").alias("_src"),
-                                        F.col("asin").alias("_a"),
-                                        F.lit(None).cast("string").alias("_b")))
-               .unionByName(rel.select(*by, F.lit("c").alias("_src"),
-                                       F.col("compProd").alias("_a"),
-                                       F.lit(None).cast("string").alias("_b"))))
-
-    def of(src: str, c: str):
-        return F.when(F.col("_src") == src, F.col(c))
-
-    def distinct(c):
-        return F.countDistinct(c) if exact else F.approx_count_distinct(c, rsd)
-
-    out = stacked.groupBy(*by).agg(
-        F.count(F.when(F.col("_src") == "r", F.lit(1))).cast("long").alias("n_ratings"),
-        distinct(of("r", "_a")).cast("long").alias("n_users"),
-        distinct(of("r", "_b")).cast("long").alias("n_items"),
-        distinct(of("m", "_a")).cast("long").alias("n_bases"),
-        distinct(of("c", "_a")).cast("long").alias("n_comps"))
+
+    def values(df: DataFrame, **sources: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(src).alias("src"), F.col(c).cast("string").alias("value"))
+                          for src, c in sources.items()])
+        return df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.src", "p.value")
+
+    stacked = (values(reviews, user="reviewerID", item="asin")
+               .unionByName(values(meta, base="asin"))
+               .unionByName(values(rel, comp="compProd")))
+    names = {"user": "n_users", "item": "n_items", "base": "n_bases", "comp": "n_comps"}
+    if exact:
+        each = stacked.groupBy(*by, "src", "value").agg(F.count(F.lit(1)).alias("_n"))
+        n_ratings = F.sum(F.when(F.col("src") == "user", F.col("_n")).otherwise(0))
+        counts = [F.count_if((F.col("src") == src) & F.col("value").isNotNull()).cast("long")
+                  .alias(name) for src, name in names.items()]
+    else:
+        each = stacked
+        n_ratings = F.count_if(F.col("src") == "user")
+        counts = [F.approx_count_distinct(F.when(F.col("src") == src, F.col("value")), rsd)
+                  .cast("long").alias(name) for src, name in names.items()]
+    out = each.groupBy(*by).agg(n_ratings.cast("long").alias("n_ratings"), *counts)
+    if not by:
+        out = out.withColumn("n_ratings", F.coalesce("n_ratings", F.lit(0)))
     cells = F.col("n_items").cast("double") * F.col("n_users").cast("double")
     return out.withColumn(
         "sparsity", F.when(cells > 0, F.lit(1.0) - F.col("n_ratings") / cells))

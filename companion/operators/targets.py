@@ -41,6 +41,12 @@ def label_targets(ratings: DataFrame, means: DataFrame, user: str, item: str,
             .select(user, item, (F.col(rating) >= bar).alias("positive")))
 
 
+def popularity_labels(comp: DataFrame) -> DataFrame:
+    """``reviewerID, compProd, positive`` of the popularity evaluation, in one pass."""
+    means = user_mean(comp, "reviewerID", "compRating")
+    return label_targets(comp, means, "reviewerID", "compProd", "compRating")
+
+
 def popularity_targets(comp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Targets of the popularity evaluation: a companion rating at or above
     the user's own mean companion rating is positive."""

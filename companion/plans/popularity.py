@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from companion.operators import evaluation as E
 from companion.operators.popularity import popularity_recommend
-from companion.operators.targets import popularity_targets
+from companion.operators.targets import popularity_labels
 from companion.session import materialize
 
 TOP_K = 5
@@ -23,7 +23,12 @@ def popularity_pipeline(base: DataFrame, comp: DataFrame, rel: DataFrame,
     rec = popularity_recommend(base, rel, comp, k, keep_top=keep_top)
     if store:
         rec = materialize(rec, "popularity-recommendations")
-    pos, neg = popularity_targets(comp)
+    # labelled in one pass; with ``store`` written once, as several branches read it
+    labels = popularity_labels(comp)
+    if store:
+        labels = materialize(labels, "popularity-targets")
+    pos = labels.where("positive").drop("positive")
+    neg = labels.where("not positive").drop("positive")
     per_user = E.popularity_user_metrics(rec, pos, neg, k)
     return {"recommendations": rec, "positives": pos, "negatives": neg,
             "user_metrics": per_user, "summary": E.summarize(per_user)}
