@@ -7,7 +7,6 @@ Layout:
 * ``functions``  column-expression helpers (seeded hashing, ranking metrics)
 * ``operators``  DataFrame -> DataFrame building blocks
 * ``plans``      end-to-end pipelines and the registered queries
-* ``streaming``  (empty: the reference has no streaming surface)
 """
 
 __all__ = ["operators", "sources", "functions", "plans"]

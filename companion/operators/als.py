@@ -18,6 +18,8 @@ from companion.session import checkpoint_dir
 RANK = 12
 MAX_ITER = 10
 REG_PARAM = 0.05
+MIN_BLOCKS = 8
+BLOCK_NUMBERS = 1 << 26
 
 
 def fit_als(train: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
@@ -31,9 +33,7 @@ def fit_als(train: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
     ``checkpoint_interval`` iterations, so long runs survive executor loss
     without recomputing from the first iteration."""
     checkpoint_dir(train.sparkSession)
-    # one factor block per core by default (shuffle partitions are sized for
-    # shuffles, and can be far more numerous than useful ALS blocks)
-    blocks = num_blocks or train.sparkSession.sparkContext.defaultParallelism
+    blocks = num_blocks or factor_blocks(train.count(), rank)
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg_param, userCol=user,
               itemCol=item, ratingCol=rating, coldStartStrategy="drop", seed=seed,
               numUserBlocks=blocks, numItemBlocks=blocks,
@@ -41,6 +41,13 @@ def fit_als(train: DataFrame, rank: int = RANK, max_iter: int = MAX_ITER,
     return als.fit(train)
 
 
+def factor_blocks(n_ratings: int, rank: int) -> int:
+    """User and item blocks for ``n_ratings``: about ``BLOCK_NUMBERS`` ratings and factor
+    entries in a block, and no fewer than ``MIN_BLOCKS``.  Blocks are messaged pairwise,
+    so their number follows the data and not the number of cores."""
+    return max(MIN_BLOCKS, -(-n_ratings * (rank + 2) // BLOCK_NUMBERS))
+
+
 def predict(model: ALSModel, instances: DataFrame) -> DataFrame:
     """Predicted rating per instance row; rows without factors drop out."""
     return model.transform(instances).where(~F.isnan("prediction"))

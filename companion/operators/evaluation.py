@@ -89,16 +89,23 @@ def popularity_user_metrics(rec: DataFrame, pos: DataFrame, neg: DataFrame,
         M.safe_ratio(F.col("dcg"), F.col("idcg")).alias("ndcg"))
 
 
+def ideal_instances(instances: DataFrame, pos: DataFrame, neg: DataFrame, k: int,
+                    user: str, item: str, order: list[str]) -> DataFrame:
+    """The first K entries of the ideal list over a user's scoring instances (positives,
+    unlabelled, negatives, each by ``order``): ``user, ideal_pos, item, cls, hit``, via a
+    group limit."""
+    entries = _ideal_entries(_flag(instances, pos, neg, user, item))
+    return top_k_per_key(entries, [user], [F.col("cls"), *[F.col(c) for c in order]],
+                         k, pos_col="ideal_pos")
+
+
 def instance_ideal_dcg(instances: DataFrame, pos: DataFrame, neg: DataFrame,
                        k: int, user: str, item: str,
                        order: list[str]) -> DataFrame:
     """``user, idcg`` where the ideal list reorders a user's scoring
     instances (positives, unlabelled, negatives, each by ``order``) and is
     cut to K.  Only the first K ideal entries are ranked, via a group limit."""
-    rows = _flag(instances, pos, neg, user, item)
-    entries = _ideal_entries(rows)
-    best = top_k_per_key(entries, [user], [F.col("cls"), *[F.col(c) for c in order]],
-                         k, pos_col="ideal_pos")
+    best = ideal_instances(instances, pos, neg, k, user, item, order)
     return best.groupBy(user).agg(
         F.sum(F.when(F.col("hit"), M.discount(F.col("ideal_pos")))
               .otherwise(F.lit(0.0))).alias("idcg"))

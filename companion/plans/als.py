@@ -48,6 +48,10 @@ class ALSConfig:
     rank: int = A.RANK
     max_iter: int = A.MAX_ITER
     reg_param: float = A.REG_PARAM
+    num_blocks: int | None = None     # default: from the number of ratings
+    checkpoint_interval: int = 5
+    fill_missing: bool = True         # a missing training rating becomes 0, else the row goes
+    mean_source: str = "cohort"       # ratings of the user mean: "cohort" or "train"
     group_rows: int = DEFAULT_GROUP_ROWS
     materialize: bool = True          # write stage outputs to the shared folder
     materialize_inputs: bool = True   # off when the inputs are already tables
@@ -89,7 +93,7 @@ class ALSRun:
         split = self._keep(holdout_split(
             self.out["comp_enc"], "reviewerID_int", "productID_int", "compRating",
             self.cfg.frac, self.cfg.seed, self.cfg.group_rows), "als-split")
-        train, test = training_set(self.out["base_enc"], split)
+        train, test = training_set(self.out["base_enc"], split, self.cfg.fill_missing)
         self.out.update(split=split, train=train, test=test)
         return self
 
@@ -107,10 +111,12 @@ class ALSRun:
         if "eligible" in self.out:
             return self
         self.split()
-        means = (TG.user_mean(self.out["cohort"], "reviewerID", "prodRating",
-                              nonzero=True)
-                 .join(self.out["users"], "reviewerID")
-                 .select("reviewerID_int", "avgRating").dropDuplicates())
+        if self.cfg.mean_source == "train":
+            means = TG.user_mean(self.out["train"], "reviewerID_int", "prodRating", nonzero=True)
+        else:
+            means = (TG.user_mean(self.out["cohort"], "reviewerID", "prodRating", nonzero=True)
+                     .join(self.out["users"], "reviewerID")
+                     .select("reviewerID_int", "avgRating"))
         labels = self._keep(TG.label_targets(
             self.out["test"], means, "reviewerID_int", "productID_int", "prodRating",
             self.cfg.offset), "als-targets")
@@ -126,7 +132,8 @@ class ALSRun:
             return self
         self.instances()
         model = A.fit_als(self.out["train"], self.cfg.rank, self.cfg.max_iter,
-                          self.cfg.reg_param, self.cfg.seed)
+                          self.cfg.reg_param, self.cfg.seed, num_blocks=self.cfg.num_blocks,
+                          checkpoint_interval=self.cfg.checkpoint_interval)
         pred = A.predict(model, self.out["instances"].select("reviewerID_int",
                                                             "productID_int"))
         self.out.update(model=model, predictions=pred,

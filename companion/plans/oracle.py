@@ -8,7 +8,7 @@ CTEs.  Counts and positions are ``bigint``, doubles are rounded to 6 places.
 from __future__ import annotations
 
 from companion.plans.popularity import TOP_K
-from companion.sources.fixtures import COMP_MAX_SIZE, MAIN_MIN_SIZE, META_LIST_LEN
+from companion.sources.fixtures import COMP_MAX_SIZE, MAIN_MIN_SIZE
 
 K = TOP_K
 
@@ -37,13 +37,7 @@ relation AS (
   SELECT asin, CAST(NULL AS VARCHAR) FROM items
   WHERE asin NOT IN (SELECT asin FROM pairs)),
 metadata_lists AS (
-  SELECT p.asin,
-         ('0x' || substr(md5(p.compProd), 1, 15))::BIGINT
-           % CAST(ceil(s.n / {META_LIST_LEN}) AS BIGINT) AS chunk,
-         list_sort(list(p.compProd)) AS also_bought
-  FROM pairs p JOIN (SELECT asin, count(*) AS n FROM pairs GROUP BY asin) s
-    ON p.asin = s.asin
-  GROUP BY p.asin, chunk),
+  SELECT p.asin, list_sort(list(p.compProd)) AS also_bought FROM pairs p GROUP BY p.asin),
 metadata_flat AS (
   SELECT i.asin, i.title, i.price, m.also_bought
   FROM items i LEFT JOIN metadata_lists m ON i.asin = m.asin),
@@ -221,7 +215,9 @@ SQL: dict[str, str] = {
     "comp_ratings": "SELECT * FROM comp_ratings",
     "companion_popularity": "SELECT compProd, CAST(score AS BIGINT) AS score FROM pop",
     "companion_scores": "SELECT asin, compProd, score FROM scores",
-    "fill_missing_scores": "SELECT compProd, asin, CAST(0 AS BIGINT) AS score FROM scores WHERE score = 0",
+    "fill_missing_scores": """
+        SELECT s.compProd, s.asin, CASE WHEN p.p_size <= 12 THEN s.score ELSE 0 END AS score
+        FROM scores s JOIN part p ON s.compProd = CAST(p.p_partkey AS VARCHAR)""",
     "top_companions": "SELECT asin, compProd, score, comp_pos FROM top",
     "user_candidates": """
         SELECT b.reviewerID, b.productID, b.prodRating, t.comp_pos, t.compProd
@@ -295,7 +291,18 @@ SQL: dict[str, str] = {
         FROM pop_rec GROUP BY reviewerID""",
     "records_roundtrip": "SELECT reviewerID, asin, overall FROM reviews",
     "metadata_records": "SELECT asin, compProd FROM meta_relation",
-    "csv_roundtrip": "SELECT * FROM comp_ratings",
+    "record_cases": """
+        SELECT CAST(p_partkey AS VARCHAR) AS asin,
+               CASE WHEN p_size <> 7 THEN 'Yes, None, True, ' || p_name
+                 || ' \'\'n\'\' "q": null, [False] \\ it\'\'s ' || p_type END AS title,
+               CAST(NULL AS BIGINT) AS n_records, CAST(NULL AS BIGINT) AS n_corrupt FROM part
+        UNION ALL SELECT NULL, NULL, CAST(count(*) AS BIGINT),
+               CAST(count(*) FILTER (WHERE p_size = 3) AS BIGINT) FROM part""",
+    "csv_roundtrip": """
+        SELECT 'relation' AS "table", asin AS a, compProd AS b, CAST(NULL AS DOUBLE) AS rating
+        FROM meta_relation
+        UNION ALL SELECT 'base', reviewerID, productID, prodRating FROM base_ratings
+        UNION ALL SELECT 'comp', reviewerID, compProd, compRating FROM comp_ratings""",
     "preprocess_summary": """
         SELECT 'relation' AS "table", CAST(count(*) AS BIGINT) AS n_rows, CAST(2 AS BIGINT) AS n_cols
         FROM meta_relation
@@ -448,6 +455,84 @@ ALS_SQL: dict[str, str] = {
               WHERE neg))
         WHERE r <= {K}
         GROUP BY reviewerID_int""",
+    "als_user_metrics": f"""
+        , positives AS (SELECT * FROM als_pos),
+        drawn_score AS (
+          SELECT reviewerID_int, productID_int, is_negative,
+                 ('0x' || substr(md5(concat_ws(':', '7', CAST(reviewerID_int AS VARCHAR),
+                                              CAST(productID_int AS VARCHAR))), 1, 15))::BIGINT AS score
+          FROM instances),
+        rec AS (
+          SELECT * FROM (
+            SELECT reviewerID_int, productID_int, row_number() OVER (
+              PARTITION BY reviewerID_int ORDER BY score DESC, productID_int) AS pos
+            FROM drawn_score) WHERE pos <= {K}),
+        targets AS (SELECT reviewerID_int, count(*) AS n_target FROM positives GROUP BY reviewerID_int),
+        flagged AS (
+          SELECT r.*, EXISTS (SELECT 1 FROM positives e WHERE e.reviewerID_int = r.reviewerID_int
+                                AND e.productID_int = r.productID_int) AS hit FROM rec r),
+        lists AS (
+          SELECT reviewerID_int, count(*) AS size, count(*) FILTER (WHERE hit) AS list_hit,
+                 sum(CASE WHEN hit THEN ln(2) / ln(pos + 1) ELSE 0 END) AS dcg,
+                 coalesce(1.0 / min(pos) FILTER (WHERE hit), 0) AS mrr
+          FROM flagged GROUP BY reviewerID_int),
+        found AS (
+          SELECT p.reviewerID_int, count(*) AS t_hit FROM positives p WHERE EXISTS (
+            SELECT 1 FROM rec r WHERE r.reviewerID_int = p.reviewerID_int
+                                  AND r.productID_int = p.productID_int) GROUP BY p.reviewerID_int),
+        flags AS (
+          SELECT i.reviewerID_int, i.productID_int, CAST(i.is_negative AS INTEGER) AS kind,
+                 EXISTS (SELECT 1 FROM positives e WHERE e.reviewerID_int = i.reviewerID_int
+                           AND e.productID_int = i.productID_int) AS hit,
+                 EXISTS (SELECT 1 FROM als_neg n WHERE n.reviewerID_int = i.reviewerID_int
+                           AND n.productID_int = i.productID_int) AS neg
+          FROM instances i),
+        ideal AS (
+          SELECT reviewerID_int, sum(CASE WHEN hit THEN ln(2) / ln(r + 1) ELSE 0 END) AS idcg
+          FROM (
+            SELECT *, row_number() OVER (PARTITION BY reviewerID_int
+                                         ORDER BY cls, kind, productID_int) AS r
+            FROM (
+              SELECT *, 0 AS cls FROM flags WHERE hit
+              UNION ALL SELECT *, 1 FROM flags WHERE NOT hit AND NOT neg
+              UNION ALL SELECT *, 2 FROM flags WHERE neg))
+          WHERE r <= {K} GROUP BY reviewerID_int),
+        scored AS (
+          SELECT l.reviewerID_int, t.n_target, l.dcg, coalesce(i.idcg, 0) AS idcg, l.mrr,
+                 CAST(CASE WHEN t.n_target < l.size THEN coalesce(f.t_hit, 0) ELSE l.list_hit END
+                      AS BIGINT) AS hit
+          FROM lists l JOIN targets t ON l.reviewerID_int = t.reviewerID_int
+          LEFT JOIN found f ON l.reviewerID_int = f.reviewerID_int
+          LEFT JOIN ideal i ON l.reviewerID_int = i.reviewerID_int)
+        SELECT reviewerID_int, hit, round(hit / CAST({K} AS DOUBLE), 6) AS precision,
+               round(hit / CAST(n_target AS DOUBLE), 6) AS recall, round(dcg, 6) AS dcg,
+               round(idcg, 6) AS idcg,
+               round(CASE WHEN idcg <> 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg,
+               round(mrr, 6) AS mrr
+        FROM scored""",
+    "als_scored_instances": """
+        SELECT reviewerID_int, productID_int, is_negative FROM instances
+        WHERE reviewerID_int IN (SELECT reviewerID_int FROM train)
+          AND productID_int IN (SELECT productID_int FROM train)""",
+    "als_list_sizes": f"""
+        SELECT reviewerID_int, CAST(least({K}, count(*)) AS BIGINT) AS n_items, true AS distinct_positions
+        FROM instances
+        WHERE reviewerID_int IN (SELECT reviewerID_int FROM train)
+          AND productID_int IN (SELECT productID_int FROM train)
+        GROUP BY reviewerID_int""",
+    "als_training_fit": """
+        SELECT CAST(count(*) AS BIGINT) AS n_ratings, true AS fits_better_than_mean FROM train""",
+    "ideal_instances": f"""
+        SELECT reviewerID_int, CAST(r AS BIGINT) AS ideal_pos, productID_int, CAST(cls AS BIGINT) AS cls
+        FROM (
+          SELECT *, row_number() OVER (PARTITION BY reviewerID_int
+                                       ORDER BY cls, kind, productID_int) AS r
+          FROM (
+            SELECT reviewerID_int, productID_int, kind, 0 AS cls FROM ideal_flags WHERE hit
+            UNION ALL SELECT reviewerID_int, productID_int, kind, 1 FROM ideal_flags
+              WHERE NOT hit AND NOT neg
+            UNION ALL SELECT reviewerID_int, productID_int, kind, 2 FROM ideal_flags WHERE neg))
+        WHERE r <= {K}""",
     "pack_ratings": """
         SELECT reviewerID_int, productID_int AS item,
                CAST(trunc(compRating) AS BIGINT) AS rating FROM comp_enc""",

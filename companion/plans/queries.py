@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from companion.functions import metrics as M
+from companion.functions.hashing import hex_prefix, seeded_digest
+from companion.operators import als as A
 from companion.operators import evaluation as E
 from companion.operators import popularity as P
 from companion.operators import ranking as RK
@@ -28,7 +30,8 @@ from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.popularity import TOP_K, popularity_pipeline
 from companion.session import scratch_path
 from companion.sources import fixtures as FX
-from companion.sources.records import read_records, write_records
+from companion.sources.records import (read_records, record_counts, split_records,
+                                       to_literal_lines, write_records)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -46,7 +49,7 @@ def r6(c) -> F.Column:
 # ---------------------------------------------------------------- inputs
 #
 # The reference runs its preprocessing once, writes three tables and lets
-# both recommenders and the statistics read them.  Queries do the same: the
+# both models and the statistics read them.  Queries do the same: the
 # fixture mapping and the preprocessing run once per application and data
 # directory, and their outputs are written as tables in the shared folder.
 
@@ -175,11 +178,14 @@ def companion_scores(spark, sf_dir):
 
 @query
 def fill_missing_scores(spark, sf_dir):
-    """Relation rows whose companion nobody rated: score filled with 0."""
+    """Every complete relation row with its companion's score, missing ones filled with 0.
+    Only ratings of the smaller companions are counted, so the larger have none."""
     i = inputs(spark, sf_dir)
-    scores = i["relation"].na.drop().join(
-        P.companion_popularity(i["comp"]), "compProd", "left")
-    return R.fill_missing(scores, ["score"], 0).where(F.col("score") == 0)
+    small = FX.table(spark, sf_dir, "part").where("p_size <= 12").select(
+        F.col("p_partkey").cast("string").alias("compProd"))
+    rated = i["comp"].join(small, "compProd", "left_semi")
+    scores = i["relation"].na.drop().join(P.companion_popularity(rated), "compProd", "left")
+    return R.fill_missing(scores, ["score"], 0)
 
 
 @query
@@ -426,6 +432,67 @@ def als_recommend(spark, sf_dir):
     return _long_ids(out["recommendations"].withColumn("prediction", r6("prediction")))
 
 
+@query
+def als_user_metrics(spark, sf_dir):
+    """The ALS evaluation chain (E1-E8) on instances scored by a seeded digest instead of
+    the model: every user with a positive target, exact metrics and MRR."""
+    out = _als(spark, sf_dir).instances().targets().out
+    inst = out["instances"]
+    scored = inst.withColumn("prediction", hex_prefix(
+        seeded_digest(7, "reviewerID_int", "productID_int")))
+    rec = A.recommend(scored, TOP_K)
+    per_user = E.als_user_metrics(
+        rec, out["positives"], out["negatives"],
+        inst.withColumn("_kind", F.col("is_negative").cast("int")), TOP_K,
+        instance_order=["_kind", "productID_int"])
+    return _long_ids(per_user.select("reviewerID_int", "hit", *[
+        r6(c).alias(c) for c in ("precision", "recall", "dcg", "idcg", "ndcg", "mrr")]))
+
+
+@query
+def als_scored_instances(spark, sf_dir):
+    """Instances that the model scores (R6): those whose user and item were trained on."""
+    out = _als(spark, sf_dir).fit().out
+    keys = out["predictions"].where(F.col("prediction").isNotNull()).select(
+        "reviewerID_int", "productID_int").distinct()
+    return _long_ids(out["instances"].join(keys, ["reviewerID_int", "productID_int"], "left_semi")
+                     .select("reviewerID_int", "productID_int", "is_negative"))
+
+
+@query
+def als_list_sizes(spark, sf_dir):
+    """Length of every recommendation list (R7), its positions being 1..n."""
+    rec = _als(spark, sf_dir).fit().out["recommendations"]
+    sizes = rec.groupBy("reviewerID_int").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        (F.sum("pos") == F.count(F.lit(1)) * (F.count(F.lit(1)) + 1) / 2).alias("distinct_positions"))
+    return _long_ids(sizes.withColumn("n_items", F.col("n_items").cast("long")))
+
+
+@query
+def als_training_fit(spark, sf_dir):
+    """Whether the model's squared training error is below that of the mean rating."""
+    out = _als(spark, sf_dir).fit().out
+    rows = A.predict(out["model"], out["train"])
+    error = F.sum((F.col("prediction") - F.col("prodRating")) ** 2)
+    spread = F.var_pop("prodRating") * F.count(F.lit(1))
+    return rows.agg(F.count(F.lit(1)).cast("long").alias("n_ratings"),
+                    (error < spread).alias("fits_better_than_mean"))
+
+
+@query
+def ideal_instances(spark, sf_dir):
+    """Ordered ideal list of the ALS evaluation (E5), its first K entries, long form."""
+    out = _als(spark, sf_dir).instances().targets().out
+    inst = out["instances"].withColumn("_kind", F.col("is_negative").cast("int"))
+    users = out["eligible"].select("reviewerID_int").distinct()
+    best = E.ideal_instances(inst.join(users, "reviewerID_int", "left_semi"), out["eligible"],
+                             out["negatives"], TOP_K, "reviewerID_int", "productID_int",
+                             ["_kind", "productID_int"])
+    return _long_ids(best.select("reviewerID_int", F.col("ideal_pos").cast("long").alias("ideal_pos"),
+                                 "productID_int", F.col("cls").cast("long").alias("cls")))
+
+
 @query
 def als_evaluation(spark, sf_dir):
     """[rows-only] precision, recall, NDCG, MRR and zero-hit users of ALS."""
@@ -450,24 +517,57 @@ def _record_files(spark, sf_dir) -> tuple[str, str]:
 def records_roundtrip(spark, sf_dir):
     """Reviews written as literal records and read back without eval."""
     reviews_path, _ = _record_files(spark, sf_dir)
-    return R.project_reviews(read_records(spark, reviews_path, schemas.REVIEW, 8))
+    return R.project_reviews(read_records(spark, reviews_path, schemas.REVIEW))
 
 
 @query
 def metadata_records(spark, sf_dir):
     """Nested metadata records read back, flattened and exploded."""
     _, meta_path = _record_files(spark, sf_dir)
-    meta = read_records(spark, meta_path, schemas.METADATA, 8)
+    meta = read_records(spark, meta_path, schemas.METADATA)
     return REL.companion_relation(R.flatten_metadata(meta))
 
 
+@query
+def record_cases(spark, sf_dir):
+    """Records with quotes, commas, bare-literal words and escapes in their text, a null
+    field, and broken lines: the kept rows with their text, and one row of counts."""
+    part = FX.table(spark, sf_dir, "part")
+    title = F.concat(
+        F.lit("Yes, None, True, "), F.col("p_name"), F.lit(" 'n' \"q\": null, [False] \\ it's "),
+        F.col("p_type"))
+    rows = part.select(F.col("p_partkey").cast("string").alias("asin"),
+                       F.when(F.col("p_size") != 7, title).alias("title"),
+                       F.col("p_retailprice").cast("double").alias("price"),
+                       (F.col("p_size") == 3).alias("broken"))
+    lines = to_literal_lines(rows.drop("broken"))
+    cut = to_literal_lines(rows.where("broken").drop("broken")).select(
+        F.expr("left(value, length(value) - 9)").alias("value"))
+    path = scratch_path(spark, "record-cases")
+    lines.unionByName(cut).write.text(path, compression="gzip")
+    parsed = split_records(spark, path, schemas.METADATA)
+    kept = parsed.where(F.col("_corrupt").isNull()).select(
+        "asin", "title", F.lit(None).cast("long").alias("n_records"),
+        F.lit(None).cast("long").alias("n_corrupt"))
+    none = F.lit(None).cast("string")
+    return kept.unionByName(record_counts(parsed).select(
+        none.alias("asin"), none.alias("title"), "n_records", "n_corrupt"))
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
-    """PL1 from record files to CSV directories, companion ratings read back."""
+    """PL1 from record files to CSV directories: all three tables read back, long form."""
     reviews_path, meta_path = _record_files(spark, sf_dir)
     paths = PRE.preprocess_files(spark, reviews_path, meta_path,
-                                 scratch_path(spark, "preprocessed"), 8)
-    return PRE.read_outputs(spark, paths)["comp"]
+                                 scratch_path(spark, "preprocessed"))
+    tables = PRE.read_outputs(spark, paths)
+    rating = F.lit(None).cast("double")
+    return (tables["relation"].select(F.lit("relation").alias("table"), F.col("asin").alias("a"),
+                                      F.col("compProd").alias("b"), rating.alias("rating"))
+            .unionByName(tables["base"].select(F.lit("base").alias("table"), F.col("reviewerID").alias("a"),
+                                               F.col("productID").alias("b"), F.col("prodRating").alias("rating")))
+            .unionByName(tables["comp"].select(F.lit("comp").alias("table"), F.col("reviewerID").alias("a"),
+                                               F.col("compProd").alias("b"), F.col("compRating").alias("rating"))))
 
 
 @query

@@ -58,10 +58,12 @@ FAST = ["companion_relation", "flatten_metadata", "base_ratings", "comp_ratings"
         "user_candidates", "companions_per_user", "preprocess_summary"]
 ALS = ["item_index", "user_index", "holdout_split", "training_set", "negative_samples",
        "als_targets", "eligible_targets", "user_mean_rating", "cohort_ratings",
-       "als_ideal_dcg", "pack_ratings"]
+       "als_ideal_dcg", "pack_ratings", "als_user_metrics", "als_scored_instances",
+       "als_list_sizes", "als_training_fit", "ideal_instances"]
+RECORDS = ["record_cases", "csv_roundtrip", "records_roundtrip", "metadata_records"]
 
 
-@pytest.mark.parametrize("name", FAST + ALS)
+@pytest.mark.parametrize("name", FAST + ALS + RECORDS)
 def test_matches_oracle(spark, con, name):
     got = entry.queries()[name](spark, SF_TINY).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
