@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -184,12 +185,13 @@ def find_batch(texts: pa.Array, phrases: Phrases, shard_symbols: int = SHARD_SYM
 
 
 def _finder(spark: SparkSession, phrases: Phrases):
-    shared = spark.sparkContext.broadcast(phrases)
+    shared = spark.sparkContext.broadcast(vars(phrases))      # plain values only
 
     @F.arrow_udf(returnType=FOUND)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = SimpleNamespace(**shared.value)
         for texts in batches:
-            yield find_batch(texts, shared.value)
+            yield find_batch(texts, known)
 
     return find
 

@@ -51,6 +51,7 @@ LEXICON_ROWS = 2500           # training rows per class, see above
 TREE_ROWS = 6000
 CALIBRATION_ROWS = 6000
 LEXICON_TERMS = 2000
+LEAF_ROWS = 10                # a leaf rests on so many training rows at least
 MIN_CONTEXTS = 4
 MIN_WEIGHT = 1.5
 NEAR = 5                      # words between a hit and a second-person word
@@ -223,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         "toxicity-features").select("step", "toxic", array_to_vector("values").alias("_llm_features"))
     booster = GBTClassifier(
         featuresCol="_llm_features", labelCol="toxic", predictionCol="_llm_class",
-        maxIter=12, maxDepth=3, stepSize=0.3, seed=7)
+        maxIter=12, maxDepth=3, stepSize=0.3, minInstancesPerNode=LEAF_ROWS, seed=7)
     booster.setRawPredictionCol("_llm_margin").setProbabilityCol("_llm_probability")
     trees = booster.fit(table.filter("step = 3"))
     held = trees.transform(table.filter("step = 4")).withColumn(

@@ -1,0 +1,40 @@
+"""What the package promises to its surroundings."""
+
+import os
+import subprocess
+import sys
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {folder!r}).getOrCreate())
+from companion.llm import decontaminate, secrets_scan, simhash
+docs = spark.createDataFrame([(1, "token=abcdefghijkl a b c"), (2, "x")], "doc_id long, text string")
+bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+print(secrets_scan.find_secrets(docs).filter("n_assign = 1").count(),
+      decontaminate.decontaminate(docs, bench).filter("n_hit = 3").count(),
+      simhash.near_duplicates(docs).count())
+"""
+
+
+def test_workers_do_not_need_the_package_on_their_path(tmp_path):
+    """Executors may lack this package: its functions travel by value."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    script = SCRIPT.format(root=ROOT, folder=f"file://{tmp_path}/shared")
+    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True,
+                         text=True, timeout=240)
+    assert run.stdout.split()[-3:] == ["1", "1", "2"], run.stderr[-2000:]
+
+
+def test_nothing_else_imports_the_package():
+    for folder, _, names in os.walk(os.path.join(ROOT, "companion")):
+        if os.path.basename(folder) in ("llm", "__pycache__"):
+            continue
+        for name in names:
+            if name.endswith(".py"):
+                with open(os.path.join(folder, name), encoding="utf-8") as f:
+                    assert "companion.llm" not in f.read(), name
