@@ -11,10 +11,17 @@ exhausted).  Here:
    a third of all rows is spread over many tasks;
 3. seen items are removed by an anti join, each item keeps its first draw,
    and the first ``t`` distinct items by draw number are taken;
-4. users left short of ``min(t, unseen pool)`` items -- which requires them
-   to have seen more than about half of the pool -- take the rest from an
-   enumeration of the pool in seeded hash order.  The enumeration is
-   bounded by about twice the user's own rows.
+4. users left short of ``min(t, unseen pool)`` items make further rounds of
+   draws from the same sequence, about ``2 * rest * P / unseen`` of them, while
+   their unseen pool is more than ``ENUMERATE_RATIO`` times what they still
+   need; else the rest comes from an enumeration of the pool in seeded hash
+   order.
+
+Both are linear in the user's own rows.  Enumerated pool: ``P = seen + found +
+unseen <= seen + t + ENUMERATE_RATIO * t``.  Further draws: with ``unseen >
+ENUMERATE_RATIO * rest``, ``2 * rest * P / unseen <= 2 * rest + (seen + found) *
+2 / ENUMERATE_RATIO``, and at least half of the need is met in expectation, so
+the rounds are few.
 
 Every step is a join, aggregate or exact rank; no list is built per user.
 """
@@ -30,6 +37,7 @@ from companion.operators.ranking import (DEFAULT_GROUP_ROWS, dense_index, hash_b
 from companion.session import materialize
 
 EXTRA_DRAWS = 8
+ENUMERATE_RATIO = 4           # unseen pool over need, up to which the pool is enumerated
 ROWS_PER_TASK = 1 << 20       # generated draws per task
 
 
@@ -76,33 +84,56 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
                        .distinct(), "negatives-seen")
 
     # 1-3: seeded draws, seen items removed, first t distinct by draw number
-    n_draws = F.lit(2) * F.col("_t") + EXTRA_DRAWS
-    draws = _chunked_range(wanted, user, n_draws, "_k", group_rows,
-                           _parts_for(wanted, n_draws))
-    draws = draws.withColumn(
-        "_idx", draw_index(seeded_digest(seed, user, "_k"), pool_size))
-    hits = (draws.join(pool, "_idx").join(seen, [user, item], "left_anti")
-            .groupBy(user, item).agg(F.min("_k").alias("_k"), F.max("_t").alias("_t")))
-    hits = hits.withColumn("_b", F.floor(F.col("_k") / F.lit(group_rows)))
-    firsts = materialize(key_rank(hits, [user], "_b", [F.col("_k")], "_r")
-                         .where(F.col("_r") < F.col("_t"))
-                         .select(user, item), "negatives-first-pass")
-
-    # 4: exact completion for users short of min(t, unseen pool)
-    seen_in_pool = (seen.join(pool, item, "left_semi").groupBy(user)
-                    .agg(F.count(F.lit(1)).alias("_s")))
-    got = firsts.groupBy(user).agg(F.count(F.lit(1)).alias("_g"))
-    short = materialize(
-        wanted.join(seen_in_pool, user, "left").join(got, user, "left")
-        .select(user, (F.least(F.col("_t"), pool_size - F.coalesce("_s", F.lit(0)))
-                       - F.coalesce("_g", F.lit(0))).alias("_rest"))
-        .where(F.col("_rest") > 0), "negatives-short-users")
-    negatives = firsts
-    if not short.isEmpty():
-        negatives = negatives.unionByName(
-            _complete(short, pool, pool_size, seen, firsts, seed, user, item, group_rows))
+    def first_new(need: DataFrame, taken: DataFrame) -> DataFrame:
+        """The first ``_rest`` distinct items outside ``taken`` among the draws numbered
+        ``_from`` to ``_from + _n - 1`` of every user of ``need``."""
+        draws = _chunked_range(need, user, F.col("_n"), "_k", group_rows,
+                               _parts_for(need, F.col("_n")))
+        draws = draws.withColumn("_k", F.col("_k") + F.col("_from")).withColumn(
+            "_idx", draw_index(seeded_digest(seed, user, "_k"), pool_size))
+        hits = (draws.join(pool, "_idx").join(taken, [user, item], "left_anti")
+                .groupBy(user, item).agg(F.min("_k").alias("_k"), F.max("_rest").alias("_rest")))
+        hits = hits.withColumn("_b", F.floor(F.col("_k") / F.lit(group_rows)))
+        return (key_rank(hits, [user], "_b", [F.col("_k")], "_r")
+                .where(F.col("_r") < F.col("_rest")).select(user, item))
+
+    state = wanted.select(user, "_t", F.col("_t").alias("_rest"), F.lit(0).cast("long").alias("_from"),
+                          (F.lit(2) * F.col("_t") + EXTRA_DRAWS).alias("_n"))
+    found = materialize(first_new(state, seen), "negatives-found")
+    seen_in_pool = materialize(seen.join(pool, item, "left_semi").groupBy(user)
+                               .agg(F.count(F.lit(1)).alias("_s")), "negatives-seen-counts")
+
+    # 4: users short of min(t, unseen pool): further rounds, or the rest of the pool
+    n_pool = pool.count()
+    while True:
+        got = found.groupBy(user).agg(F.count(F.lit(1)).alias("_g"))
+        left = F.lit(n_pool) - F.coalesce("_s", F.lit(0)) - F.coalesce("_g", F.lit(0))
+        rest = F.least(F.col("_t") - F.coalesce("_g", F.lit(0)), left)
+        short = materialize(
+            state.drop("_rest").join(seen_in_pool, user, "left").join(got, user, "left")
+            .select(user, "_t", rest.alias("_rest"), left.alias("_left"),
+                    (F.col("_from") + F.col("_n")).alias("_from")).where(F.col("_rest") > 0),
+            "negatives-short")
+        few = short.where(F.col("_left") <= ENUMERATE_RATIO * F.col("_rest"))
+        more = short.where(F.col("_left") > ENUMERATE_RATIO * F.col("_rest"))
+        parts = [found]
+        if not few.isEmpty():
+            parts.append(_complete(few.select(user, "_rest"), pool, pool_size, seen, found, seed,
+                                   user, item, group_rows))
+        again = not more.isEmpty()
+        if again:
+            state = more.withColumn("_n", F.ceil(
+                F.lit(2.0 * n_pool) * F.col("_rest") / F.col("_left")).cast("long") + EXTRA_DRAWS)
+            parts.append(first_new(state, seen.unionByName(found)))
+        if len(parts) > 1:
+            negatives = parts[0]
+            for part in parts[1:]:
+                negatives = negatives.unionByName(part)
+            found = materialize(negatives, "negatives-found")
+        if not again:
+            break
     return (tests.select(user, item, F.lit(False).alias("is_negative"))
-            .unionByName(negatives.withColumn("is_negative", F.lit(True))))
+            .unionByName(found.withColumn("is_negative", F.lit(True))))
 
 
 def _complete(short: DataFrame, pool: DataFrame, pool_size, seen: DataFrame,

@@ -1,3 +1,4 @@
+from companion.operators import negatives
 from companion.operators.negatives import scoring_instances
 
 SCHEMA = "reviewerID_int int, productID_int int, prodRating int"
@@ -59,3 +60,29 @@ def test_same_seed_same_draws_independent_of_group_size(spark):
     c = run(spark, test, train, pool, seed=7)
     assert a == b
     assert a != c
+
+
+def test_further_rounds_before_the_pool_is_enumerated(spark, monkeypatch):
+    """Users who have seen two thirds or more of a large pool: exact counts, and the pool is
+    enumerated only for users whose own rows are of its size."""
+    enumerated = []
+    plain = negatives._complete
+
+    def watched(short, pool, *rest):
+        enumerated.extend((r[0], pool.count()) for r in short.collect())
+        return plain(short, pool, *rest)
+
+    monkeypatch.setattr(negatives, "_complete", watched)
+    pool = list(range(3000))
+    n_seen = {1: 2000, 2: 2900, 3: 2990, 4: 2999, 5: 3000, 6: 10}
+    train = [(u, i, 3) for u, n in n_seen.items() for i in range(n)]
+    test = [(u, i, 1) for u in n_seen for i in range(40)]
+    rows = run(spark, test, train, pool)
+    assert rows == run(spark, test, train, pool, group_rows=64)
+    for u, n in n_seen.items():
+        negs = [i for uu, i, neg in rows if uu == u and neg]
+        assert len(negs) == len(set(negs)) == min(40, 3000 - n)
+        assert all(n <= i < 3000 for i in negs)
+    assert enumerated
+    for u, size in enumerated:
+        assert size <= n_seen[u] + (1 + negatives.ENUMERATE_RATIO) * 40
