@@ -28,7 +28,7 @@ from companion.plans import preprocess as PRE
 from companion.plans import report as REPORT
 from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.popularity import TOP_K, popularity_pipeline
-from companion.session import scratch_path
+from companion.session import scratch_path, table_exists
 from companion.sources import fixtures as FX
 from companion.sources.records import (read_records, record_counts, split_records,
                                        to_literal_lines, write_records)
@@ -53,7 +53,7 @@ def r6(c) -> F.Column:
 # fixture mapping and the preprocessing run once per application and data
 # directory, and their outputs are written as tables in the shared folder.
 
-_PREPARED: dict[tuple[str, str, str], str] = {}
+_PREPARED: dict[tuple, str] = {}
 
 
 def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,34 +75,55 @@ def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     raise KeyError(name)
 
 
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and change time of the tables that the fixture reads, so that nothing prepared
+    from older data under the same path is used."""
+    found = []
+    for name in FX.SOURCES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found.append((fs.getContentSummary(path).getLength(),
+                      fs.getFileStatus(path).getModificationTime()))
+    return tuple(found)
+
+
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name)
+
+
 def prepared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture or preprocessing table, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _PREPARED:
+    """A fixture or preprocessing table, written once per application and state of the data."""
+    key = _key(spark, sf_dir, name)
+    if key not in _PREPARED or not table_exists(spark, _PREPARED[key]):
         path = scratch_path(spark, f"prepared-{name}")
         _build(spark, sf_dir, name).write.parquet(path)
         _PREPARED[key] = path
     return spark.read.parquet(_PREPARED[key])
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: prepared(spark, sf_dir, name)
-            for name in ("reviews", "relation", "base", "comp")}
+class inputs:
+    """The prepared tables by name, each written when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return prepared(self.spark, self.sf_dir, name)
 
 
-_RUNS: dict[tuple[str, str, str], object] = {}
+_RUNS: dict[tuple, object] = {}
 
 
 def forget_runs() -> None:
     """Drop the pipeline runs shared by queries (the bench times each query
-    from its inputs)."""
+    from its inputs; needed after ``clear_tables``)."""
     _RUNS.clear()
 
 
 def _als(spark, sf_dir) -> ALSRun:
-    """One ALS run per application and data directory: queries on its
+    """One ALS run per application and state of the data: queries on its
     stages share the stage tables instead of recomputing them."""
-    key = (spark.sparkContext.applicationId, sf_dir, "als")
+    key = _key(spark, sf_dir, "als")
     if key not in _RUNS:
         i = inputs(spark, sf_dir)
         _RUNS[key] = ALSRun(i["base"], i["comp"], ALSConfig(materialize_inputs=False))
@@ -110,8 +131,8 @@ def _als(spark, sf_dir) -> ALSRun:
 
 
 def _popularity(spark, sf_dir) -> dict[str, DataFrame]:
-    """One popularity run per application and data directory."""
-    key = (spark.sparkContext.applicationId, sf_dir, "popularity")
+    """One popularity run per application and state of the data."""
+    key = _key(spark, sf_dir, "popularity")
     if key not in _RUNS:
         i = inputs(spark, sf_dir)
         _RUNS[key] = popularity_pipeline(i["base"], i["comp"], i["relation"])

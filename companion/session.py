@@ -48,9 +48,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(_RUNS[-1] if _RUNS else _tables(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _file_system(spark, path)
+    fs.delete(hadoop, True)
 
 
 @contextmanager
@@ -71,6 +81,21 @@ def clear_tables(spark: SparkSession) -> None:
     _remove(spark, _tables(spark))
 
 
+_WATCHERS: list[list[tuple[str, str]]] = []
+
+
+@contextmanager
+def watched_plans() -> Iterator[list[tuple[str, str]]]:
+    """Collect (name, physical plan) of every stage table written inside the block: what
+    ``explain`` of a staged result no longer shows."""
+    plans: list[tuple[str, str]] = []
+    _WATCHERS.append(plans)
+    try:
+        yield plans
+    finally:
+        _WATCHERS.remove(plans)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder
     and continue from the written table.
@@ -80,6 +105,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     re-read, not a recomputation from the raw inputs."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for plans in _WATCHERS:
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SOURCES = ("lineitem", "orders", "part")
+
 # Fixed fixture values: size classes of parts.
 MAIN_MIN_SIZE = 48        # p_size >= 48: main (base) product
 COMP_MAX_SIZE = 25        # p_size <= 25: companion product

@@ -12,6 +12,7 @@ from companion.operators.cohort import cohort_ratings
 from companion.operators.ranking import hash_bucket, key_rank
 from companion.operators.split import holdout_split
 from companion.plans import queries
+from companion.session import watched_plans
 from conftest import SF_TINY
 
 # the queries of this library (others are registered by an optional subpackage)
@@ -31,8 +32,19 @@ def plan_of(df) -> str:
 
 @pytest.mark.parametrize("name", OWN)
 def test_no_cross_join_or_python_in_plan(spark, name):
-    plan = plan_of(queries.REGISTRY[name](spark, SF_TINY))
-    assert not [f for f in FORBIDDEN if f in plan]
+    with watched_plans() as stages:                   # stage tables too, not the last scan only
+        plan = plan_of(queries.REGISTRY[name](spark, SF_TINY))
+    for text in (plan, *(text for _, text in stages)):
+        assert not [f for f in FORBIDDEN if f in text]
+
+
+def test_stage_plans_are_seen(spark):
+    queries.forget_runs()
+    with watched_plans() as stages:
+        queries.REGISTRY["holdout_split"](spark, SF_TINY)
+    names = [name for name, _ in stages]
+    assert {"als-cohort", "als-comp-enc", "als-split"} <= set(names)
+    assert "Window" in dict(stages)["als-split"]
 
 
 @pytest.mark.parametrize("name", GROUP_LIMITED)
