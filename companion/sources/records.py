@@ -48,8 +48,10 @@ def normalize_literals(line: F.Column) -> F.Column:
             piece = F.regexp_replace(piece, rf"\b{py}\b", js)
         return piece
 
-    return _outside_strings(
+    cut = _outside_strings(
         line, bare, lambda piece: F.regexp_replace(piece, _HEX_ESCAPE, r"$1\\u00$2"))
+    # most lines hold neither a literal word nor such an escape: they stay whole
+    return F.when(line.rlike(r"\b(?:None|True|False)\b|\\x"), cut).otherwise(line)
 
 
 def parse_records(lines: DataFrame, schema: T.StructType,
@@ -116,7 +118,10 @@ def to_literal_lines(df: DataFrame) -> DataFrame:
         inner = F.regexp_replace(inner, r'(?<!\\)((?:\\\\)*)\\"', '$1"')
         return F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'"))
 
-    return df.select(_outside_strings(js, bare, quoted).alias("value"))
+    # without escapes, apostrophes and literal words only the quotes differ
+    plain = F.translate(js, '"', "'")
+    return df.select(F.when(js.rlike(r"['\\]|\b(?:null|true|false)\b"), _outside_strings(
+        js, bare, quoted)).otherwise(plain).alias("value"))
 
 
 def write_records(df: DataFrame, path: str, compression: str = "gzip") -> None:
