@@ -5,11 +5,14 @@ fast Hadamard transform) and files it under the signed axis that it is nearest
 to.  A query looks into its ``PROBES`` nearest axes of each of ``TABLES`` tables;
 what it finds there is ranked again by the exact inner product in double
 precision.  Inner products become angles by one more coordinate that lifts every
-candidate to the largest norm (zero for queries), so vectors need not be unit.
-
-Scale: index rows and queries meet by (length, table, axis), so each row is
-shipped once per table and each query once per probe; there is no pass of every
-query over every row.  An axis that holds many rows is cut into pieces of about
+candidate to the largest norm of its band (zero for queries), so vectors need not
+be unit.  A band holds norms within a factor of 2 ** (1 / ``BANDS``), so the added
+coordinate stays the smaller part; every query probes every band of its length.
+The rows of bands that hold at most ``SMALL_BAND`` are compared with every query.
+
+Scale: index rows and queries meet by (length, band, table, axis), so each row is
+shipped once per table and each query once per probe and band; there is no pass of
+every query over every row, but over the few of sparse bands.  An axis that holds many rows is cut into pieces of about
 ``PIECE`` rows, and its queries into pieces of ``PIECE`` queries, each pair of
 pieces a group of its own.  A piece returns at most ``k + 1`` rows per query.
 Equal vectors give equal products, and ties go to smaller ids, so of each
@@ -44,6 +47,9 @@ PROBES = 4
 AXES = 64
 SEED = 17
 PIECE = 4096
+BANDS = 4                     # bands of norms per factor of two
+SMALL_BAND = 4096             # rows up to which a band is compared with every query
+NO_BAND = -1 << 20            # where the rows of small bands are filed
 ROWS_AT_ONCE = 2048           # vectors that are rotated at a time
 
 
@@ -66,15 +72,13 @@ def rotations(rows: np.ndarray, table: int, seed: int) -> np.ndarray:
     return rows
 
 
-def buckets(vectors: np.ndarray, largest: float, tables: int, probes: int, axes: int,
-            polytopes: int, seed: int, lift: bool) -> np.ndarray:
+def buckets(vectors: np.ndarray, lifts: np.ndarray, tables: int, probes: int, axes: int,
+            polytopes: int, seed: int) -> np.ndarray:
     """(vector, table, probe) -> bucket number; the first probe is the vector's own."""
     width = 1 << int(vectors.shape[1]).bit_length()      # room for one more coordinate
     rows = np.zeros((len(vectors), width))
     rows[:, :vectors.shape[1]] = vectors
-    if lift:
-        rest = largest ** 2 - (vectors ** 2).sum(axis=1)
-        rows[:, vectors.shape[1]] = np.sqrt(np.maximum(rest, 0.0))
+    rows[:, vectors.shape[1]] = lifts
     out = np.empty((len(vectors), tables, probes), dtype=np.int64)
     axes = min(axes, width)
     for table in range(tables):
@@ -93,12 +97,13 @@ def buckets(vectors: np.ndarray, largest: float, tables: int, probes: int, axes:
     return out
 
 
-def bucket_column(vector: Column, largest: float, tables: int, probes: int, axes: int,
-                  polytopes: int, seed: int, lift: bool) -> Column:
-    """Array of (table, bucket) per vector."""
+def bucket_column(vector: Column, lift: Column, tables: int, probes: int, axes: int,
+                  polytopes: int, seed: int) -> Column:
+    """Array of (table, bucket) per vector; ``lift`` is its added coordinate."""
     @F.arrow_udf("array<struct<table:int,bucket:long>>")
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, lifts in batches:
+            lifted = lifts.to_numpy(zero_copy_only=False)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             sizes = np.diff(ends)
@@ -108,14 +113,14 @@ def bucket_column(vector: Column, largest: float, tables: int, probes: int, axes
                 for at in range(0, len(chosen), ROWS_AT_ONCE):
                     some = chosen[at:at + ROWS_AT_ONCE]
                     block = values[ends[some][:, None] + np.arange(size)]
-                    out[some] = buckets(block, largest, tables, probes, axes, polytopes, seed, lift)
+                    out[some] = buckets(block, lifted[some], tables, probes, axes, polytopes, seed)
             n = tables * probes
             table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), len(sizes))
             pairs = pa.StructArray.from_arrays(
                 [pa.array(table), pa.array(out.reshape(-1))], ["table", "bucket"])
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * n, pa.int32()), pairs)
 
-    return of(vector)
+    return of(vector, lift)
 
 
 def rank_piece(k: int):
@@ -167,48 +172,63 @@ def usable(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id"
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES,
             probes: int = PROBES, axes: int = AXES, polytopes: int = 1, seed: int = SEED,
-            piece: int = PIECE, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
+            piece: int = PIECE, vector: str = "embedding", vec_id: str = "vec_id",
+            small_band: int = SMALL_BAND) -> DataFrame:
     """The ``k`` nearest rows found for every query: query_id, rank, vec_id, score."""
     rows = materialize(usable(vectors, vector, vec_id), "nearest-rows")
     asked = materialize(usable(queries, vector, vec_id).dropDuplicates(["vec_id", "same"]),
                         "nearest-queries")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    largest = rows.agg(F.max(norm)).first()[0] or 0.0
     options = (axes, polytopes, seed)
 
     smallest = Window.partitionBy("same").orderBy("vec_id")
     kept = rows.dropDuplicates(["vec_id", "same"]).withColumn(
         "_place", F.row_number().over(smallest)).filter(F.col("_place") <= k + 1)
-    hashed = materialize(kept.select("vec_id", "vector", bucket_column(
-        F.col("vector"), largest, tables, 1, *options, True).alias("places")), "nearest-index")
+    # norms of about one value, a power of two above all, lie in the middle of a band
+    kept = materialize(kept.select(
+        "vec_id", "vector", F.size("vector").alias("length"), norm.alias("norm"), F.coalesce(
+            F.round(F.log2(norm) * BANDS).cast("int"), F.lit(0)).alias("band")), "nearest-kept")
+    bands = materialize(kept.groupBy("length", "band").agg(
+        F.max("norm").alias("largest"), (F.count("*") <= small_band).alias("small")), "nearest-bands")
+    banded = kept.join(bands, ["length", "band"])
+    ratio = F.col("norm") / F.col("largest")
+    lift = F.col("largest") * F.sqrt(F.greatest(1 - ratio * ratio, F.lit(0.0)))
+    large = banded.filter(~F.col("small")).select("vec_id", "vector", "band", bucket_column(
+        F.col("vector"), lift, tables, 1, *options).alias("places"))
+    # small bands are one place, which every query of their length probes
+    everywhere = F.array(F.struct(F.lit(-1).alias("table"), F.lit(-1).cast("long").alias("bucket")))
+    small = banded.filter("small").select(
+        "vec_id", "vector", F.lit(NO_BAND).alias("band"), everywhere.alias("places"))
+    hashed = materialize(large.union(small), "nearest-index")
+    places = F.array_distinct(bucket_column(F.col("vector"), F.lit(0.0), tables, probes, *options))
+    if not bands.filter("small").isEmpty():
+        places = F.concat(places, everywhere)
     distinct = materialize(asked.groupBy("same").agg(
         F.min("vec_id").alias("query"), F.min("vector").alias("vector")).select(
-        "same", "query", "vector", F.array_distinct(bucket_column(
-            F.col("vector"), largest, tables, probes, *options, False)).alias("places")),
-        "nearest-distinct")
+        "same", "query", "vector", places.alias("places")), "nearest-distinct")
 
-    def filed_rows(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, "vector", F.explode("places").alias("at")).select(
-            key, "vector", F.size("vector").alias("length"), "at.table", "at.bucket")
+    def filed_rows(df: DataFrame, *key: str) -> DataFrame:
+        return df.select(*key, "vector", F.explode("places").alias("at")).select(
+            *key, "vector", F.size("vector").alias("length"), "at.table", "at.bucket")
 
-    filed, probing = filed_rows(hashed, "vec_id"), filed_rows(distinct, "query")
+    filed, probing = filed_rows(hashed, "vec_id", "band"), filed_rows(distinct, "query")
     place = ["length", "table", "bucket"]
 
-    def pieces(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*place).agg(F.ceil(F.count("*") / piece).cast("int").alias(name))
+    def pieces(df: DataFrame, at: list[str], name: str) -> DataFrame:
+        return df.groupBy(*at).agg(F.ceil(F.count("*") / piece).cast("int").alias(name))
 
-    # one row per bucket in use: how many pieces its rows and its queries have
-    cuts = materialize(pieces(filed, "row_pieces").join(pieces(probing, "query_pieces"), place),
-                       "nearest-pieces")
+    # one row per band and bucket in use: how many pieces its rows and its queries have
+    cuts = materialize(pieces(filed, [*place, "band"], "row_pieces").join(
+        pieces(probing, place, "query_pieces"), place), "nearest-pieces")
 
-    def grid(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    def grid(df: DataFrame, at: list[str], key: str, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64(F.col(key)), F.col(own)).cast("int").alias(own[:-1])
         theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1])
-        return df.join(cuts, place).select(key, "vector", *place, mine, theirs)
+        return df.join(cuts, at).select(key, "vector", *place, "band", mine, theirs)
 
-    left = grid(filed, "vec_id", "row_pieces", "query_pieces")
-    right = grid(probing, "query", "query_pieces", "row_pieces")
-    group = [*place, "row_piece", "query_piece"]
+    left = grid(filed, [*place, "band"], "vec_id", "row_pieces", "query_pieces")
+    right = grid(probing, place, "query", "query_pieces", "row_pieces")
+    group = [*place, "band", "row_piece", "query_piece"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
         rank_piece(k + 1), "query long, vec_id long, score double")
 

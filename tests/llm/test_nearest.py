@@ -73,6 +73,21 @@ def test_norms_count(spark):
     assert recall(got, want) >= 0.9
 
 
+def test_recall_with_long_and_spread_norms(spark):
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(8000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    one_long = np.ones(8000)
+    one_long[77] = 100.0
+    for norms, options in ((one_long, {}), (rng.lognormal(size=8000), {}),
+                           (rng.uniform(0.7, 1.4, size=8000), {"small_band": 0})):
+        rows = list(enumerate((unit * norms[:, None]).tolist()))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = found(nearest.nearest(df, df.filter("vec_id % 40 = 0"), **options))
+        want = brute(rows, rows[::40], 20)
+        assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
 def test_transform_keeps_lengths_and_angles():
     rows = np.random.default_rng(0).normal(size=(5, 16))
     turned = nearest.rotations(rows, 3, 1)
