@@ -20,6 +20,10 @@ distinct vector only the ``k + 1`` smallest ids are indexed and a distinct query
 vector is searched once: a vector that a third of all rows share costs no more
 than any other.  Nothing is sampled and all rows are indexed.
 
+A query that found fewer rows than it wants, while its length has more, searches again
+with ``MORE_PROBES`` times the probes, and in the end all rows of its length, in the same
+pieces: it returns ``k`` rows, or all candidates if they are fewer.
+
 Each table looks at about PROBES / (2 * AXES) of the rows per query.  For a
 larger collection raise ``polytopes``: the axes of several rotations are then
 filed together, which squares the number of buckets.
@@ -44,6 +48,7 @@ from companion.session import materialize
 
 TABLES = 24
 PROBES = 4
+MORE_PROBES = 4               # factor of the probes of queries that found too little
 AXES = 64
 SEED = 17
 PIECE = 4096
@@ -200,42 +205,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     small = banded.filter("small").select(
         "vec_id", "vector", F.lit(NO_BAND).alias("band"), everywhere.alias("places"))
     hashed = materialize(large.union(small), "nearest-index")
-    places = F.array_distinct(bucket_column(F.col("vector"), F.lit(0.0), tables, probes, *options))
-    if not bands.filter("small").isEmpty():
-        places = F.concat(places, everywhere)
+    has_small = not bands.filter("small").isEmpty()
     distinct = materialize(asked.groupBy("same").agg(
-        F.min("vec_id").alias("query"), F.min("vector").alias("vector")).select(
-        "same", "query", "vector", places.alias("places")), "nearest-distinct")
+        F.min("vec_id").alias("query"), F.min("vector").alias("vector")), "nearest-distinct")
+    nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
 
     def filed_rows(df: DataFrame, *key: str) -> DataFrame:
         return df.select(*key, "vector", F.explode("places").alias("at")).select(
             *key, "vector", F.size("vector").alias("length"), "at.table", "at.bucket")
 
-    filed, probing = filed_rows(hashed, "vec_id", "band"), filed_rows(distinct, "query")
-    place = ["length", "table", "bucket"]
-
     def pieces(df: DataFrame, at: list[str], name: str) -> DataFrame:
         return df.groupBy(*at).agg(F.ceil(F.count("*") / piece).cast("int").alias(name))
 
-    # one row per band and bucket in use: how many pieces its rows and its queries have
-    cuts = materialize(pieces(filed, [*place, "band"], "row_pieces").join(
-        pieces(probing, place, "query_pieces"), place), "nearest-pieces")
-
-    def grid(df: DataFrame, at: list[str], key: str, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(F.col(key)), F.col(own)).cast("int").alias(own[:-1])
-        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1])
-        return df.join(cuts, at).select(key, "vector", *place, "band", mine, theirs)
-
-    left = grid(filed, [*place, "band"], "vec_id", "row_pieces", "query_pieces")
-    right = grid(probing, place, "query", "query_pieces", "row_pieces")
-    group = [*place, "band", "row_piece", "query_piece"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        rank_piece(k + 1), "query long, vec_id long, score double")
-
-    nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    best = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn(
-        "_place", F.row_number().over(nearest_first)).filter(F.col("_place") <= k + 1)
-    best = materialize(best.select("query", "vec_id", "score"), "nearest-best")
+    def search(index: DataFrame, queries: DataFrame) -> DataFrame:
+        """The ``k + 1`` best of the rows that share a place with the query: query, vec_id, score."""
+        filed, probing = filed_rows(index, "vec_id", "band"), filed_rows(queries, "query")
+        place = ["length", "table", "bucket"]
+        # one row per band and bucket in use: how many pieces its rows and its queries have
+        cuts = materialize(pieces(filed, [*place, "band"], "row_pieces").join(
+            pieces(probing, place, "query_pieces"), place), "nearest-pieces")
+
+        def grid(df: DataFrame, at: list[str], key: str, own: str, other: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64(F.col(key)), F.col(own)).cast("int").alias(own[:-1])
+            theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1])
+            return df.join(cuts, at).select(key, "vector", *place, "band", mine, theirs)
+
+        left = grid(filed, [*place, "band"], "vec_id", "row_pieces", "query_pieces")
+        right = grid(probing, place, "query", "query_pieces", "row_pieces")
+        group = [*place, "band", "row_piece", "query_piece"]
+        found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
+            rank_piece(k + 1), "query long, vec_id long, score double")
+        return first_ones(found)
+
+    def first_ones(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn(
+            "_place", F.row_number().over(nearest_first)).filter(F.col("_place") <= k + 1)
+        return materialize(best.select("query", "vec_id", "score"), "nearest-best")
+
+    def probed(queries: DataFrame, probes: int) -> DataFrame:
+        places = F.array_distinct(bucket_column(F.col("vector"), F.lit(0.0), tables, probes, *options))
+        return materialize(queries.select("query", "vector", (
+            F.concat(places, everywhere) if has_small else places).alias("places")), "nearest-probes")
+
+    best = search(hashed, probed(distinct, probes))
+    # with one's own row, k + 1 of the distinct ids of a length, or all of them
+    wanted = materialize(kept.groupBy("length").agg(F.least(
+        F.count_distinct("vec_id"), F.lit(k + 1)).alias("wanted")), "nearest-wanted")
+    short = distinct
+    while True:
+        counts = best.groupBy("query").agg(F.count("*").alias("n"))
+        short = materialize(short.select("query", "vector").withColumn("length", F.size("vector")).join(
+            wanted, "length").join(counts, "query", "left").filter(
+            F.coalesce("n", F.lit(0)) < F.col("wanted")).select("query", "vector"), "nearest-short")
+        if short.isEmpty():
+            break
+        probes *= MORE_PROBES
+        last = probes >= 2 * axes
+        again = search(kept.select("vec_id", "vector", F.lit(NO_BAND).alias("band"), everywhere.alias(
+            "places")), short.withColumn("places", everywhere)) if last else search(
+            hashed, probed(short, probes))
+        best = first_ones(best.union(again))
+        if last:
+            break
     members = materialize(
         asked.select(F.col("vec_id").alias("query_id"), "same").join(
             distinct.select("query", "same"), "same").select("query_id", "query"), "nearest-members")

@@ -88,6 +88,24 @@ def test_recall_with_long_and_spread_norms(spark):
         assert set(got) == set(want) and recall(got, want) >= 0.9
 
 
+def test_every_query_finds_what_there_is(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(15)]
+    rows += [(100 + i, rng.normal(size=48).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest.nearest(df, df))
+    for some in (rows[:15], rows[15:]):
+        want = brute(some, some, 20)
+        assert {q: [v for _, v, _ in got[q]] for q in want} == want
+    # one bundle, and a query that looks the other way: its probes meet no row
+    bundle = np.ones(64) + rng.normal(size=(5000, 64)) / 100
+    rows = list(enumerate((bundle / np.linalg.norm(bundle, axis=1)[:, None]).tolist()))
+    asked = [(9000, (-np.ones(64) / 8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest.nearest(df, spark.createDataFrame(asked, df.schema)))
+    assert [v for _, v, _ in got[9000]] == brute(rows, asked, 20)[9000]
+
+
 def test_transform_keeps_lengths_and_angles():
     rows = np.random.default_rng(0).normal(size=(5, 16))
     turned = nearest.rotations(rows, 3, 1)
