@@ -1,13 +1,15 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is made canonical: lower case, without copyright lines, with equivalent
+A text is made canonical: lower case, without copyright notices (lines that start with
+"copyright", but not wrapped licence text such as "copyright holders"), with equivalent
 spellings replaced, punctuation and blanks folded to single spaces.  Its SHA-256
 is joined to the digests of known licences, made canonical by the same
 expressions: the entire text of a document against entire licence texts.  The
 same lookup over entire lines finds licence notices inside other documents.
 
 Known texts are a parameter, a table (licence, scope, text) with scope ``text`` or
-``notice``; the default is ``KNOWN``.
+``notice``; the default is ``KNOWN`` and ``TITLED``, the same texts under their other
+titles.
 
 Scale: one pass over the texts; what is joined is a digest per document, and the
 known side is a small table that Spark broadcasts below its measured threshold
@@ -34,6 +36,15 @@ SPELLINGS = (
     ("https:", "http:"), ("per cent", "percent"), ("acknowledgement", "acknowledgment"),
 )
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+# The lines that are deleted: of those above, not the licence text that a line break has
+# brought there ("copyright notice and ...", "copyright holders be liable", "(c) you must").
+# The SQL has no look-ahead and keeps the wider pattern.
+COPYRIGHT_NOTICE = (
+    r"(?m)^[ \t*#/;-]*(?:copyright\b(?![ \t]*$)(?![ \t,.;:]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|"
+    r"statements?|disclaimers?|interests?|rights?|claims?|treat(?:y|ies)|protection|infringement|"
+    r"ownership|management|information|and|or|is|in|to|of|for|are|shall|that|as)\b)"
+    r"|\(c\)(?![ \t]+(?:you|the|any|this|if|each|an?|all|to|in|for|that|such|it|must|shall)\b)"
+    r"|©|all rights reserved)[^\n]*$")
 
 # Licence texts and notices.
 MIT = """MIT License
@@ -94,11 +105,20 @@ KNOWN = (
     ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
 )
+# Other usual titles of the entire texts.
+TITLED = tuple(
+    (licence, "text", f"{title}\n\n{text}") for licence, text, titles in (
+        ("MIT", MIT.removeprefix("MIT License\n\n"),
+         ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)")),
+        ("ISC", ISC, ("The ISC License", "ISC License (ISC)", "The ISC License (ISC)")),
+        ("0BSD", ZERO_BSD, ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD (0BSD)")),
+        ("Zlib", ZLIB, ("zlib License", "The zlib License", "The zlib/libpng License")))
+    for title in titles)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_NOTICE, "")
     for written, usual in SPELLINGS:
         out = F.replace(out, F.lit(written), F.lit(usual))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -108,7 +128,7 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known=KNOWN + TITLED) -> DataFrame:
     """(digest, scope, licence), one row per digest and scope."""
     table = known if isinstance(known, DataFrame) else spark.createDataFrame(
         list(known), "licence string, scope string, text string")
@@ -118,7 +138,7 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows
 
 
-def scan_licences(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan_licences(docs: DataFrame, known=KNOWN + TITLED) -> DataFrame:
     """One row per document: doc_id, licence (of the entire text, or null), n_notices,
     notices (licences of entire lines, sorted, comma-joined)."""
     table = known_digests(docs.sparkSession, known)

@@ -147,6 +147,26 @@ def test_licence_cases(documents):
     assert licence_scan.scan_licences(documents([])).count() == 0
 
 
+def test_licences_in_every_wrap_and_title(documents):
+    import textwrap
+
+    rows, want = [], {}
+    for licence, scope, text in licence_scan.KNOWN + licence_scan.TITLED:
+        for width in (20, 40, 60, 66, 72, 76, 80, 100, 2000) if scope == "text" else ():
+            paragraphs = [textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n")]
+            # a notice is a line of its own
+            paragraphs = ["Copyright (c) 2020 Some One" if p.lower().startswith("copyright (c)") else p
+                          for p in paragraphs]
+            want[len(rows)] = licence
+            rows.append((len(rows), "\n\n".join(paragraphs)))
+    for notice in ("Copyright Some Company, Inc.", "(c) Some One", "Copyright <year> <owner>", "© 2020 x"):
+        want[len(rows)] = "ISC"
+        rows.append((len(rows), f"{notice}\n\n{licence_scan.ISC}"))
+    assert any("\ncopyright notice" in t for _, t in rows) and any("\nCOPYRIGHT HOLDERS" in t for _, t in rows)
+    got = {r.doc_id: r.licence for r in licence_scan.scan_licences(documents(rows)).collect()}
+    assert got == want
+
+
 def test_licence_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.01/documents.parquet')")
