@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from companion.llm import (
+    conversation_repair,
     decontaminate,
     language_id,
     licence_scan,
     mixing,
     nearest,
     pii,
+    pivot_search,
     secrets_scan,
     simhash,
     toxicity,
     url_filter,
+    whitening,
 )
 
 
@@ -70,11 +74,41 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage, by a checksum of conversation and turn.  A dropped row stays as
+    a mark (no copies) of its conversation."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                   F.coalesce(F.col("turn").cast("string"), space))
+    kind, text = F.crc32(key) % 20, F.coalesce("text", space)
+    dropped = kind == 0
+    return conversations.select(
+        "conv_id", F.when(~dropped, F.col("turn")).alias("turn"),
+        F.when(dropped, space).when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(dropped, space).when(kind == 1, "").when(kind == 2, F.regexp_replace(
+            text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(dropped, 0).when(kind == 3, 2).otherwise(1).alias("copies"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.summarize(conversation_repair.repair(rows, copies="copies"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_search.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii, op2_licence_scan, op3_nearest_neighbours, op4_secret_scan, op5_url_filter,
         op6_simhash_near_dedup, op7_decontamination, op8_language_id, op9_toxicity,
-        op10_source_mixing)
+        op10_source_mixing, op11_conversation_repair, op12_exact_top_k, op13_embedding_whitening)
 }
 
 # Draws are digests, so the whole mix can be repeated: sizes, water level by one running
@@ -168,8 +202,23 @@ LEFT JOIN found f ON f.r = d.r
 """
 
 
+# The k best of one row's products with all others, by a running rank per query.
+TOP_K_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(64 AS DOUBLE) * x) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ranked AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM rows q JOIN rows r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ranked)
+WHERE rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_licence_scan": licence_sql(),
     "op7_decontamination": DECONTAMINATION_SQL,
     "op10_source_mixing": MIXING_SQL,
+    "op12_exact_top_k": TOP_K_SQL,
 }
