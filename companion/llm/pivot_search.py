@@ -50,7 +50,7 @@ CELL_ROWS = 4096              # rows of a cell, as long as MAX_CELLS allows
 MAX_CELLS = 1024
 FIRST_ROWS = 2048             # candidates of a query before other cells are judged
 PIECE = 4096
-CHUNK = 64                    # candidates evaluated at first; doubled until the search stops
+CHUNK = 64                    # candidates evaluated at first, then 8 times as many each time
 MARGIN = 1e-9                 # of the squared distances, far above their rounding
 LONG = np.iinfo(np.int64)
 
@@ -159,52 +159,63 @@ def cells_column(vector: Column, far: Column, space: Space, summary: dict[str, n
     return of(vector, far)
 
 
-def exact_scores(rows: np.ndarray, query: np.ndarray, small: bool) -> np.ndarray:
-    """Inner products as longs; ``small``: doubles hold every sum exactly."""
-    if small:
+def exact_type(*matrices: np.ndarray) -> type:
+    """The smallest type that holds every sum of products of the rows exactly."""
+    most = matrices[0].shape[1] * float(np.prod([np.abs(x).max(initial=0.0) for x in matrices]))
+    return np.float32 if most < 2.0 ** 24 else np.float64 if most < 2.0 ** 53 else object
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as longs (of Python's whole numbers, at the limits of a long)."""
+    if rows.dtype != object:
         return (rows @ query).astype(np.int64)
-    whole = [int(x) for x in query]
-    return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole)), LONG.min), LONG.max)
+    return np.array([min(max(sum(a * b for a, b in zip(row, query)), LONG.min), LONG.max)
                      for row in rows], dtype=np.int64)
 
 
 def search_piece(k: int, space: Space):
-    """The ``k`` best rows of an index piece for every query of a query piece."""
+    """The ``k`` best rows of an index piece for every query of a query piece, none below the
+    score that the query has already found ``k`` times."""
     columns = {"query": "int64", "vec_id": "int64", "score": "int64", "evaluated": "int64"}
 
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()})
-        index, ids = np.stack(rows["vector"].to_numpy()), rows["vec_id"].to_numpy()
-        table = np.stack(rows["far"].to_numpy())
-        small = [float(np.abs(np.stack(x["vector"].to_numpy())).max(initial=0.0)) for x in (rows, queries)]
-        small = small[0] * small[1] * index.shape[1] < 2.0 ** 53
+        index, asked = (np.stack(x["vector"].to_numpy()) for x in (rows, queries))
+        ids, lifted = rows["vec_id"].to_numpy(), space.lifted(asked, False)
+        squares = (lifted * lifted).sum(axis=1)
+        exact = exact_type(index, asked)
+        if exact is object:
+            index, asked = (np.array([[int(v) for v in row] for row in x], dtype=object) for x in (index, asked))
+        index, asked = index.astype(exact), asked.astype(exact)
+        table = np.ascontiguousarray(np.stack(rows["far"].to_numpy()).T)        # a row per pivot
+        gap, apart = np.empty(len(ids)), np.empty(len(ids))
         found = []
-        for query, vector, far, least in zip(queries["query"], queries["vector"], queries["far"],
-                                             queries["least"]):
-            gap = np.abs(table[:, 0] - far[0])
-            for p in range(1, table.shape[1]):
-                np.maximum(gap, np.abs(table[:, p] - far[p]), out=gap)
-            lifted = space.lifted([vector], False)
-            bound = score_bound(space, float((lifted * lifted).sum()), gap)
+        for at, (far, least) in enumerate(zip(queries["far"], queries["least"])):
+            gap.fill(0.0)
+            for distance, own in zip(table, far):
+                np.subtract(distance, own, out=apart)
+                np.maximum(gap, np.abs(apart, out=apart), out=gap)
+            bound = score_bound(space, squares[at], gap)
             threshold = -np.inf if np.isnan(least) else least
-            order = np.argsort(-bound, kind="stable")
-            at, size, best_ids, best = 0, CHUNK, ids[:0], np.zeros(0, np.int64)
-            while at < len(order) and bound[order[at]] >= threshold:
-                some = order[at:at + size]
-                some = some[bound[some] >= threshold]
-                best = np.concatenate([best, exact_scores(index[some], vector, small)])
-                best_ids = np.concatenate([best_ids, ids[some]])
-                if len(best) > k:
-                    kept = np.lexsort((best_ids, ~best))[:k]        # ~ falls as the score rises, -2**63 too
+            order = np.flatnonzero(bound >= threshold)
+            order = order[np.argsort(-bound[order])]
+            # a query that knows a good score already evaluates more at a time
+            done, size, best_ids, best = 0, CHUNK if np.isnan(least) else 8 * CHUNK, ids[:0], np.zeros(0, np.int64)
+            while done < len(order) and bound[order[done]] >= threshold:
+                some = order[done:done + size]
+                score = exact_scores(index[some], asked[at])
+                good = np.flatnonzero(score >= threshold)
+                best, best_ids = np.append(best, score[good]), np.append(best_ids, ids[some[good]])
+                if len(best) >= k:
+                    kept = np.lexsort((best_ids, ~best))[:k]    # ~ falls as the score rises, -2**63 too
                     best, best_ids = best[kept], best_ids[kept]
-                if len(best) == k:
                     # a double below the score, so that ties stay in
-                    threshold = max(threshold, np.nextafter(float(best.min()), -np.inf))
-                at, size = at + size, size * 2
-            found.append(pd.DataFrame({"query": query, "vec_id": best_ids, "score": best,
-                                       "evaluated": min(at, len(order))}))
-        return pd.concat(found).astype(columns)
+                    threshold = max(threshold, np.nextafter(float(best[-1]), -np.inf))
+                done, size = done + len(some), size * 8
+            found.append((np.full(len(best), queries["query"].iat[at]), best_ids, best,
+                          np.full(len(best), done)))
+        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found))))).astype(columns)
 
     return search
 
