@@ -3,45 +3,62 @@
 The reference draws, for a user with ``t`` test rows, ``t`` distinct items
 of the companion pool that the user has neither trained on nor been tested
 on, by rejection sampling in a Python UDF (and never ends when the pool is
-exhausted).  Here:
+exhausted).  Here every user walks through the pool in an order of its own, a
+keyed permutation, and takes the first ``t`` items that it hasn't seen:
 
 1. the pool gets dense indexes ``0..P-1`` (item order, written once);
-2. every user makes ``2t + 8`` seeded draws ``md5(seed:user:k) mod P``;
-   draws are generated in chunks with a shuffle in between, so a user with
-   a third of all rows is spread over many tasks;
-3. seen items are removed by an anti join, each item keeps its first draw,
-   and the first ``t`` distinct items by draw number are taken;
-4. users left short of ``min(t, unseen pool)`` items make further rounds of
-   draws from the same sequence, about ``2 * rest * P / unseen`` of them, while
-   their unseen pool is more than ``ENUMERATE_RATIO`` times what they still
-   need; else the rest comes from an enumeration of the pool in seeded hash
-   order.
-
-Both are linear in the user's own rows.  Enumerated pool: ``P = seen + found +
-unseen <= seen + t + ENUMERATE_RATIO * t``.  Further draws: with ``unseen >
-ENUMERATE_RATIO * rest``, ``2 * rest * P / unseen <= 2 * rest + (seen + found) *
-2 / ENUMERATE_RATIO``, and at least half of the need is met in expectation, so
-the rounds are few.
-
-Every step is a join, aggregate or exact rank; no list is built per user.
+2. draw ``k`` of a user is the image of ``k`` under a Feistel network on pairs
+   ``(L, R)`` of ``a * b`` values, keyed by seed and user: rounds add a digest of
+   one half to the other (modulo ``a``, modulo ``b``), so draws never repeat;
+3. the sides ``a`` and ``b`` are chosen so that ``a * b`` exceeds ``P`` as little as
+   possible (``sides``); draws beyond the pool are skipped;
+4. a user who has seen ``s`` items of the pool makes ``t + s + (a * b - P)`` draws, or
+   all ``a * b``: at most ``s`` of them are seen and at most ``a * b - P`` lie beyond the
+   pool, so ``min(t, unseen pool)`` items are always among them.
+
+So there are no rejections, rounds or completions: one pass, linear in the user's own
+rows.  Draws are generated in chunks with a shuffle in between, so a user with a third of
+all rows is spread over many tasks; seen items leave by one anti join, and the first
+``t`` by draw number are an exact rank.  No list is built per user.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from companion.functions.hashing import draw_index, hex_prefix, seeded_digest
-from companion.operators.ranking import (DEFAULT_GROUP_ROWS, dense_index, hash_bucket,
-                                         key_rank)
+from companion.functions.hashing import draw_index, seeded_digest
+from companion.operators.ranking import DEFAULT_GROUP_ROWS, dense_index, key_rank
 from companion.session import materialize
 
-EXTRA_DRAWS = 8
-ENUMERATE_RATIO = 4           # unseen pool over need, up to which the pool is enumerated
+ROUNDS = 4
+SIDE_RANGE = 4                # sides are sought up to so many times the square root
 ROWS_PER_TASK = 1 << 20       # generated draws per task
 
 
-def _chunked_range(df: DataFrame, user: str, total: F.Column, name: str,
+def sides(n: int) -> tuple[int, int]:
+    """``(a, b)`` with ``a * b >= n``, as close as possible, and of these the least ``a``:
+    from the square root up to ``SIDE_RANGE`` times that, neither side 1 if ``n > 3``."""
+    least = max(1, math.ceil(math.sqrt(n)))
+    most = max(least, min(SIDE_RANGE * least, (n + 1) // 2))
+    _, a = min((a * -(-n // a), a) for a in range(least, most + 1))
+    return a, max(1, -(-n // a))
+
+
+def permuted(k: Column, key: Column | str, a: int, b: int, seed: int) -> Column:
+    """The image of ``k`` (0 to ``a * b - 1``) under the permutation of ``key``."""
+    left, right = F.floor(k / F.lit(b)).cast("long"), F.pmod(k, F.lit(b)).cast("long")
+    for number in range(ROUNDS):
+        if number % 2 == 0:
+            left = F.pmod(left + draw_index(seeded_digest(seed, key, F.lit(number), right), F.lit(a)), F.lit(a))
+        else:
+            right = F.pmod(right + draw_index(seeded_digest(seed, key, F.lit(number), left), F.lit(b)), F.lit(b))
+    return left * F.lit(b) + right
+
+
+def _chunked_range(df: DataFrame, user: str, total: Column, name: str,
                    chunk_rows: int, partitions: int) -> DataFrame:
     """Rows ``0..total-1`` per input row as column ``name``, generated in
     chunks of ``chunk_rows`` that are shuffled into ``partitions`` parts
@@ -55,7 +72,7 @@ def _chunked_range(df: DataFrame, user: str, total: F.Column, name: str,
     return chunks.withColumn(name, F.explode(F.sequence(lo, hi))).drop("_c", "_total")
 
 
-def _parts_for(df: DataFrame, rows: F.Column) -> int:
+def _parts_for(df: DataFrame, rows: Column) -> int:
     """Partitions for ``sum(rows)`` generated rows: one per core at least,
     and about ``ROWS_PER_TASK`` rows each (one aggregate, one number)."""
     total = df.select(F.sum(rows)).first()[0] or 0
@@ -68,85 +85,29 @@ def scoring_instances(test: DataFrame, train: DataFrame, pool_items: DataFrame,
                       item: str = "productID_int",
                       group_rows: int = DEFAULT_GROUP_ROWS) -> DataFrame:
     """``user, item, is_negative`` for users with test and train rows: all
-    test rows (repeats kept) and up to ``t`` sampled unseen pool items."""
+    test rows (repeats kept) and ``min(t, unseen pool)`` sampled unseen pool items."""
     pool = dense_index(pool_items.select(item), item, "_idx")
-    pool_size = pool.select(F.count(F.lit(1))).scalar()
+    n_pool = pool.count()
+    a, b = sides(n_pool)
 
-    # read by several branches: written once (a cached plan would keep its
-    # shuffle's full partition count; a written table is sized by AQE)
     # id tables are written before they are joined: both sides of the join are then plain
     # shuffles, and Spark can split a user with very many rows
     train_users = materialize(train.select(user).distinct(), "negatives-train-users")
     tests = materialize(test.join(train_users, user, "left_semi"), "negatives-tests")
-    wanted = materialize(tests.groupBy(user).agg(F.count(F.lit(1)).alias("_t")),
-                         "negatives-wanted")
-    seen = materialize(train.select(user, item).unionByName(tests.select(user, item))
-                       .distinct(), "negatives-seen")
-
-    # 1-3: seeded draws, seen items removed, first t distinct by draw number
-    def first_new(need: DataFrame, taken: DataFrame) -> DataFrame:
-        """The first ``_rest`` distinct items outside ``taken`` among the draws numbered
-        ``_from`` to ``_from + _n - 1`` of every user of ``need``."""
-        draws = _chunked_range(need, user, F.col("_n"), "_k", group_rows,
-                               _parts_for(need, F.col("_n")))
-        draws = draws.withColumn("_k", F.col("_k") + F.col("_from")).withColumn(
-            "_idx", draw_index(seeded_digest(seed, user, "_k"), pool_size))
-        hits = (draws.join(pool, "_idx").join(taken, [user, item], "left_anti")
-                .groupBy(user, item).agg(F.min("_k").alias("_k"), F.max("_rest").alias("_rest")))
-        hits = hits.withColumn("_b", F.floor(F.col("_k") / F.lit(group_rows)))
-        return (key_rank(hits, [user], "_b", [F.col("_k")], "_r")
-                .where(F.col("_r") < F.col("_rest")).select(user, item))
-
-    state = wanted.select(user, "_t", F.col("_t").alias("_rest"), F.lit(0).cast("long").alias("_from"),
-                          (F.lit(2) * F.col("_t") + EXTRA_DRAWS).alias("_n"))
-    found = materialize(first_new(state, seen), "negatives-found")
-    seen_in_pool = materialize(seen.join(pool, item, "left_semi").groupBy(user)
-                               .agg(F.count(F.lit(1)).alias("_s")), "negatives-seen-counts")
-
-    # 4: users short of min(t, unseen pool): further rounds, or the rest of the pool
-    n_pool = pool.count()
-    while True:
-        got = found.groupBy(user).agg(F.count(F.lit(1)).alias("_g"))
-        left = F.lit(n_pool) - F.coalesce("_s", F.lit(0)) - F.coalesce("_g", F.lit(0))
-        rest = F.least(F.col("_t") - F.coalesce("_g", F.lit(0)), left)
-        short = materialize(
-            state.drop("_rest").join(seen_in_pool, user, "left").join(got, user, "left")
-            .select(user, "_t", rest.alias("_rest"), left.alias("_left"),
-                    (F.col("_from") + F.col("_n")).alias("_from")).where(F.col("_rest") > 0),
-            "negatives-short")
-        few = short.where(F.col("_left") <= ENUMERATE_RATIO * F.col("_rest"))
-        more = short.where(F.col("_left") > ENUMERATE_RATIO * F.col("_rest"))
-        parts = [found]
-        if not few.isEmpty():
-            parts.append(_complete(few.select(user, "_rest"), pool, pool_size, seen, found, seed,
-                                   user, item, group_rows))
-        again = not more.isEmpty()
-        if again:
-            state = more.withColumn("_n", F.ceil(
-                F.lit(2.0 * n_pool) * F.col("_rest") / F.col("_left")).cast("long") + EXTRA_DRAWS)
-            parts.append(first_new(state, seen.unionByName(found)))
-        if len(parts) > 1:
-            negatives = parts[0]
-            for part in parts[1:]:
-                negatives = negatives.unionByName(part)
-            found = materialize(negatives, "negatives-found")
-        if not again:
-            break
+    seen = materialize(train.select(user, item).unionByName(tests.select(user, item)).distinct()
+                       .join(pool, item).select(user, "_idx"), "negatives-seen")
+    counts = (tests.select(user, F.lit(1).alias("_t"), F.lit(0).alias("_s"))
+              .unionByName(seen.select(user, F.lit(0).alias("_t"), F.lit(1).alias("_s")))
+              .groupBy(user).agg(F.sum("_t").alias("_t"), F.sum("_s").alias("_s"))
+              .where(F.col("_t") > 0))
+    draws_needed = F.least(F.lit(a * b), F.col("_t") + F.col("_s") + F.lit(a * b - n_pool))
+    need = materialize(counts.select(user, "_t", draws_needed.alias("_n")), "negatives-need")
+
+    draws = _chunked_range(need, user, F.col("_n"), "_k", group_rows, _parts_for(need, F.col("_n")))
+    draws = draws.select(user, "_t", "_k", permuted(F.col("_k"), user, a, b, seed).alias("_idx"))
+    fresh = draws.where(F.col("_idx") < n_pool).join(seen, [user, "_idx"], "left_anti").withColumn(
+        "_b", F.floor(F.col("_k") / F.lit(group_rows)))
+    chosen = key_rank(fresh, [user], "_b", [F.col("_k")], "_r").where(F.col("_r") < F.col("_t"))
+    negatives = chosen.select(user, "_idx").join(pool, "_idx").select(user, item)
     return (tests.select(user, item, F.lit(False).alias("is_negative"))
-            .unionByName(found.withColumn("is_negative", F.lit(True))))
-
-
-def _complete(short: DataFrame, pool: DataFrame, pool_size, seen: DataFrame,
-              firsts: DataFrame, seed: int, user: str, item: str,
-              group_rows: int) -> DataFrame:
-    """The remaining ``_rest`` unseen items of each short user, taken from
-    the whole pool in seeded hash order."""
-    spread = _chunked_range(short, user, pool_size, "_idx", group_rows,
-                            _parts_for(short.select(pool_size.alias("_p")), F.col("_p")))
-    rest = (spread.join(pool, "_idx").join(seen, [user, item], "left_anti")
-            .join(firsts, [user, item], "left_anti")
-            .withColumn("_h", seeded_digest(seed, user, item)))
-    total = short.count() * pool.count()
-    rest = rest.withColumn("_b", hash_bucket(hex_prefix(F.col("_h")), total, group_rows))
-    return (key_rank(rest, [user], "_b", [F.col("_h"), F.col(item)], "_r")
-            .where(F.col("_r") < F.col("_rest")).select(user, item))
+            .unionByName(negatives.withColumn("is_negative", F.lit(True))))

@@ -7,6 +7,7 @@ Stages (each a lazy DataFrame unless noted):
 ``instances``  test items plus sampled unseen items per user
 ``targets``    positives (rating >= user mean - 2) and negatives
 ``fit``        ALS model (runs the training jobs), top-K recommendations
+``factors``    the model as written relations of user and item factors
 ``evaluate``   per-user metrics and the one-row summary
 
 Stage methods are idempotent: a stage already run is not run again.
@@ -141,6 +142,13 @@ class ALSRun:
                                                    "als-recommendations"))
         return self
 
+    def factors(self) -> "ALSRun":
+        if "user_factors" in self.out:
+            return self
+        self.fit()
+        self.out["user_factors"], self.out["item_factors"] = A.factor_tables(self.out["model"])
+        return self
+
     def evaluate(self) -> "ALSRun":
         if "summary" in self.out:
             return self

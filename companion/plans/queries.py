@@ -490,6 +490,36 @@ def als_list_sizes(spark, sf_dir):
     return _long_ids(sizes.withColumn("n_items", F.col("n_items").cast("long")))
 
 
+@query
+def als_normal_equations(spark, sf_dir):
+    """Every trained user, and whether its factors solve the least squares problem that ALS
+    solves last (R5)."""
+    run = _als(spark, sf_dir).factors()
+    out = run.out
+    found = A.normal_equations(out["user_factors"], out["item_factors"], out["train"],
+                               run.cfg.rank, run.cfg.reg_param)
+    return _long_ids(found.select("reviewerID_int", "n_ratings", "solved"))
+
+
+@query
+def als_factor_scores(spark, sf_dir):
+    """Instances scored from the factor relations, and whether each score is the model's
+    (R6).  Asked besides: for every user an item, and for every item a user, that the model
+    doesn't know; they have no factors and drop out."""
+    out = _als(spark, sf_dir).factors().out
+    keys = ["reviewerID_int", "productID_int"]
+    asked = out["instances"].select(*keys, "is_negative")
+    unknown = out["user_factors"].agg(F.max("id")).scalar() + 1
+    strange = out["item_factors"].agg(F.max("id")).scalar() + 1
+    asked = (asked.unionByName(asked.select(keys[0], strange.alias(keys[1]), "is_negative").distinct())
+             .unionByName(asked.select(unknown.alias(keys[0]), keys[1], "is_negative").distinct()))
+    scored = A.score_factors(out["user_factors"], out["item_factors"], asked)
+    model = out["predictions"].select(*keys, F.col("prediction").alias("_model")).distinct()
+    same = F.abs(F.col("prediction") - F.col("_model")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("_model"))
+    return _long_ids(scored.join(model, keys, "left").select(
+        *keys, "is_negative", F.coalesce(same, F.lit(False)).alias("equals_model")))
+
+
 @query
 def als_training_fit(spark, sf_dir):
     """Whether the model's squared training error is below that of the mean rating."""

@@ -1,7 +1,10 @@
 """Rows-only ALS outputs checked by invariants on the smallest fixture."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from companion.operators import als as A
 from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.queries import inputs
 from conftest import SF_TINY
@@ -49,3 +52,51 @@ def test_summary_ranges(run):
     assert s.recall >= 0.0
     m = run["user_metrics"]
     assert m.where("ndcg < 0 or ndcg > 1.000001 or precision > 1").count() == 0
+
+
+@pytest.fixture(scope="module")
+def factors(spark, run):
+    return A.factor_tables(run["model"])
+
+
+def test_user_factors_solve_their_normal_equations(run, factors):
+    users, items = factors
+    rows = A.normal_equations(users, items, run["train"]).collect()
+    assert len(rows) == run["train"].select("reviewerID_int").distinct().count()
+    assert all(r.solved for r in rows) and max(r.residual for r in rows) < 1e-5
+    # the same by numpy, for every user
+    u = {r.id: np.array(r.factors, dtype=float) for r in users.collect()}
+    v = {r.id: np.array(r.factors, dtype=float) for r in items.collect()}
+    rated = {}
+    for r in run["train"].collect():
+        rated.setdefault(r.reviewerID_int, []).append((v[r.productID_int], r.prodRating))
+    for user, pairs in rated.items():
+        x, y = np.array([p for p, _ in pairs]), np.array([q for _, q in pairs], dtype=float)
+        gram = x.T @ x + A.REG_PARAM * len(y) * np.eye(A.RANK)
+        assert np.allclose(u[user], np.linalg.solve(gram, x.T @ y), atol=1e-4)
+
+
+def test_changed_models_do_not_solve_them(run, factors):
+    users, items = factors
+    bent = users.withColumn("factors", F.transform("factors", lambda x, i: F.when(
+        (i == 0) & (F.col("id") % 2 == 0), x + 0.01).otherwise(x).cast("float")))
+    by_user = {r.reviewerID_int: r.solved for r in A.normal_equations(bent, items, run["train"]).collect()}
+    assert all(solved == (user % 2 == 1) for user, solved in by_user.items())
+    other = A.normal_equations(users, items, run["train"], reg_param=0.06).collect()
+    assert not any(r.solved for r in other if r.residual > 0)
+    missing = run["train"].where("productID_int % 5 <> 0")
+    assert A.normal_equations(users, items, missing).where("not solved").count() > 0
+
+
+def test_scores_from_factor_tables_are_the_models(run, factors):
+    users, items = factors
+    keys = ["reviewerID_int", "productID_int"]
+    asked = run["instances"].select(*keys)
+    extra = asked.limit(1).select(F.lit(10 ** 6).alias(keys[0]), keys[1]).union(
+        asked.limit(1).select(keys[0], F.lit(10 ** 6).alias(keys[1])))
+    got = {(r[0], r[1]): r.prediction for r in A.score_factors(users, items, asked.union(extra)).collect()}
+    want = {(r[0], r[1]): r.prediction for r in run["predictions"].collect()}
+    assert set(got) == set(want) and len(want) > 100
+    assert all(abs(got[k] - want[k]) <= 1e-6 * max(1.0, abs(want[k])) for k in want)
+    repeated = A.score_factors(users, items, asked.union(asked))
+    assert repeated.count() == 2 * A.score_factors(users, items, asked).count()

@@ -1,5 +1,9 @@
+import pytest
+from pyspark.sql import functions as F
+
 from companion.operators import negatives
 from companion.operators.negatives import scoring_instances
+from companion.session import watched_plans
 
 SCHEMA = "reviewerID_int int, productID_int int, prodRating int"
 
@@ -62,17 +66,8 @@ def test_same_seed_same_draws_independent_of_group_size(spark):
     assert a != c
 
 
-def test_further_rounds_before_the_pool_is_enumerated(spark, monkeypatch):
-    """Users who have seen two thirds or more of a large pool: exact counts, and the pool is
-    enumerated only for users whose own rows are of its size."""
-    enumerated = []
-    plain = negatives._complete
-
-    def watched(short, pool, *rest):
-        enumerated.extend((r[0], pool.count()) for r in short.collect())
-        return plain(short, pool, *rest)
-
-    monkeypatch.setattr(negatives, "_complete", watched)
+def test_pools_of_any_exhaustion_in_one_pass(spark):
+    """Users who have seen nothing to everything of a large pool: exact counts."""
     pool = list(range(3000))
     n_seen = {1: 2000, 2: 2900, 3: 2990, 4: 2999, 5: 3000, 6: 10}
     train = [(u, i, 3) for u, n in n_seen.items() for i in range(n)]
@@ -81,8 +76,47 @@ def test_further_rounds_before_the_pool_is_enumerated(spark, monkeypatch):
     assert rows == run(spark, test, train, pool, group_rows=64)
     for u, n in n_seen.items():
         negs = [i for uu, i, neg in rows if uu == u and neg]
-        assert len(negs) == len(set(negs)) == min(40, 3000 - n)
+        assert len(negs) == len(set(negs)) == min(40, 3000 - max(n, 40))
         assert all(n <= i < 3000 for i in negs)
-    assert enumerated
-    for u, size in enumerated:
-        assert size <= n_seen[u] + (1 + negatives.ENUMERATE_RATIO) * 40
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 12, 13, 97, 100, 1009, 4096])
+def test_draws_are_a_permutation_of_the_pool(spark, n):
+    a, b = negatives.sides(n)
+    rows = spark.range(a * b).crossJoin(spark.range(3).withColumnRenamed("id", "u")).select(
+        "u", "id", negatives.permuted(F.col("id"), "u", a, b, 7).alias("image")).collect()
+    for u in range(3):
+        images = [r.image for r in sorted(rows, key=lambda r: r.id) if r.u == u]
+        assert sorted(images) == list(range(a * b)) and sum(i < n for i in images) == n
+        if n >= 97:                                       # no order of its own, and keyed
+            assert images != sorted(images)
+            assert images != [r.image for r in sorted(rows, key=lambda r: r.id) if r.u == (u + 1) % 3]
+
+
+def test_sides_waste_little():
+    waste = []
+    for n in [*range(1, 3000), 10 ** 6 + 3, 999_983, 10 ** 8 + 7, 2 ** 31 - 1]:
+        a, b = negatives.sides(n)
+        assert a * b >= n > a * (b - 1) and (n <= 3 or min(a, b) > 1)
+        waste.append(a * b - n)
+    assert max(waste) <= 8 and sum(waste) / len(waste) < 2
+
+
+def test_draws_are_spread_over_the_pool(spark):
+    """First draws of many users hit every item about equally often."""
+    a, b = negatives.sides(60)
+    counts = spark.range(6000).select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), F.col("id").alias(
+        "u")).select(negatives.permuted(F.col("k"), "u", a, b, 42).alias("i")).groupBy("i").count().collect()
+    assert len(counts) == a * b
+    assert all(220 <= r["count"] <= 380 for r in counts)    # 300 on average
+
+
+def test_no_loop_and_few_exchanges(spark):
+    """Rows go through one exchange per join: stage plans hold no repeated rounds."""
+    with watched_plans() as stages:
+        test = spark.createDataFrame([(1, 1, 3), (2, 2, 3)], SCHEMA)
+        out = scoring_instances(test, test, test.select("productID_int"))
+    names = [name for name, _ in stages]
+    assert sorted(names) == sorted(["dense-ids-productID_int", "negatives-train-users", "negatives-tests",
+                                    "negatives-seen", "negatives-need"])
+    assert out.count() == 4
