@@ -12,13 +12,18 @@ Four kinds of evidence about a page's language are added as log odds:
   smoothed towards that of all pages.
 
 The tables of the last three are grouped aggregations of the text's posteriors
-over all pages, so a declaration counts for what it has proved to be worth.
+over all pages, so a declaration counts for what it has proved to be worth.  A page's own
+posterior is taken out of every count before the count speaks about that page, so no text
+is heard twice.
 
 Scale: the page texts are read once and leave a narrow table of log likelihoods;
 every aggregation is partial on the map side (a host with a third of all pages
-sends one row per task) and host priors are written before they are joined
-back, so Spark can split a hot host.  The trigram model holds ``BUCKETS`` numbers
-per language; languages are at most ``LANGUAGES``, the most frequent ones.
+sends one row per task) and the counts are written before they are joined
+back, so Spark can split a hot host.  All labelled languages take part.  The trigram model
+holds ``BUCKETS`` numbers per language; beyond ``MODEL_CELLS`` numbers in all (256 languages)
+the trigrams share fewer buckets, so its size is bounded.  Markup is removed by one
+scan that never looks at a byte more than a fixed number of times, however a page leaves
+its comments, scripts and tags open.
 
 Defined cases: a null or empty page has no text evidence and is judged by the
 rest; a null url has the empty host and suffix; no or an unknown declaration is a
@@ -44,51 +49,87 @@ from companion.session import materialize
 
 TRAINING_ROWS = 3000          # documents per language, expected
 BUCKETS = 1 << 16
-LANGUAGES = 64
+MODEL_CELLS = 1 << 24
 EFFECTIVE_TRIGRAMS = 40
 HOST_STRENGTH = 5.0           # pages that a domain's prior is worth to a host
 DOMAIN_STRENGTH = 20.0
 EVIDENCE_SMOOTHING = 2.0
 
-HIDDEN = re.compile(rb"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->")
-TAG = re.compile(rb"(?s)<[^>]*>")
+OPENING = re.compile(rb"(?i)<(?:!--|(script|style|head)\b)")
+CLOSING = {name: re.compile(rb"(?i)</" + name + rb"\s*+>") for name in (b"script", b"style", b"head")}
+CLOSING[b""] = re.compile(b"-->")
+TAG = re.compile(rb"<[^>]*+>")
+ZEROS = re.compile(rb"&#0++(?=[0-9])")
+TOO_LARGE = re.compile(rb"&#[0-9]{8,}+;?")            # no code point, and too long for int()
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def visible(html: bytes) -> bytes:
-    """The text of a page without markup, scripts and comments."""
-    text = TAG.sub(b" ", HIDDEN.sub(b" ", html))
-    return unescape(text.decode("utf-8", "replace")).encode() if b"&" in text else text
+def without_hidden(html: bytes) -> bytes:
+    """Closed comments, scripts, styles and heads become a blank.  The next closing tag of each
+    kind is looked up once and kept until the scan has passed it."""
+    out, at, look = [], 0, 0
+    closing: dict[bytes, tuple[int, int]] = {}
+    while found := OPENING.search(html, look):
+        kind, inside = (found.group(1) or b"").lower(), found.end()
+        if closing.get(kind, (-1, 0))[0] < inside:
+            end = CLOSING[kind].search(html, inside)
+            closing[kind] = end.span() if end else (len(html), 0)
+        start, end = closing[kind]
+        if start == len(html):                         # left open: an ordinary tag
+            look = inside
+            continue
+        out += [html[at:found.start()], b" "]
+        at = look = end
+    return b"".join(out) + html[at:]
 
 
-def trigrams(text: bytes) -> np.ndarray:
-    """Buckets of the byte trigrams of folded words."""
+def visible(html: bytes) -> bytes:
+    """The text of a page without markup, scripts and comments, in time linear in its length."""
+    text = without_hidden(html)
+    last = text.rfind(b">") + 1                        # behind it no tag can end
+    text = TAG.sub(b" ", text[:last]) + text[last:]
+    if b"&" not in text:
+        return text
+    text = TOO_LARGE.sub("\ufffd".encode(), ZEROS.sub(b"&#", text))
+    return unescape(text.decode("utf-8", "replace")).encode("utf-8", "replace")
+
+
+def trigrams(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
+    """Buckets (a power of two) of the byte trigrams of folded words."""
     folded = b" " + b" ".join(text.translate(FOLD).split()) + b" "
     b = np.frombuffer(folded, dtype=np.uint8).astype(np.uint32)
     if len(b) < 5:
         return np.zeros(0, dtype=np.int64)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    return ((code * np.uint32(2654435761)) >> np.uint32(33 - buckets.bit_length())).astype(np.int64)
+
+
+def bucket_number(languages: int) -> int:
+    """Buckets per language: ``BUCKETS``, halved until the model has ``MODEL_CELLS`` at most."""
+    buckets = BUCKETS
+    while buckets > 2 and buckets * languages > MODEL_CELLS:
+        buckets //= 2
+    return buckets
 
 
 def train(docs: DataFrame, rows_per_language: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log P(trigram | language), (languages, buckets)."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = materialize(known.groupBy("lang").count(), "language-counts")
+    languages = counts.count()
+    if not languages:
         return [], np.zeros((0, BUCKETS))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(1.0, rows_per_language / r["count"])).otherwise(share)
-    sample = known.filter(hash_fraction(F.col("text")) < share)
+    buckets = bucket_number(languages)
+    share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("count"))
+    sample = known.join(counts, "lang").filter(hash_fraction(F.col("text")) < share)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                table = held.setdefault(lang, np.zeros(BUCKETS))
-                table += np.bincount(trigrams(text.encode()), minlength=BUCKETS)
+                table = held.setdefault(lang, np.zeros(buckets))
+                table += np.bincount(trigrams(text.encode(), buckets), minlength=buckets)
         for lang, table in held.items():
             at = np.flatnonzero(table)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": table[at]})
@@ -97,8 +138,8 @@ def train(docs: DataFrame, rows_per_language: int = TRAINING_ROWS) -> tuple[list
         "lang", "bucket").agg(F.sum("n").alias("n"))
     packed = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).collect()
     langs = sorted(r.lang for r in packed)
-    table = np.full((len(langs), BUCKETS), 0.1)
-    for r in packed:                                   # at most LANGUAGES * BUCKETS cells
+    table = np.full((len(langs), buckets), 0.1)
+    for r in packed:                                   # at most MODEL_CELLS cells
         cells = np.array([(c.bucket, c.n) for c in r.cells])
         table[langs.index(r.lang), cells[:, 0].astype(np.int64)] += cells[:, 1]
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
@@ -114,7 +155,7 @@ def text_column(spark, content: Column, weights: np.ndarray, html: bool = True)
         for contents in batches:
             out = np.zeros((len(contents), len(table)))
             for at, row in enumerate(byte_rows(contents)):
-                found = trigrams((visible(row) if html else row) if row else b"")
+                found = trigrams((visible(row) if html else row) if row else b"", table.shape[1])
                 if len(found):
                     seen, n = np.unique(found, return_counts=True)
                     sums = table[:, seen].astype(np.float64) @ n
@@ -146,18 +187,32 @@ def soft_counts(pages: DataFrame, *keys: str, n: int) -> DataFrame:
     return pages.groupBy(*keys).agg(*[F.sum(F.col("text_p")[i]).alias(f"c{i}") for i in range(n)])
 
 
-def counts_array(n: int) -> Column:
-    return F.array(*[F.col(f"c{i}") for i in range(n)])
+def counts_of(pages: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """A written table of ``key`` and ``name``, the array of its soft counts."""
+    counts = F.array(*[F.col(f"c{i}") for i in range(n)])
+    return materialize(soft_counts(pages, key, n=n).select(key, counts.alias(name)), f"language-{key}")
+
+
+def others(counts: Column, own: Column) -> Column:
+    """``counts`` without the page's own posterior (rounding must not leave a negative)."""
+    return F.zip_with(counts, own, lambda c, p: F.greatest(c - p, F.lit(0.0)))
+
+
+def sum_of(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def smooth(counts: Column, prior: Column, strength: float) -> Column:
+    """Probabilities of ``counts`` with ``strength`` counts added by ``prior``."""
+    size = F.array(sum_of(counts) + strength)          # computed once, outside the loop
+    return F.flatten(F.transform(size, lambda s: F.zip_with(
+        counts, prior, lambda c, p: (c + strength * p) / s)))
 
 
-def likelihood(pages: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """log P(value | language) for every value of ``key``, smoothed."""
-    table = materialize(soft_counts(pages, key, n=n), f"language-{key}")
-    total = table.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)], F.count("*").alias("v")).first()
-    size = EVIDENCE_SMOOTHING * max(1, total.v)
-    logs = F.array(*[F.log((F.col(f"c{i}") + EVIDENCE_SMOOTHING) / F.lit(float((total[i] or 0) + size)))
-                     for i in range(n)])
-    return materialize(table.select(key, logs.alias(name)), f"language-{key}")
+def evidence(counts: Column, total: Column, values: int) -> Column:
+    """log P(value | language), smoothed, from the value's counts and those of all values."""
+    size = EVIDENCE_SMOOTHING * max(1, values)
+    return F.zip_with(counts, total, lambda c, t: F.log((c + EVIDENCE_SMOOTHING) / (t + size)))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,12 +222,13 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.regexp_replace(ascii_lower(F.regexp_extract(url, r"://([^/?#:]*)", 1)), r"^www\.", "")
     html = F.col("html").cast("string")
-    declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    opened = F.regexp_extract(html, r"(?is)<html\b([^>]*+)", 1)
+    declared = F.lower(F.regexp_extract(opened, r"(?is)\blang\s*+=\s*+[\"']?([A-Za-z]++)", 1))
     rows = pages.select(
         "page_id", host.alias("host"), F.coalesce(declared, F.lit("")).alias("declared"),
         html.alias("html"))
-    rows = rows.withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1)).withColumn(
-        "domain", F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1))
+    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn(
+        "domain", F.substring_index("host", ".", -2))
     n = len(langs)
     if not n:
         none = F.lit(None)
@@ -183,29 +239,22 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
                        text_column(spark, F.col("html"), weights).alias("text_log"))
     read = materialize(read.withColumn("text_p", posterior(F.col("text_log"))), "language-pages")
 
-    by_host = materialize(soft_counts(read, "domain", "host", n=n), "language-hosts")
-    by_domain = by_host.groupBy("domain").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(n)])
-    total = by_domain.agg(*[F.sum(f"c{i}") for i in range(n)]).first()
-    everything = max(sum(x or 0.0 for x in total), 1e-9)
-    world = [((x or 0.0) + 1.0) / (everything + n) for x in total]
-
-    def sum_of(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-    def smooth(counts: Column, prior: Column, strength: float) -> Column:
-        return F.zip_with(counts, prior, lambda c, p: (c + strength * p) / (sum_of(counts) + strength))
-
-    prior_world = F.array(*[F.lit(float(w)) for w in world])
-    domains = materialize(by_domain.select("domain", smooth(
-        counts_array(n), prior_world, DOMAIN_STRENGTH).alias("domain_p")), "language-domains")
-    hosts = materialize(by_host.join(domains, "domain").select("host", F.transform(smooth(
-        counts_array(n), F.col("domain_p"), HOST_STRENGTH), lambda p: F.log(p)).alias("host_log")),
-        "language-priors")
-    said = likelihood(read, "declared", n, "declared_log")
-    ending = likelihood(read, "suffix", n, "suffix_log")
-    fused = read.join(hosts, "host").join(said, "declared").join(ending, "suffix")
+    keys = ("host", "domain", "declared", "suffix")
+    fused = read
+    for key in keys:
+        fused = fused.join(counts_of(read, key, n, f"{key}_n"), key)
+    own, total = F.col("text_p"), read.agg(*[F.sum(F.col("text_p")[i]) for i in range(n)]).first()
+    world = others(F.array(*[F.lit(float(x or 0.0)) for x in total]), own)
+    values = {key: read.select(key).distinct().count() for key in ("declared", "suffix")}
+    uniform = F.array(*[F.lit(1.0 / n)] * n)
+    # innermost first: all pages, the domain's, the host's; each without the page itself
+    fused = fused.withColumn("_world", world).withColumn(
+        "_prior", smooth(F.col("_world"), uniform, float(n))).withColumn(
+        "_prior", smooth(others(F.col("domain_n"), own), F.col("_prior"), DOMAIN_STRENGTH)).withColumn(
+        "_prior", smooth(others(F.col("host_n"), own), F.col("_prior"), HOST_STRENGTH))
+    logs = add(F.col("text_log"), F.transform("_prior", lambda p: F.log(p)), *[
+        evidence(others(F.col(f"{key}_n"), own), F.col("_world"), values[key]) for key in values])
     names = F.array(*[F.lit(x) for x in langs])
-    logs = add(F.col("text_log"), F.col("host_log"), F.col("declared_log"), F.col("suffix_log"))
     fused = fused.withColumn("p", posterior(logs))
     best = F.array_position("p", F.array_max("p")).cast("int")
     return fused.select(

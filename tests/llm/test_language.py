@@ -1,6 +1,12 @@
 """Language identification: held-out accuracy and edge cases."""
 
+import html
+import math
+import re
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from companion.llm import language_id as lid
@@ -52,3 +58,97 @@ def test_edge_cases(spark, documents, small):
 def test_visible_text():
     assert lid.visible(b"<html><head><title>t</title></head><style>a{}</style>A &amp; <b>B</b><!-- c --></html>"
                        ).split() == [b"A", b"&", b"B"]
+
+
+HIDDEN = re.compile(rb"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->")
+
+
+def plain_visible(page):
+    """The same by backtracking patterns, quadratic on markup that is left open."""
+    text = re.sub(rb"(?s)<[^>]*>", b" ", HIDDEN.sub(b" ", page))
+    return html.unescape(text.decode("utf-8", "replace")).encode("utf-8", "replace")
+
+
+def test_visible_text_equals_plain_patterns(small):
+    rng = np.random.default_rng(1)
+    parts = [b"<!--", b"-->", b"<script>", b"</script >", b"<style", b"</STYLE>", b"<head>", b"</head>", b"<", b">",
+             b" a ", b"&amp;", b"&#65;", b"<header>", b"</", b"--", b"<SCRIPT x>", "é".encode()]
+    pages = [r.html.encode() for r in small("pages").filter("html IS NOT NULL").collect()]
+    pages += [b"".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 30))) for _ in range(4000)]
+    for page in pages:
+        assert lid.visible(page) == plain_visible(page), page[:200]
+
+
+@pytest.mark.parametrize("part", [b"<!--", b"<script>", b"<", b"<style", b"&#", b"<head><!--", b"&#9", b"&", b"<html lang ",
+                                  b"</script", b"--", b"<script></script"])
+def test_a_megabyte_of_open_markup(part):
+    start = time.perf_counter()
+    lid.visible(part * (1_000_000 // len(part)))
+    lid.visible(part + b"9" * 1_000_000)
+    assert time.perf_counter() - start < 2
+
+
+def test_open_markup_in_spark(spark, small):
+    rows = [(i, "http://" + "a" * 300_000 + ".b/x", x * (300_000 // len(x)), "q", "h", 0.0) for i, x in enumerate(
+        ("<!--", "<html ", "<html lang  ", "<", "<script>", "&#1"))]
+    start = time.perf_counter()
+    assert lid.identify(spark.createDataFrame(rows, PAGES), small("documents")).count() == len(rows)
+    assert time.perf_counter() - start < 90
+
+
+def test_fused_posteriors_by_hand(small):
+    pages, docs = small("pages"), small("documents")
+    langs, weights = lid.train(docs)
+    weights = weights.astype(np.float32).astype(float)
+    rows, facts = pages.collect(), []
+    for r in rows:
+        text = plain_visible((r.html or "").encode())
+        words = b" " + b" ".join(text.translate(lid.FOLD).split()) + b" "
+        grams = [(words[i] << 16 | words[i + 1] << 8 | words[i + 2]) * 2654435761 % 2 ** 32 >> 16
+                 for i in range(len(words) - 2)] if len(words) >= 5 else []
+        log = sum((weights[:, g] for g in grams), np.zeros(len(langs)))
+        log = log / len(grams) * min(len(grams), lid.EFFECTIVE_TRIGRAMS) if grams else log
+        p = np.exp(log - log.max())
+        found = re.search(r"://([^/?#:]*)", r.url or "")
+        host = re.sub(r"^www\.", "", found.group(1).lower() if found else "")
+        tag = re.search(r"(?is)<html\b([^>]*)", r.html or "")
+        said = re.search(r"(?is)\blang\s*=\s*[\"']?([A-Za-z]+)", tag.group(1)) if tag else None
+        facts.append((log, p / p.sum(), {"host": host, "domain": ".".join(host.split(".")[-2:]),
+                      "suffix": host.split(".")[-1], "declared": said.group(1).lower() if said else ""}))
+    n = len(langs)
+    counts, total = {}, sum(p for _, p, _ in facts)
+    for _, p, keys in facts:
+        for item in keys.items():
+            counts[item] = counts.get(item, 0) + p
+    n_values = {k: sum(1 for key, _ in counts if key == k) for k in ("declared", "suffix")}
+    want = {}
+    for r, (log, p, keys) in zip(rows, facts):
+        left = {k: np.maximum(counts[k, v] - p, 0) for k, v in keys.items()}
+        world = np.maximum(total - p, 0)
+        prior = (world + 1) / (world.sum() + n)
+        for key, strength in (("domain", lid.DOMAIN_STRENGTH), ("host", lid.HOST_STRENGTH)):
+            prior = (left[key] + strength * prior) / (left[key].sum() + strength)
+        fused = log + np.log(prior)
+        for key in ("declared", "suffix"):
+            fused = fused + np.log((left[key] + 2) / (world + 2 * n_values[key]))
+        q = np.exp(fused - fused.max())
+        want[r.page_id] = (langs[int(q.argmax())], float(q.max() / q.sum()))
+    got = lid.identify(pages, docs).collect()
+    assert len(got) == len(rows) == len(want)
+    for r in got:
+        assert r.lang == want[r.page_id][0] and math.isclose(r.probability, want[r.page_id][1], rel_tol=1e-6)
+
+
+def test_many_languages_all_take_part(spark):
+    rng = np.random.default_rng(7)
+    words = {f"l{i:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)]
+             for i in range(70)}
+    docs = [(n, " ".join(rng.choice(w, 40)), lang, "s", 1) for lang, w in words.items() for n in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    langs, table = lid.train(df)
+    assert langs == sorted(words) and table.shape == (70, lid.BUCKETS)
+    pages = spark.createDataFrame([(i, None, "<p>" + " ".join(rng.choice(w, 40)) + "</p>", "", "", 0.0)
+                                   for i, w in enumerate(words.values())], PAGES)
+    got = {r.page_id: r.lang for r in lid.identify(pages, df).collect()}
+    assert sum(got[i] == lang for i, lang in enumerate(words)) >= 67
+    assert lid.bucket_number(256) == lid.BUCKETS and lid.bucket_number(1000) * 1000 <= lid.MODEL_CELLS
