@@ -1,5 +1,7 @@
 """Nearest neighbours against brute force."""
 
+import contextlib
+
 import numpy as np
 
 from companion.llm import nearest
@@ -79,11 +81,10 @@ def test_recall_with_long_and_spread_norms(spark):
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     one_long = np.ones(8000)
     one_long[77] = 100.0
-    for norms, options in ((one_long, {}), (rng.lognormal(size=8000), {}),
-                           (rng.uniform(0.7, 1.4, size=8000), {"small_band": 0})):
+    for norms in (one_long, rng.lognormal(size=8000), rng.uniform(0.7, 1.4, size=8000)):
         rows = list(enumerate((unit * norms[:, None]).tolist()))
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-        got = found(nearest.nearest(df, df.filter("vec_id % 40 = 0"), **options))
+        got = found(nearest.nearest(df, df.filter("vec_id % 40 = 0")))
         want = brute(rows, rows[::40], 20)
         assert set(got) == set(want) and recall(got, want) >= 0.9
 
@@ -106,6 +107,79 @@ def test_every_query_finds_what_there_is(spark):
     assert [v for _, v, _ in got[9000]] == brute(rows, asked, 20)[9000]
 
 
+def probing_share(spark, n, seed):
+    """(recall, share of the rows that a query meets) on ``n`` random unit vectors."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    asked = df.filter(f"vec_id % {n // 100} = 0")
+    with watched_tables() as written:
+        got = found(nearest.nearest(df, asked))
+    order = np.argsort(-(x[::n // 100] @ x.T), axis=1)[:, 1:21]
+    want = {int(q): [int(v) for v in o] for q, o in zip(range(0, n, n // 100), order)}
+    key = ["length", "band", "table", "bucket"]
+    met = written["nearest-probes"].join(written["nearest-index"], key).select("query", "vec_id").distinct().count()
+    return recall(got, want), met / (len(want) * n)
+
+
+@contextlib.contextmanager
+def watched_tables():
+    """The first stage table of each name that ``nearest`` writes."""
+    written, plain = {}, nearest.materialize
+
+    def watched(df, name):
+        out = plain(df, name)
+        written.setdefault(name, out)
+        return out
+
+    nearest.materialize = watched
+    try:
+        yield written
+    finally:
+        nearest.materialize = plain
+
+
+def test_share_of_rows_falls_as_the_table_grows(spark):
+    few, many = probing_share(spark, 2500, 1), probing_share(spark, 40_000, 2)
+    print(f"recall and share: {few} of 2,500 rows, {many} of 40,000 rows")
+    assert min(few[0], many[0]) >= 0.9
+    assert many[1] < 0.9 * few[1]
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=8) * s).tolist()) for i, s in enumerate([1e200] * 6 + [1.0] * 30 + [1e-200] * 6
+                                                                       + [1e307] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest.nearest(df, df, k=45))
+    x = np.array([v for _, v in rows])
+    with np.errstate(over="ignore"):
+        for q, hits in got.items():
+            assert len(hits) == 45 and not np.isnan([s for _, _, s in hits]).any()
+            assert [(-s, v) for _, v, s in hits] == sorted((-s, v) for _, v, s in hits)
+            scale = max(1e-300, np.abs(x[q]).max())
+            for _, v, s in hits:
+                size = np.abs(x[v]).max()
+                exact = float((x[q] / scale) @ (x[v] / size)) * scale * size
+                assert s == exact or np.isclose(s, exact, rtol=1e-9, atol=0)
+
+
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(30, 6)).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(0, vectors[5]), (3, vectors[9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest.nearest(df, df, k=30))
+    for q in range(30):
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if i == q and j != q:
+                    best[j] = max(best.get(j, -np.inf), float(np.dot(v, w)))
+        assert [v for _, v, _ in got[q]] == sorted(best, key=lambda j: (-best[j], j))
+
+
 def test_transform_keeps_lengths_and_angles():
     rows = np.random.default_rng(0).normal(size=(5, 16))
     turned = nearest.rotations(rows, 3, 1)
