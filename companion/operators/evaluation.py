@@ -9,11 +9,14 @@ recommendation list itself (at most K entries) becomes an array per user.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from companion.functions import metrics as M
 from companion.operators.ranking import top_k_per_key
+from companion.session import materialize
 
 
 def _flag(df: DataFrame, pos: DataFrame, neg: DataFrame, user: str,
@@ -111,42 +114,85 @@ def instance_ideal_dcg(instances: DataFrame, pos: DataFrame, neg: DataFrame,
               .otherwise(F.lit(0.0))).alias("idcg"))
 
 
+POSITIVE, NEGATIVE, FIRST = 1, 2, 2       # bits of a role mask; list position p has bit FIRST << p
+
+
+def role_masks(rec: DataFrame, pos: DataFrame, neg: DataFrame, instances: DataFrame,
+               user: str, item: str) -> DataFrame:
+    """What every ``(user, item)`` is, in one aggregate over all four inputs: ``roles`` (the bits
+    above, by ``bit_or``), and the numbers of ``targets``, ``entries`` (scoring instances) and
+    ``listed`` rows (recommendations, empty ones too)."""
+    def rows(df: DataFrame, roles: F.Column, **counts: int) -> DataFrame:
+        return df.select(user, item, roles.cast("long").alias("roles"), *[
+            F.lit(counts.get(c, 0)).alias(c) for c in ("targets", "entries", "listed")])
+
+    place = F.when(F.col("pos").isNotNull(), F.call_function(
+        "shiftleft", F.lit(FIRST).cast("long"), F.col("pos").cast("int"))).otherwise(F.lit(0))
+    every = (rows(rec, place, listed=1).unionByName(rows(pos, F.lit(POSITIVE), targets=1))
+             .unionByName(rows(neg, F.lit(NEGATIVE))).unionByName(rows(instances, F.lit(0), entries=1)))
+    return every.groupBy(user, item).agg(F.bit_or("roles").alias("roles"), *[
+        F.sum(c).alias(c) for c in ("targets", "entries", "listed")])
+
+
 def als_user_metrics(rec: DataFrame, pos: DataFrame, neg: DataFrame,
                      instances: DataFrame, k: int, user: str = "reviewerID_int",
                      item: str = "productID_int",
                      instance_order: list[str] | None = None) -> DataFrame:
     """Per user with recommendations, positives and instances:
-    ``hit, precision, recall, dcg, idcg, ndcg, mrr``.
+    ``hit, precision, recall, dcg, idcg, ndcg, mrr`` (``k`` at most 60).
 
     Hits follow the reference's rule: walk the shorter of target list and
     recommendation (the recommendation on a tie) and count entries found in
-    the other."""
+    the other.
+
+    All inputs meet once, in ``role_masks``; everything else is one aggregate per user over
+    bits and counts.  In the ideal list (positives, unlabelled, negatives) the positives are
+    the first entries, so their gain follows from their number.  Only items that are positive
+    and negative at once stand in it again, at a place that depends on the order of the
+    negatives: these few users' negatives are ranked, where they can reach the first ``k``."""
     order = instance_order or [item]
-    sizes = target_sizes(pos, user)
-    users = (rec.select(user).distinct().join(sizes, user)
-             .join(instances.select(user).distinct(), user))
-    lists = _rec_lists(rec, users.select(user), pos, neg, user, item)
-    # positives found in the recommendation, counted over target rows
-    rec_items = rec.where(F.col("pos").isNotNull()).select(user, item).distinct()
-    from_targets = (pos.join(rec_items, [user, item], "left_semi")
-                    .groupBy(user).agg(F.count(F.lit(1)).alias("t_hit")))
-    ideal = instance_ideal_dcg(instances.join(users.select(user), user, "left_semi"),
-                               pos, neg, k, user, item, order)
-    out = (users.join(lists, user).join(from_targets, user, "left")
-           .join(ideal, user, "left")
-           .select(user, "n_target", "lst",
-                   F.when(F.col("n_target") < F.size("lst"),
-                          F.coalesce(F.col("t_hit"), F.lit(0)))
-                   .otherwise(M.hits(F.col("lst"))).cast("long").alias("hit"),
-                   M.dcg(F.col("lst")).alias("dcg"),
-                   F.coalesce(F.col("idcg"), F.lit(0.0)).alias("idcg")))
+    masks = materialize(role_masks(rec, pos, neg, instances, user, item), "evaluation-roles")
+    roles = F.col("roles")
+    positive, negative = roles.bitwiseAND(POSITIVE) != 0, roles.bitwiseAND(NEGATIVE) != 0
+    places = [(p, positive & (roles.bitwiseAND(FIRST << p) != 0)) for p in range(1, k + 1)]
+    length = F.bit_count(F.shiftright("roles", FIRST))
+
+    def added(pairs, none: float):
+        return sum((F.when(here, F.lit(value)).otherwise(F.lit(none)) for value, here in pairs), F.lit(none))
+
+    gain = added([(M.LN2 / log(p + 1), here) for p, here in places], 0.0)
+    first = F.coalesce(*[F.when(here, F.lit(1.0 / p)) for p, here in places], F.lit(0.0))
+    per_user = masks.groupBy(user).agg(
+        F.sum("targets").alias("n_target"), F.sum("listed").alias("_listed"),
+        F.sum("entries").alias("_entries"), F.sum(length).alias("_size"),
+        F.sum(F.when(positive, length).otherwise(0)).alias("_list_hit"),
+        F.sum(F.when(length > 0, F.col("targets")).otherwise(0)).alias("_target_hit"),
+        F.sum(gain).alias("dcg"), F.max(first).alias("mrr"),
+        F.sum(F.when(positive, F.col("entries")).otherwise(0)).alias("_good"),
+        F.sum(F.when(~positive & ~negative, F.col("entries")).otherwise(0)).alias("_unlabelled"),
+        F.max(positive & negative & (F.col("entries") > 0)).alias("_both"))
+    per_user = materialize(per_user.where(
+        (F.col("n_target") > 0) & (F.col("_listed") > 0) & (F.col("_entries") > 0)), "evaluation-users")
+
+    before = F.col("_good") + F.col("_unlabelled")
+    twice = per_user.where(F.col("_both") & (before < k)).select(user, before.alias("_before"))
+    flags = masks.where(negative).select(user, item, positive.alias("_hit")).join(twice, user)
+    ranked = top_k_per_key(instances.join(flags, [user, item]), [user], [F.col(c) for c in order], k, "_place")
+    place = F.col("_before") + F.col("_place")
+    again = ranked.where(F.col("_hit") & (place <= k)).groupBy(user).agg(
+        F.sum(M.discount(place)).alias("_again"))
+    ideal = sum((F.when(F.col("_good") >= p, F.lit(M.LN2 / log(p + 1))).otherwise(F.lit(0.0))
+                 for p in range(1, k + 1)), F.lit(0.0)) + F.coalesce("_again", F.lit(0.0))
+    hit = F.when(F.col("n_target") < F.col("_size"), F.col("_target_hit")).otherwise(
+        F.col("_list_hit")).cast("long")
+    out = per_user.join(again, user, "left").select(
+        user, "n_target", hit.alias("hit"), "dcg", ideal.alias("idcg"), "mrr")
     return out.select(
         user, "hit",
         (F.col("hit") / F.lit(float(k))).alias("precision"),
         (F.col("hit") / F.col("n_target")).alias("recall"),
         "dcg", "idcg",
-        M.safe_ratio(F.col("dcg"), F.col("idcg")).alias("ndcg"),
-        M.reciprocal_rank(F.col("lst")).alias("mrr"))
+        M.safe_ratio(F.col("dcg"), F.col("idcg")).alias("ndcg"), "mrr")
 
 
 def summarize(user_metrics: DataFrame, with_mrr: bool = False) -> DataFrame:

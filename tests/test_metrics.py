@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -88,6 +89,50 @@ def test_als_hit_walks_shorter_target_list(spark):
     assert m.hit == 1      # the list has 5 twice, but the target list has it once
 
 
+def plain_als_metrics(rec, pos, neg, inst, k):
+    """Lists walked one by one, as the definitions read."""
+    out = {}
+    for user in {u for u, *_ in rec}:
+        items = [i for _, i in sorted((p, i) for u, p, i in rec if u == user and p is not None)]
+        targets = [i for u, i in pos if u == user]
+        bad = {i for u, i in neg if u == user}
+        mine = [i for _, i in sorted((kind, i) for u, i, kind in inst if u == user)]
+        if not targets or not mine:
+            continue
+        good = set(targets)
+        hit = (sum(i in set(items) for i in targets) if len(targets) < len(items)
+               else sum(i in good for i in items))
+        ideal = ([i for i in mine if i in good] + [i for i in mine if i not in good | bad]
+                 + [i for i in mine if i in bad])[:k]
+        dcg = sum(d(p) for p, i in enumerate(items, 1) if i in good)
+        idcg = sum(d(p) for p, i in enumerate(ideal, 1) if i in good)
+        mrr = max((1 / p for p, i in enumerate(items, 1) if i in good), default=0.0)
+        out[user] = (hit, hit / k, hit / len(targets), dcg, idcg, dcg / idcg if idcg else 0.0, mrr)
+    return out
+
+
+def test_als_metrics_against_walked_lists(spark):
+    rng = random.Random(4)
+    for k in (2, 5):
+        rec, pos, neg, inst = [], [], [], []
+        for user in range(150):
+            pool = range(rng.choice([4, 6, 12]))
+            inst += [(user, i, kind) for kind, n in ((0, 5), (1, 3)) for i in rng.choices(pool, k=rng.randint(0, n))]
+            pos += [(user, i) for i in rng.choices(pool, k=rng.randint(0, 4))]
+            neg += [(user, i) for i in rng.choices(pool, k=rng.randint(0, 4))]
+            listed = rng.choices(pool, k=rng.randint(0, k))
+            rec += [(user, p, i) for p, i in enumerate(listed, 1)] or [(user, None, None)]
+        ids = "reviewerID_int int, productID_int int"
+        got = E.als_user_metrics(
+            spark.createDataFrame(rec, "reviewerID_int int, pos int, productID_int int"),
+            spark.createDataFrame(pos, ids), spark.createDataFrame(neg, ids),
+            spark.createDataFrame(inst, ids + ", _kind int"), k, instance_order=["_kind", "productID_int"]).collect()
+        want = plain_als_metrics(rec, pos, neg, inst, k)
+        assert {r.reviewerID_int for r in got} == set(want)
+        for r in got:
+            assert tuple(r)[1:] == pytest.approx(want[r.reviewerID_int])
+
+
 def test_summary_is_one_pass(spark):
     df = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("b", 2, 0.4, 1.0, 0.5)],
                                "u string, hit long, precision double, recall double, ndcg double")
