@@ -18,23 +18,11 @@ def user_mean(df: DataFrame, user: str, rating: str,
     return src.groupBy(user).agg(F.avg(rating).alias(out))
 
 
-def split_targets(ratings: DataFrame, means: DataFrame, user: str, item: str,
-                  rating: str, offset: float = 0.0,
-                  mean_col: str = "avgRating") -> tuple[DataFrame, DataFrame]:
-    """Positive (rating >= mean - offset) and negative (< mean - offset)
-    targets; rows with a null rating or mean are in neither."""
-    joined = ratings.join(means, user)
-    bar = F.col(mean_col) - F.lit(offset)
-    pos = joined.where(F.col(rating) >= bar).select(user, item)
-    neg = joined.where(F.col(rating) < bar).select(user, item)
-    return pos, neg
-
-
 def label_targets(ratings: DataFrame, means: DataFrame, user: str, item: str,
                   rating: str, offset: float = 0.0,
                   mean_col: str = "avgRating") -> DataFrame:
-    """``user, item, positive`` in one pass: the rows of ``split_targets``'s
-    positives (true) and negatives (false)."""
+    """``user, item, positive`` in one pass: positive if ``rating >= mean - offset``; rows with a
+    null rating or mean are left out."""
     bar = F.col(mean_col) - F.lit(offset)
     return (ratings.join(means, user)
             .where(F.col(rating).isNotNull() & F.col(mean_col).isNotNull())
@@ -47,13 +35,6 @@ def popularity_labels(comp: DataFrame) -> DataFrame:
     return label_targets(comp, means, "reviewerID", "compProd", "compRating")
 
 
-def popularity_targets(comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Targets of the popularity evaluation: a companion rating at or above
-    the user's own mean companion rating is positive."""
-    means = user_mean(comp, "reviewerID", "compRating")
-    return split_targets(comp, means, "reviewerID", "compProd", "compRating")
-
-
 def users_with_at_least(df: DataFrame, user: str, m: int) -> DataFrame:
     """Distinct users owning at least ``m`` rows (rows, not distinct items)."""
     return (df.groupBy(user).agg(F.count(F.lit(1)).alias("_n"))

@@ -411,12 +411,12 @@ eligible AS (
     SELECT reviewerID_int FROM als_pos GROUP BY reviewerID_int HAVING count(*) >= 5)),
 ideal_flags AS (
   SELECT i.reviewerID_int, i.productID_int, CAST(i.is_negative AS INTEGER) AS kind,
-         EXISTS (SELECT 1 FROM eligible e WHERE e.reviewerID_int = i.reviewerID_int
+         EXISTS (SELECT 1 FROM als_pos e WHERE e.reviewerID_int = i.reviewerID_int
                                             AND e.productID_int = i.productID_int) AS hit,
          EXISTS (SELECT 1 FROM als_neg n WHERE n.reviewerID_int = i.reviewerID_int
                                            AND n.productID_int = i.productID_int) AS neg
   FROM instances i
-  WHERE i.reviewerID_int IN (SELECT reviewerID_int FROM eligible))
+  WHERE i.reviewerID_int IN (SELECT reviewerID_int FROM als_pos))
 """
 
 ALS_SQL: dict[str, str] = {
@@ -432,6 +432,15 @@ ALS_SQL: dict[str, str] = {
         UNION ALL SELECT reviewerID_int, productID_int, prodRating, false FROM test""",
     "negative_samples": "SELECT * FROM instances",
     "user_mean_rating": "SELECT reviewerID_int, round(avgRating, 6) AS avgRating FROM means",
+    "user_mean_of_rated": """
+        SELECT reviewerID, round(avg(prodRating), 6) AS avgRating FROM cohort
+        WHERE prodRating <> 0 AND prodRating <> 1 GROUP BY reviewerID""",
+    "sampled_users": """
+        SELECT w.reviewerID_int, CAST(w.t AS BIGINT) AS n_tests,
+               CAST(least(w.t, (SELECT p FROM psize) - coalesce(s.s, 0)) AS BIGINT) AS n_negatives
+        FROM wanted w LEFT JOIN (SELECT reviewerID_int, count(*) AS s FROM seen GROUP BY reviewerID_int) s
+          ON w.reviewerID_int = s.reviewerID_int
+        WHERE w.reviewerID_int % 3 <> 0""",
     "als_targets": """
         SELECT reviewerID_int, productID_int, true AS positive FROM als_pos
         UNION ALL SELECT reviewerID_int, productID_int, false FROM als_neg""",
@@ -537,7 +546,10 @@ ALS_SQL: dict[str, str] = {
         WHERE r <= {K}""",
     "pack_ratings": """
         SELECT reviewerID_int, productID_int AS item,
-               CAST(trunc(compRating) AS BIGINT) AS rating FROM comp_enc""",
+               CAST(trunc(compRating) AS BIGINT) AS rating,
+               '{"productID_int":' || productID_int || coalesce(
+                 ',"compRating":' || CAST(trunc(compRating) AS BIGINT), '') || '}' AS packed
+        FROM comp_enc""",
 }
 
 

@@ -18,6 +18,7 @@ from companion.functions import metrics as M
 from companion.functions.hashing import hex_prefix, seeded_digest
 from companion.operators import als as A
 from companion.operators import evaluation as E
+from companion.operators import negatives as N
 from companion.operators import popularity as P
 from companion.operators import ranking as RK
 from companion.operators import reshape as R
@@ -239,9 +240,7 @@ def user_mean_comp(spark, sf_dir):
 
 @query
 def popularity_targets(spark, sf_dir):
-    pos, neg = TG.popularity_targets(inputs(spark, sf_dir)["comp"])
-    return (pos.withColumn("positive", F.lit(True))
-            .unionByName(neg.withColumn("positive", F.lit(False))))
+    return TG.popularity_labels(inputs(spark, sf_dir)["comp"])
 
 
 @query
@@ -427,6 +426,29 @@ def user_mean_rating(spark, sf_dir):
     return _long_ids(means.withColumn("avgRating", r6("avgRating")))
 
 
+@query
+def user_mean_of_rated(spark, sf_dir):
+    """User means where a rating of 1 stands for "not rated" and reads 0: zeros stay out of
+    the mean (P11), and users without other ratings out of the result."""
+    cohort = _als(spark, sf_dir).prepare().out["cohort"]
+    read = cohort.withColumn("prodRating", F.when(F.col("prodRating") == 1, 0.0).otherwise(F.col("prodRating")))
+    means = TG.user_mean(read, "reviewerID", "prodRating", nonzero=True)
+    return means.withColumn("avgRating", r6("avgRating"))
+
+
+@query
+def sampled_users(spark, sf_dir):
+    """Test rows and sampled negatives per user when every third user has lost its training
+    rows: those users are not sampled (J12), the others get ``min(tests, unseen pool)``."""
+    run = _als(spark, sf_dir).split()
+    train = run.out["train"].where("reviewerID_int % 3 <> 0")
+    pool = run.out["comp_enc"].select("productID_int").distinct()
+    inst = N.scoring_instances(run.out["test"], train, pool, run.cfg.seed)
+    return _long_ids(inst.groupBy("reviewerID_int").agg(
+        F.count_if(~F.col("is_negative")).cast("long").alias("n_tests"),
+        F.count_if("is_negative").cast("long").alias("n_negatives")))
+
+
 @query
 def als_targets(spark, sf_dir):
     out = _als(spark, sf_dir).targets().out
@@ -536,8 +558,8 @@ def ideal_instances(spark, sf_dir):
     """Ordered ideal list of the ALS evaluation (E5), its first K entries, long form."""
     out = _als(spark, sf_dir).instances().targets().out
     inst = out["instances"].withColumn("_kind", F.col("is_negative").cast("int"))
-    users = out["eligible"].select("reviewerID_int").distinct()
-    best = E.ideal_instances(inst.join(users, "reviewerID_int", "left_semi"), out["eligible"],
+    users = out["positives"].select("reviewerID_int").distinct()
+    best = E.ideal_instances(inst.join(users, "reviewerID_int", "left_semi"), out["positives"],
                              out["negatives"], TOP_K, "reviewerID_int", "productID_int",
                              ["_kind", "productID_int"])
     return _long_ids(best.select("reviewerID_int", F.col("ideal_pos").cast("long").alias("ideal_pos"),
@@ -662,7 +684,8 @@ def pack_ratings(spark, sf_dir):
                             "productID_int", "compRating", "rating_pair")
     return _long_ids(packed.select(
         "reviewerID_int", F.col("rating_pair.productID_int").alias("item"),
-        F.col("rating_pair.compRating").cast("long").alias("rating")))
+        F.col("rating_pair.compRating").cast("long").alias("rating"),
+        F.to_json("rating_pair").alias("packed")))
 
 
 @query
@@ -680,16 +703,16 @@ def rating_lists(spark, sf_dir):
 
 @query
 def als_ideal_dcg(spark, sf_dir):
-    """Ideal DCG of the ALS evaluation (E5/E6): each eligible user's scoring
+    """Ideal DCG of the ALS evaluation (E5/E6): the scoring instances of each user with a positive,
     instances reordered (positives, unlabelled, negatives) and cut to K.
     Model-independent, so it has an exact oracle."""
     run = _als(spark, sf_dir).instances().targets()
     out = run.out
     inst = out["instances"].withColumn("_kind", F.col("is_negative").cast("int"))
-    users = (out["eligible"].select("reviewerID_int").distinct()
+    users = (out["positives"].select("reviewerID_int").distinct()
              .join(inst.select("reviewerID_int").distinct(), "reviewerID_int"))
     ideal = E.instance_ideal_dcg(inst.join(users, "reviewerID_int", "left_semi"),
-                                 out["eligible"], out["negatives"], TOP_K,
+                                 out["positives"], out["negatives"], TOP_K,
                                  "reviewerID_int", "productID_int",
                                  ["_kind", "productID_int"])
     return _long_ids(ideal.withColumn("idcg", r6("idcg")))

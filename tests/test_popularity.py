@@ -83,9 +83,9 @@ def test_ties_broken_by_companion_id_and_unrated_scores_zero(spark):
 
 def test_popularity_targets_use_user_mean(spark):
     comp = [("u", "a", 5.0), ("u", "b", 1.0), ("u", "c", 3.0), ("u", "d", None)]
-    pos, neg = TG.popularity_targets(spark.createDataFrame(comp, schemas.COMP_RATINGS))
-    assert sorted(r.compProd for r in pos.collect()) == ["a", "c"]
-    assert sorted(r.compProd for r in neg.collect()) == ["b"]
+    labels = TG.popularity_labels(spark.createDataFrame(comp, schemas.COMP_RATINGS)).collect()
+    assert sorted(r.compProd for r in labels if r.positive) == ["a", "c"]
+    assert sorted(r.compProd for r in labels if not r.positive) == ["b"]
 
 
 def test_pipeline_summary_counts_empty_lists(spark):
