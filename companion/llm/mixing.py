@@ -12,19 +12,22 @@ are counted into buckets, and the documents of the buckets below the boundary
 are taken; the boundary bucket is divided again by the draw's next bits, and
 inside the last bucket documents are taken in draw order while half of the next
 one still fits.  So a source misses its target by at most half of one document.
+Rows of equal id and text share their draw: as many of them are taken once more
+as fit.
 
 Scale: sizes and draws are written once as a narrow table; sources and buckets
 are summed by partial aggregation, so a source with a third of all rows costs
 its tasks one row per bucket.  The table of targets (one row per source) is written,
 so Spark broadcasts it only below its measured size threshold and otherwise splits
 the hot source's partition.  The water level is a window over one row per source.  Running sums go over at most ``BUCKETS`` rows of
-a source, and over the documents of one second-level bucket (one of
+a source, and over the different documents of one second-level bucket (one of
 ``BUCKETS ** 2``), never over a source.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the
 last; documents of size 0 are taken 0 words; a source without words has target
-0; equal draws order by id and size; an empty table gives no rows; reruns give
-the same rows, as draws depend on the row's values alone.  Other columns are
+0; equal draws order by id and size; of equal rows (same id and text) some may be
+taken once more and others not, whichever these are; an empty table gives no rows;
+reruns give the same rows, as draws depend on the row's values alone.  Other columns are
 ignored whatever their names.
 """
 
@@ -34,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from companion.llm.common import WORD, md5_fraction
+from companion.operators.ranking import key_rank
 from companion.session import materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)     # by source in code-point order, null last, repeating
@@ -135,16 +139,23 @@ def taking_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
         plan1.join(cut2.withColumnRenamed("_s", "_s1"), F.col("_s").eqNullSafe(F.col("_s1")), "left")
         .drop("_s1"), "mixing-plan")
 
-    # the last bucket: in draw order, while half of the document still fits
-    last = rows.join(plan2, same).filter("_b1 = _at_b1 AND _b2 = _at_b2")
+    # the last bucket: in draw order, while half of the document still fits; equal rows are
+    # one line with their number, of which the last line gives as many as fit
+    last = rows.join(plan2, same).filter("_b1 = _at_b1 AND _b2 = _at_b2").groupBy(
+        "_s", "_left_b2", "draw", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("_s").orderBy("draw", "doc_id", "size")
-    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    cut3 = last.withColumn("_run", upto).filter(
-        F.col("_run") - F.col("size") / 2 <= F.col("_left_b2")).groupBy("_s").agg(
-        F.max(F.struct("draw", "doc_id", "size")).alias("_last"))
+    before = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(
+        order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.col("_left_b2") - before
+    fits = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).otherwise(
+        F.when(room >= 0, F.col("copies")).otherwise(0))
+    cut3 = last.withColumn("take", F.least(fits, F.col("copies")).cast("long")).filter(
+        "take > 0").groupBy("_s").agg(F.max(F.struct(
+            F.struct("draw", "doc_id", "size").alias("row"), "take", "copies")).alias("_end"))
     return materialize(plan2.join(cut3.withColumnRenamed("_s", "_s1"),
-                                  F.col("_s").eqNullSafe(F.col("_s1")), "left").drop("_s1"),
-                       "mixing-plan")
+                                  F.col("_s").eqNullSafe(F.col("_s1")), "left").select(
+        *plan2.columns, F.col("_end.row").alias("_last"), F.col("_end.take").alias("_take"),
+        F.col("_end.copies").alias("_copies")), "mixing-plan")
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -159,8 +170,22 @@ def apply_plan(rows: DataFrame, plan: DataFrame, buckets: int = BUCKETS) -> Data
             | ((place == edge) & F.coalesce(here <= F.col("_last"), F.lit(False))))
     extra = F.when((F.col("_extra") > 0) & F.coalesce(more, F.lit(False)), 1).otherwise(0)
     joined = _bucketed(rows, buckets).join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    return joined.withColumn("epochs", (F.col("_whole") + extra).cast("long")).select(
-        *rows.columns, "source_size", "target", "epochs")
+    shared = (F.col("_extra") > 0) & (F.col("_take") < F.col("_copies"))
+    placed = joined.withColumn("epochs", (F.col("_whole") + extra).cast("long")).withColumn(
+        "_shared", F.coalesce(shared & (place == edge) & (here == F.col("_last")), F.lit(False)))
+    names = [*rows.columns, "source_size", "target", "epochs"]
+    if plan.filter(shared).isEmpty():
+        return placed.select(*names)
+    # of equal rows some are taken once more: they are numbered in the order of a written
+    # table, by part of the table first, so a row that fills the source is no single task
+    tied = materialize(placed.filter("_shared").select(
+        *names, "_whole", "_take", F.monotonically_increasing_id().alias("_id"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key")), "mixing-tied")
+    numbered = key_rank(tied.withColumn("_part", F.shiftright("_id", 33)), ["_key"], "_part",
+                        [F.col("_id")], "_nth")
+    dealt = numbered.withColumn("epochs", (
+        F.col("_whole") + (F.col("_nth") < F.col("_take")).cast("long")).cast("long"))
+    return placed.filter("NOT _shared").select(*names).unionByName(dealt.select(*names))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,

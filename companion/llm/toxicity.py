@@ -215,10 +215,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     found = {(r.step, r.toxic): r["count"] for r in rows.groupBy("step", "toxic").count().collect()}
     bad, n = sum(c for (_, t), c in found.items() if t), sum(found.values())
     prior = (bad + 1) / (n + 2) if n else 0.0
-    if not all(found.get((step, t)) for step in (3, 4) for t in (0, 1)):
+    if not 0 < bad < n:
         return ToxicityModel({}, prior)
-    lexicon = learn_lexicon(rows.filter("step <= 2"))
-    table = materialize(rows.filter("step >= 3").select(
+
+    def purpose(*steps: int) -> Column:
+        """Rows of these remainders; all rows of a class that has none there."""
+        mine = [F.col("step").isin(*steps) if any(found.get((s, t)) for s in steps) else F.lit(True)
+                for t in (0, 1)]
+        return F.when(F.col("toxic") == 1, mine[1]).otherwise(mine[0])
+
+    lexicon = learn_lexicon(rows.filter(purpose(1, 2)))
+    uses = rows.filter(purpose(3)).withColumn("step", F.lit(3)).unionByName(
+        rows.filter(purpose(4)).withColumn("step", F.lit(4)))
+    table = materialize(uses.select(
         "step", F.col("toxic").cast("double").alias("toxic"),
         vector_to_array(feature_column(F.col("text"), lexicon)).alias("values")),
         "toxicity-features").select("step", "toxic", array_to_vector("values").alias("_llm_features"))

@@ -58,6 +58,33 @@ def test_edge_cases(documents):
     assert {r.taken for r in mixing.mix(documents([(1, None), (2, "")])).collect()} == {0}
 
 
+def test_equal_rows_are_dealt_singly(spark, documents):
+    rows = [(1, "a b c d", "s")] * 100 + [(i, "x y", "s") for i in range(2, 12)]
+    rows += [(50, "k l m", None)] * 40 + [(60, "p", "u")] * 30 + [(61, "p q r s t u", "u")] * 30
+    rows += [(70, "", "u")] * 5 + [(None, None, "u")] * 5
+    got = check(documents(rows).repartition(5))
+    again = mixing.mix(documents(rows)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    copies = mixing.repeat_documents(documents(rows).repartition(3)).groupBy("doc_id").count().collect()
+    want = {}
+    for r in got:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.epochs
+    assert {r.doc_id: r["count"] for r in copies} == {d: n for d, n in want.items() if n}
+    con = duckdb.connect()
+    con.register("documents", documents(rows).select("doc_id", "text", "source").toArrow())
+    sql = con.execute("SELECT doc_id, size, source_size, taken FROM "
+                      f"({queries.ORACLE_SQL['op10_source_mixing']})").fetchall()
+    assert sorted(map(str, sql)) == sorted(
+        str((r.doc_id, r.size, r.source_size, r.taken)) for r in got)
+
+
+def test_one_row_repeated_in_one_source(documents):
+    """The boundary lies inside the copies: the source still meets its target."""
+    got = check(documents([(1, "a b c d", "s")] * 100 + [(i, "x", "s") for i in range(2, 12)]
+                          + [(99, "z " * 300, "t")]).repartition(4))
+    assert {r.epochs for r in got if r.doc_id == 1} in ({1, 2}, {1}, {2})
+
+
 def test_everything_clamped(documents):
     rows = mixing.mix(documents([(1, "a b c", "s"), (2, "d e", "t")]), share=5.0).collect()
     assert {(r.doc_id, r.taken) for r in rows} == {(1, 6), (2, 4)}

@@ -52,6 +52,22 @@ def test_edge_cases(spark, small, documents):
     assert kept.filter("doc_id % 3 <> 0 AND doc_id < 400").count() == 266
 
 
+def test_a_class_missing_in_some_remainders(spark, documents):
+    """Few labels: the rows of a class serve every purpose that has none of its own."""
+    remainder = {i: zlib.crc32(str(i).encode()) % 5 for i in range(300)}
+    for places in ({1, 2}, {4}, {3}):
+        bad = {i for i, r in remainder.items() if r in places}
+        labels = spark.createDataFrame([(i, int(i in bad)) for i in remainder], "doc_id long, toxic int")
+        docs = documents([(i, "you idiot you moron" if i in bad else "a calm and friendly text")
+                          for i in remainder] + [(1000, "you idiot"), (1001, "a calm text")])
+        got = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, labels).collect()}
+        assert got[1000] == 1 and got[1001] == 0
+        assert sum(got[i] for i in bad) == len(bad) and sum(got.values()) == len(bad) + 1
+    one = spark.createDataFrame([(i, 0) for i in remainder], "doc_id long, toxic int")
+    scores = {r.score for r in toxicity.score_documents(docs, one).collect()}
+    assert len(scores) == 1 and max(scores) < 0.05
+
+
 def test_features_ignore_everything_but_text():
     lexicon = {"idio": 3.0}
     a = toxicity.features(b"You idiot, YOU idiot! id1ot sooo", lexicon)
