@@ -1,4 +1,5 @@
-"""Ranking primitives: top-K per key, exact rank within a key, dense ids.
+"""Ranking primitives: top-K per key, the first rows of a key in hash order, exact rank
+within a key, dense ids.
 
 ``key_rank`` gives the exact 0-based position of each row inside its key
 without sending a whole key to one task: the caller supplies a coarse integer
@@ -10,7 +11,7 @@ table, and the fine rank is a window over one sub-group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,10 @@ from companion.session import materialize, scratch_path
 
 # rows per sub-group of a key; large enough that ordinary keys stay whole
 DEFAULT_GROUP_ROWS = 1 << 17
+# rows of a key that are few enough to be sorted as one list
+LIST_ROWS = 1 << 10
+HEX = 16
+DIGEST_DIGITS = 32
 
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -34,6 +39,56 @@ def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             .where(F.col(pos_col) <= k))
 
 
+def first_by_digest(df: DataFrame, key: str, digest: str, take: Callable[[Column], Column],
+                    order: Sequence[str], flag: str, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``df`` without ``digest`` plus ``flag``: whether a row is among the first ``take(n)`` of
+    its key's ``n`` rows in the order of ``digest`` (md5 in hex), then ``order``.
+
+    Radix selection, no sort: the rows of a key are counted by the first hex digit (16
+    counters in one partial aggregate, so a key costs each task one row), and the running
+    sum tells the digit in which the cut lies.  Rows with a lower digit are in, rows with a
+    higher one are out; only those of the cut's digit (a sixteenth) are left.  Where these
+    are at most ``list_rows`` for a key, the cut is read off their sorted list; larger ones
+    are counted by the next digit.  Every level is written, so rows that are decided are not
+    read again.  Rows with a null key are left out."""
+    columns = [c for c in df.columns if c != digest]
+    place = F.struct(digest, *order)
+    left = materialize(df, "first-rows")
+    decided: list[DataFrame] = []
+    for level in range(DIGEST_DIGITS):
+        digit = F.conv(F.substring(digest, level + 1, 1), HEX, 10).cast("int")
+        counters = [F.count_if(digit == i).alias(f"_c{i}") for i in range(HEX)]
+        wanted = [] if level == 0 else [F.first("_wanted").alias("_wanted")]
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(*counters, *wanted)
+        below = [sum((F.col(f"_c{i}") for i in range(n)), F.lit(0)) for n in range(HEX + 1)]
+        if level == 0:
+            counts = counts.withColumn("_wanted", take(below[HEX]).cast("long"))
+        cut = F.coalesce(*[F.when(below[i + 1] > F.col("_wanted"), F.struct(
+            F.lit(i).alias("digit"), (F.col("_wanted") - below[i]).alias("wanted"),
+            F.col(f"_c{i}").alias("size"))) for i in range(HEX)])
+        cuts = materialize(counts.select(key, cut.alias("_cut")), "first-cuts")
+        known = (F.when(F.col("_cut").isNull() | (digit < F.col("_cut.digit")), True)
+                 .when((digit > F.col("_cut.digit")) | (F.col("_cut.wanted") == 0), False))
+        placed = materialize(left.select(*columns, digest).join(cuts, key).select(
+            *columns, digest, known.alias(flag), F.col("_cut.wanted").alias("_wanted"),
+            F.col("_cut.size").alias("_size")), "first-placed")
+        decided.append(placed.where(F.col(flag).isNotNull()).select(*columns, flag))
+        undecided = placed.where(F.col(flag).isNull()).drop(flag)
+        few = F.col("_size") <= list_rows if level + 1 < DIGEST_DIGITS else F.lit(True)
+        short = undecided.where(few)
+        ends = short.groupBy(key).agg(
+            F.sort_array(F.collect_list(place)).alias("_list"), F.first("_wanted").alias("_at")
+        ).select(key, F.get("_list", F.col("_at").cast("int")).alias("_end"))
+        decided.append(short.join(ends, key).select(*columns, (place < F.col("_end")).alias(flag)))
+        if cuts.where((F.col("_cut.size") > list_rows) & (F.col("_cut.wanted") > 0)).isEmpty():
+            break
+        left = undecided.where(~few)
+    out = decided[0]
+    for part in decided[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def hash_bucket(prefix: Column, total_rows: int, group_rows: int) -> Column:
     """Sub-group of a row ordered by a uniform 60-bit hash prefix.
 

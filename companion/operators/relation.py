@@ -38,3 +38,18 @@ def base_ratings(reviews: DataFrame, rel: DataFrame) -> DataFrame:
 def comp_ratings(reviews: DataFrame, rel: DataFrame) -> DataFrame:
     """Ratings of items that are somebody's companion."""
     return as_comp_ratings(reviews.join(companion_ids(rel), "asin", "left_semi"))
+
+
+def flag_companions(reviews: DataFrame, rel: DataFrame) -> DataFrame:
+    """``reviews`` plus ``is_comp``: whether the item is somebody's companion (false for a
+    null item).  One join with one row per id answers both ``base_ratings`` and
+    ``comp_ratings``; written partitioned by the flag, either reads its own half."""
+    ids = companion_ids(rel).withColumn("_found", F.lit(True))
+    return reviews.join(ids, "asin", "left").select(
+        *reviews.columns, F.coalesce("_found", F.lit(False)).alias("is_comp"))
+
+
+def rating_tables(flagged: DataFrame) -> dict[str, DataFrame]:
+    """``base`` and ``comp`` ratings of ``flag_companions``."""
+    return {"base": as_base_ratings(flagged.where(~F.col("is_comp"))),
+            "comp": as_comp_ratings(flagged.where(F.col("is_comp")))}

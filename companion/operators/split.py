@@ -3,8 +3,8 @@
 Each user's rows are put in a seeded pseudo-random order (md5 of the seed
 and the row's key), and the first ``floor(frac * n)`` rows are training
 rows, the rest test rows.  The order is a pure function of the data, so a
-recomputed partition splits identically and train and test never overlap;
-the rank inside a user is exact and skew-safe (``key_rank``).
+recomputed partition splits identically and train and test never overlap; the
+cut inside a user is exact and found by counting, not sorting (``first_by_digest``).
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from companion.functions.hashing import hex_prefix, seeded_digest
-from companion.operators.ranking import DEFAULT_GROUP_ROWS, hash_bucket, key_rank
+from companion.functions.hashing import seeded_digest
+from companion.operators.ranking import DEFAULT_GROUP_ROWS, LIST_ROWS, first_by_digest
 from companion.operators.reshape import rating_as_int
 
 
@@ -25,11 +25,8 @@ def holdout_split(df: DataFrame, user: str, item: str, rating: str,
     in seeded hash order.  A user with one row has it in test."""
     rows = (df.select(user, item, rating_as_int(rating).alias(rating)).distinct()
             .withColumn("_h", seeded_digest(seed, user, item, rating)))
-    rows = rows.withColumn("_b", hash_bucket(hex_prefix(F.col("_h")), df.count(), group_rows))
-    ranked = key_rank(rows, [user], "_b",
-                      [F.col("_h"), F.col(item), F.col(rating)], "_rank", size_col="_n")
-    cut = F.floor(F.lit(frac) * F.col("_n"))
-    return ranked.select(user, item, rating, (F.col("_rank") < cut).alias("is_train"))
+    return first_by_digest(rows, user, "_h", lambda n: F.floor(F.lit(frac) * n), [item, rating],
+                           "is_train", min(group_rows, LIST_ROWS))
 
 
 def training_set(base_enc: DataFrame, split: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from companion import schemas
-from companion.operators.relation import base_ratings, comp_ratings, companion_relation
+from companion.operators.relation import companion_relation, flag_companions, rating_tables
 from companion.operators.reshape import flatten_metadata, project_reviews, table_shape
 from companion.session import materialize
 from companion.sources.records import record_counts, require_clean, split_records
@@ -19,9 +19,7 @@ def preprocess(reviews_raw: DataFrame, meta_raw: DataFrame) -> dict[str, DataFra
     """The three tables both models read, as lazy DataFrames."""
     reviews = project_reviews(reviews_raw)
     rel = companion_relation(flatten_metadata(meta_raw))
-    return {"relation": rel,
-            "base": base_ratings(reviews, rel),
-            "comp": comp_ratings(reviews, rel)}
+    return {"relation": rel, **rating_tables(flag_companions(reviews, rel))}
 
 
 def preprocess_files(spark: SparkSession, reviews_path: str, meta_path: str,
@@ -31,23 +29,26 @@ def preprocess_files(spark: SparkSession, reviews_path: str, meta_path: str,
     returns their paths.
 
     A line that cannot be parsed stops the run; without ``strict`` it is left out and
-    counted in the report.  Each raw file is parsed once, into a table; the relation is
-    written first and read back, and both rating tables are split from the tables."""
+    counted in the report.  Each raw file is read and parsed once: metadata into a table,
+    reviews into one partitioned by what becomes of a line (a broken one, a rating of a
+    companion or of another item), which both rating files are read from."""
     paths = {name: os.path.join(out_dir, name) for name in CSV_SCHEMAS}
-    files = {"metadata": (meta_path, schemas.METADATA), "reviews": (reviews_path, schemas.REVIEW)}
-    parsed = {name: materialize(split_records(spark, path, schema), f"preprocess-{name}")
-              for name, (path, schema) in files.items()}
+    meta = materialize(split_records(spark, meta_path, schemas.METADATA), "preprocess-metadata")
     if strict:
-        for name, table in parsed.items():
-            require_clean(table, files[name][0])
-    report = [record_counts(t).select(F.lit(name).alias("file"), "*") for name, t in parsed.items()]
+        require_clean(meta, meta_path)
+    rel = materialize(companion_relation(flatten_metadata(
+        meta.where(F.col("_corrupt").isNull()).drop("_corrupt"))), "preprocess-relation")
+    lines = split_records(spark, reviews_path, schemas.REVIEW).select(
+        *schemas.REVIEW.fieldNames(), "_corrupt", F.col("_corrupt").isNotNull().alias("broken"))
+    rated = materialize(flag_companions(lines, rel), "preprocess-reviews", ("broken", "is_comp"))
+    if strict:
+        require_clean(rated, reviews_path)
+    report = [record_counts(t).select(F.lit(name).alias("file"), "*")
+              for name, t in (("metadata", meta), ("reviews", rated))]
     write_csv_table(report[0].unionByName(report[1]), paths["report"])
-    good = {name: t.where(F.col("_corrupt").isNull()).drop("_corrupt") for name, t in parsed.items()}
-    write_csv_table(companion_relation(flatten_metadata(good["metadata"])), paths["relation"])
-    rel = read_csv_table(spark, paths["relation"], schemas.RELATION)
-    reviews = project_reviews(good["reviews"])
-    write_csv_table(base_ratings(reviews, rel), paths["base"])
-    write_csv_table(comp_ratings(reviews, rel), paths["comp"])
+    write_csv_table(rel, paths["relation"])
+    for name, table in rating_tables(rated.where(~F.col("broken"))).items():
+        write_csv_table(table, paths[name])
     return paths
 
 

@@ -67,12 +67,11 @@ def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return FX.relation(spark, sf_dir)
     if name == "categories":
         return FX.item_categories(spark, sf_dir)
-    if name == "base":
-        return REL.base_ratings(prepared(spark, sf_dir, "reviews"),
-                                prepared(spark, sf_dir, "relation"))
-    if name == "comp":
-        return REL.comp_ratings(prepared(spark, sf_dir, "reviews"),
-                                prepared(spark, sf_dir, "relation"))
+    if name == "flagged":
+        return REL.flag_companions(prepared(spark, sf_dir, "reviews"),
+                                   prepared(spark, sf_dir, "relation"))
+    if name in ("base", "comp"):
+        return REL.rating_tables(prepared(spark, sf_dir, "flagged"))[name]
     raise KeyError(name)
 
 

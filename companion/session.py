@@ -96,9 +96,9 @@ def watched_plans() -> Iterator[list[tuple[str, str]]]:
         _WATCHERS.remove(plans)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder
-    and continue from the written table.
+    and continue from the written table (with one folder per value of ``partition_by``).
 
     This cuts the lineage: later plans start at a scan (short to analyse,
     no recomputation of upstream stages), and a lost executor costs a
@@ -107,8 +107,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     for plans in _WATCHERS:
         plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,

@@ -44,7 +44,18 @@ def test_stage_plans_are_seen(spark):
         queries.REGISTRY["holdout_split"](spark, SF_TINY)
     names = [name for name, _ in stages]
     assert {"als-cohort", "als-comp-enc", "als-split"} <= set(names)
-    assert "Window" in dict(stages)["als-split"]
+    assert "HashAggregate" in dict(stages)["first-cuts"]
+
+
+def test_split_sorts_no_ratings(spark):
+    """The cut of a user is counted digit by digit: no window over rating rows anywhere."""
+    rows = spark.range(5000).select(
+        (F.col("id") % 7).cast("int").alias("reviewerID_int"),
+        F.col("id").cast("int").alias("productID_int"), F.lit(3.0).alias("compRating"))
+    with watched_plans() as stages:
+        plan = plan_of(holdout_split(rows, "reviewerID_int", "productID_int", "compRating", group_rows=8))
+    assert len([n for n, _ in stages if n == "first-cuts"]) > 1
+    assert not [n for n, text in stages if "Window" in text] and "Window" not in plan
 
 
 @pytest.mark.parametrize("name", GROUP_LIMITED)
@@ -78,11 +89,8 @@ def dealt_by(df) -> list[list[str]]:
 RATED = "reviewerID_int int, productID_int int, compRating double"
 
 
-def test_split_deals_a_user_over_many_tasks(spark, no_broadcast):
+def test_ranks_deal_a_user_over_many_tasks(spark, no_broadcast):
     rows = spark.createDataFrame([(1, 1, 1.0)], RATED)
-    plan = holdout_split(rows, "reviewerID_int", "productID_int", "compRating", group_rows=16)
-    keys = dealt_by(plan)
-    assert ["reviewerID_int", "_b"] in keys
     # the only exchange by the user alone is that of the small count table's window
     ranked = key_rank(
         rows.withColumn("_h", seeded_digest(1, "reviewerID_int")).withColumn(
@@ -101,6 +109,26 @@ def test_cohort_deduplicates_before_it_meets_users(spark, no_broadcast):
     assert ["reviewerID", "compProd", "compRating"] in dealt_by(out["comp"])
 
 
+def test_preprocessing_reads_reviews_once(spark, tmp_path):
+    """One scan and one join with the companion ids give both rating files."""
+    from companion.plans.preprocess import preprocess_files
+    with open(tmp_path / "reviews.json", "w", encoding="utf-8") as f:
+        f.write("".join(f"{{'reviewerID': 'u{i}', 'asin': 'p{i % 5}', 'overall': {i % 4}.0}}\n" for i in range(40)))
+    with open(tmp_path / "meta.json", "w", encoding="utf-8") as f:
+        f.write("{'asin': 'p0', 'related': {'also_bought': ['p1', 'p2']}}\n{'asin': 'p3'}\n")
+    with watched_plans() as stages:
+        paths = preprocess_files(spark, f"file://{tmp_path}/reviews.json", f"file://{tmp_path}/meta.json",
+                                 f"file://{tmp_path}/out")
+    names = [n for n, _ in stages]
+    assert names.count("preprocess-reviews") == 1
+    text = dict(stages)["preprocess-reviews"]
+    assert text.count("FileScan text") == 1 and text.count("Join") == 1
+    base, comp = (spark.read.option("header", True).csv(paths[n]) for n in ("base", "comp"))
+    assert base.columns == ["reviewerID", "productID", "prodRating"]
+    assert {r.productID for r in base.collect()} == {"p0", "p3", "p4"} and base.count() == 24
+    assert {r.compProd for r in comp.collect()} == {"p1", "p2"} and comp.count() == 16
+
+
 def test_hot_user_rows_are_spread(spark, no_broadcast):
     """A third of all rows in one user: the tasks of the ranking window hold few of them."""
     rows = spark.range(30000).select(

@@ -3,6 +3,7 @@ split into many sub-groups."""
 
 import math
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,10 +21,11 @@ def skewed(spark, n_other_users=60, per_user=10):
     return spark.createDataFrame(hot + others, SCHEMA)
 
 
-def test_hot_user_split_equals_single_window(spark):
-    df = skewed(spark)
+@pytest.mark.parametrize("group_rows", [1, 16, 1 << 17])
+def test_hot_user_split_equals_single_window(spark, group_rows):
+    df = skewed(spark, 60 if group_rows > 1 else 400)
     got = holdout_split(df, "reviewerID_int", "productID_int", "compRating",
-                        seed=5, group_rows=16)
+                        seed=5, group_rows=group_rows)
     rows = (df.select("reviewerID_int", "productID_int",
                       F.col("compRating").cast("int").alias("compRating")).distinct()
             .withColumn("_h", seeded_digest(5, "reviewerID_int", "productID_int", "compRating")))

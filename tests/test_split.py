@@ -47,3 +47,20 @@ def test_training_set(spark):
     t = {(r.reviewerID_int, r.productID_int) for r in test.collect()}
     tr = {(r.reviewerID_int, r.productID_int) for r in train.where(F.col("productID_int") < 50).collect()}
     assert not (t & tr)
+
+
+def test_rows_of_equal_digest_and_extreme_parts(spark):
+    """A null item or rating leaves no trace in the digest: such rows tie and follow their
+    values.  All or none of the rows may be training rows; an empty table stays empty."""
+    rows = spark.createDataFrame([(1, 7, None), (1, None, 7.0), (1, 8, 2.0), (None, 1, 1.0), (2, 5, 1.0)],
+                                 "reviewerID_int int, productID_int int, compRating double")
+    for frac, counts in ((0.0, {1: 0, 2: 0}), (0.34, {1: 1, 2: 0}), (0.67, {1: 2, 2: 0}), (1.0, {1: 3, 2: 1})):
+        for group_rows in (1, 100):
+            got = holdout_split(rows, "reviewerID_int", "productID_int", "compRating", frac=frac,
+                                group_rows=group_rows).collect()
+            assert len(got) == 4
+            train = {}
+            for r in got:
+                train[r.reviewerID_int] = train.get(r.reviewerID_int, 0) + r.is_train
+            assert train == counts
+    assert holdout_split(rows.limit(0), "reviewerID_int", "productID_int", "compRating").count() == 0
