@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from companion.session import materialize, scratch_path
+from companion.session import materialize, scratch_path, table_exists
 
 # rows per sub-group of a key; large enough that ordinary keys stay whole
 DEFAULT_GROUP_ROWS = 1 << 17
@@ -161,3 +161,43 @@ def dense_index(df: DataFrame, key: str, id_col: str,
         key, (F.col("_off") + F.col("_pos")).cast("int").alias(id_col))
     # the id table itself is written too, so every later use is a plain scan
     return materialize(ids, f"dense-ids-{key}")
+
+
+def id_versions(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the complete versions of an id table under ``root``, oldest first.
+
+    A version whose write was cut short has no ``_SUCCESS`` file: it and whatever follows
+    do not count."""
+    folders: list[str] = []
+    while table_exists(spark, f"{root}/version={len(folders)}/_SUCCESS"):
+        folders.append(f"{root}/version={len(folders)}")
+    return folders
+
+
+def read_ids(spark: SparkSession, root: str) -> DataFrame:
+    """``(key, id)`` of every complete version under ``root``."""
+    return spark.read.parquet(*id_versions(spark, root))
+
+
+def extend_ids(df: DataFrame, key: str, id_col: str, root: str) -> DataFrame:
+    """Give dense ids to the keys of ``df`` that have none yet, and return the whole table.
+
+    Ids live in versions under ``root``, one folder per batch that brought new keys: a
+    version holds the new keys only, in ascending order, with ids that follow the last one
+    given.  Ids that were given never move, so factors and encoded ratings of earlier batches stay
+    valid, and a batch costs its own keys, not the table.  A lost write leaves a folder that
+    no reader counts; the next batch overwrites it and gives the same ids again.  One writer
+    at a time."""
+    spark = df.sparkSession
+    old = id_versions(spark, root)
+    keys = df.select(key).where(F.col(key).isNotNull())
+    start = 0
+    if old:
+        known = spark.read.parquet(*old)
+        start = (known.agg(F.max(id_col)).first()[0] or 0) + 1 if not known.isEmpty() else 0
+        keys = keys.distinct().join(known.select(key), key, "left_anti")
+    fresh = dense_index(keys, key, id_col)
+    if not old or not fresh.isEmpty():
+        fresh.select(key, (F.col(id_col) + F.lit(start)).cast("int").alias(id_col)).write.mode(
+            "overwrite").parquet(f"{root}/version={len(old)}")
+    return read_ids(spark, root)

@@ -258,6 +258,11 @@ SQL: dict[str, str] = {
         SELECT n_ratings, n_items, n_users,
                round(1.0 - n_ratings / (CAST(n_items AS DOUBLE) * n_users), 6) AS sparsity
         FROM ({WHOLE_COUNTS})""",
+    "sketched_category_counts": """
+        SELECT category, count(*) AS n_ratings, count(DISTINCT reviewerID) AS n_users,
+               count(DISTINCT asin) AS n_items, true AS within FROM cat_reviews GROUP BY category
+        UNION ALL SELECT 'all', count(*), count(DISTINCT reviewerID), count(DISTINCT asin), true
+        FROM cat_reviews""",
     "category_stats": f"""
         SELECT *, round(1.0 - n_ratings / (CAST(n_items AS DOUBLE) * n_users), 6) AS sparsity
         FROM ({CAT_COUNTS})""",
@@ -424,6 +429,10 @@ ALS_SQL: dict[str, str] = {
     "cohort_ratings": "SELECT * FROM cohort",
     "item_index": "SELECT * FROM item_ids",
     "user_index": "SELECT * FROM user_ids",
+    "growing_user_ids": """
+        SELECT reviewerID, CAST(row_number() OVER (ORDER BY NOT early, reviewerID) - 1 AS BIGINT) AS reviewerID_int
+        FROM (SELECT reviewerID, coalesce(bool_or(prodRating = 5), false) AS early FROM base_ratings
+              WHERE reviewerID IS NOT NULL GROUP BY reviewerID)""",
     "encode_base": "SELECT * FROM base_enc",
     "encode_comp": "SELECT * FROM comp_enc",
     "holdout_split": "SELECT * FROM split",

@@ -23,13 +23,14 @@ from companion.operators import popularity as P
 from companion.operators import ranking as RK
 from companion.operators import reshape as R
 from companion.operators import relation as REL
+from companion.operators import stats as ST
 from companion.operators import targets as TG
 from companion import schemas
 from companion.plans import preprocess as PRE
 from companion.plans import report as REPORT
 from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.popularity import TOP_K, popularity_pipeline
-from companion.session import scratch_path, table_exists
+from companion.session import materialize, scratch_path, table_exists
 from companion.sources import fixtures as FX
 from companion.sources.records import (read_records, record_counts, split_records,
                                        to_literal_lines, write_records)
@@ -316,6 +317,31 @@ def dataset_counts(spark, sf_dir):
     return _whole_report(spark, sf_dir)["counts"].drop("sparsity")
 
 
+@query
+def sketched_category_counts(spark, sf_dir):
+    """Distinct users and items per category and in all, from sketches stored per category:
+    the exact counts, and whether the merged sketches lie within 8 % (five times the
+    standard error) of them."""
+    reviews = prepared(spark, sf_dir, "reviews").join(
+        prepared(spark, sf_dir, "categories"), "asin")
+    stored = materialize(ST.count_sketches(reviews, ["category"]), "category-sketches")
+    every = F.lit("all").alias("category")
+    guess = ST.sketched_counts(stored, ["category"]).unionByName(
+        ST.sketched_counts(stored).select(every, "*"))
+    both = reviews.select(F.explode(F.array("category", F.lit("all"))).alias("category"),
+                          "reviewerID", "asin")
+    exact = both.groupBy("category").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.countDistinct("reviewerID").cast("long").alias("users"),
+        F.countDistinct("asin").cast("long").alias("items"))
+
+    def near(count, sketch):
+        return F.abs(F.col(sketch) - F.col(count)) <= 0.08 * F.col(count)
+
+    return guess.join(exact, "category").select(
+        "category", "n_ratings", F.col("users").alias("n_users"), F.col("items").alias("n_items"),
+        (near("users", "n_users") & near("items", "n_items")).alias("within"))
+
+
 @query
 def sparsity(spark, sf_dir):
     return _whole_report(spark, sf_dir)["counts"].select(
@@ -389,6 +415,16 @@ def user_index(spark, sf_dir):
     return _long_ids(_als(spark, sf_dir).prepare().out["users"])
 
 
+@query
+def growing_user_ids(spark, sf_dir):
+    """User ids given in two batches: raters with a rating of 5 first, then all of them.  The
+    second batch keeps the ids of the first."""
+    base = prepared(spark, sf_dir, "base")
+    root = scratch_path(spark, "growing-ids")
+    RK.extend_ids(base.where("prodRating = 5"), "reviewerID", "reviewerID_int", root)
+    return _long_ids(RK.extend_ids(base, "reviewerID", "reviewerID_int", root))
+
+
 @query
 def encode_base(spark, sf_dir):
     return _long_ids(_als(spark, sf_dir).prepare().out["base_enc"])

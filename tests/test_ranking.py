@@ -38,3 +38,30 @@ def test_top_k_per_key(spark):
     got = sorted((r.k, r.v, r.pos) for r in
                  top_k_per_key(df, ["k"], [F.col("v").desc()], 2).collect())
     assert got == [("a", 2, 2), ("a", 3, 1), ("b", 5, 1)]
+
+
+def test_ids_of_earlier_batches_never_move(spark, tmp_path):
+    from companion.operators.ranking import extend_ids, id_versions, read_ids
+
+    def batch(*keys):
+        return spark.createDataFrame([(k,) for k in keys], "k string")
+
+    def ids(df):
+        return {r.k: r.i for r in df.collect()}
+
+    root = f"file://{tmp_path}/ids"
+    first = ids(extend_ids(batch("m", "c", "m", None), "k", "i", root))
+    assert first == {"c": 0, "m": 1}
+    second = ids(extend_ids(batch("z", "a", "c"), "k", "i", root))
+    assert second == {"c": 0, "m": 1, "a": 2, "z": 3}
+    assert ids(extend_ids(batch("a", "m"), "k", "i", root)) == second      # nothing new
+    assert len(id_versions(spark, root)) == 2
+    # a write that was lost half way: files, but no _SUCCESS
+    batch("q").selectExpr("k", "99 AS i").write.parquet(f"{root}/version=2")
+    (tmp_path / "ids" / "version=2" / "_SUCCESS").unlink()
+    assert ids(read_ids(spark, root)) == second
+    third = ids(extend_ids(batch("b", "q"), "k", "i", root))
+    assert third == second | {"b": 4, "q": 5}
+    empty = f"file://{tmp_path}/none"
+    assert ids(extend_ids(batch(), "k", "i", empty)) == {}
+    assert ids(extend_ids(batch("x"), "k", "i", empty)) == {"x": 0}

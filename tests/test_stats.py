@@ -50,3 +50,17 @@ def test_approximate_distinct_counts(spark):
     r = S.dataset_counts(reviews, meta, rel, exact=False).first()
     assert r.n_users == pytest.approx(50000, rel=0.05)
     assert r.n_items == pytest.approx(7000, rel=0.05)
+
+
+def test_stored_sketches_merge(spark):
+    from companion.operators.stats import count_sketches, sketched_counts
+    rows = spark.range(60000).selectExpr(
+        "concat('u', id % 5000) AS reviewerID", "concat('p', id % 700) AS asin",
+        "concat('c', id % 7) AS category")
+    stored = count_sketches(rows, ["category"])
+    whole = sketched_counts(stored).first()
+    assert whole.n_ratings == 60000
+    assert abs(whole.n_users - 5000) < 300 and abs(whole.n_items - 700) < 42
+    for r in sketched_counts(stored, ["category"]).collect():
+        assert abs(r.n_users - 5000) < 300 and abs(r.n_items - 100) < 6
+    assert tuple(sketched_counts(count_sketches(rows.limit(0), ["category"])).first())[0] == 0
