@@ -22,6 +22,21 @@ def companion_relation(meta_flat: DataFrame, list_col: str = "also_bought",
     return meta_flat.select(*keep, "asin", F.explode_outer(list_col).alias("compProd"))
 
 
+def list_relations(meta_flat: DataFrame, named: tuple[str, ...] = ("also_bought",),
+                   rest: str = "related_rest") -> DataFrame:
+    """``list, asin, compProd``: every list of flattened open metadata, the named ones and
+    those that ``rest`` holds under whatever key.  Items without a list have no row, and a
+    value that is no list of texts has none either."""
+    lists = F.map_from_arrays(F.array(*[F.lit(n) for n in named]), F.array(*[F.col(n) for n in named]))
+    others = F.transform_values(
+        F.map_filter(F.try_variant_get(F.col(rest), "$", "map<string,variant>"),
+                     lambda key, _: ~key.isin(*named)),
+        lambda _, value: F.try_variant_get(value, "$", "array<string>"))
+    each = F.map_concat(lists, F.coalesce(others, F.create_map().cast("map<string,array<string>>")))
+    return (meta_flat.select("asin", F.explode(each).alias("list", "members"))
+            .select("list", "asin", F.explode("members").alias("compProd")))
+
+
 def companion_ids(rel: DataFrame) -> DataFrame:
     """Distinct non-null companion ids of a relation (one column ``asin``)."""
     return (rel.where(F.col("compProd").isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from companion.schemas import REST
+
 
 def project_reviews(df: DataFrame) -> DataFrame:
     """Keep the three review fields the pipelines use."""
@@ -12,12 +14,22 @@ def project_reviews(df: DataFrame) -> DataFrame:
 
 
 def flatten_metadata(df: DataFrame, nested: str = "related") -> DataFrame:
-    """Lift every field of the nested struct to a top-level column.
+    """Lift every field of the nested struct to a top-level column; one whose name is taken
+    carries the struct's name before its own (``related_rest`` beside ``rest``).
 
     Rows whose struct is null keep null in each lifted field."""
     inner = df.schema[nested].dataType.fieldNames()
     rest = [c for c in df.columns if c != nested]
-    return df.select(*rest, *[F.col(f"{nested}.{f}").alias(f) for f in inner])
+    return df.select(*rest, *[F.col(f"{nested}.{f}").alias(f"{nested}_{f}" if f in rest else f)
+                              for f in inner])
+
+
+def lift_keys(df: DataFrame, keys: dict[str, str], column: str = REST) -> DataFrame:
+    """Typed columns (``name: type``) from the objects of a VARIANT column, which stays.
+    A missing key and a value that the type cannot hold give null."""
+    return df.select("*", *[
+        F.try_variant_get(F.col(column), f"$['{name}']", kind).alias(name)
+        for name, kind in keys.items()])
 
 
 def as_base_ratings(df: DataFrame) -> DataFrame:

@@ -303,6 +303,22 @@ SQL: dict[str, str] = {
                CAST(NULL AS BIGINT) AS n_records, CAST(NULL AS BIGINT) AS n_corrupt FROM part
         UNION ALL SELECT NULL, NULL, CAST(count(*) AS BIGINT),
                CAST(count(*) FILTER (WHERE p_size = 3) AS BIGINT) FROM part""",
+    "open_metadata_records": """
+        SELECT m.asin, m.title, round(m.price, 6) AS price, p.p_brand AS brand,
+               p.p_type AS rank_type, CAST(p.p_size AS BIGINT) AS rank,
+               CAST(len(m.also_bought) AS BIGINT) AS n_also_bought
+        FROM metadata_flat m JOIN part p ON m.asin = CAST(p.p_partkey AS VARCHAR)""",
+    "list_relations": """
+        SELECT 'also_bought' AS list, asin, compProd FROM pairs
+        UNION ALL SELECT 'also_viewed', CAST(p_partkey AS VARCHAR), CAST(p_partkey + step AS VARCHAR)
+        FROM part, (VALUES (1), (2)) AS steps(step) WHERE p_size % 2 = 1
+        UNION ALL SELECT 'bought_together', CAST(p_partkey AS VARCHAR), CAST(p_partkey * 2 AS VARCHAR)
+        FROM part WHERE p_size % 3 = 0""",
+    "metadata_keys": """
+        SELECT 'record' AS level, key, CAST(count(*) AS BIGINT) AS n_records
+        FROM part, (VALUES ('brand'), ('salesRank')) AS keys(key) GROUP BY key
+        UNION ALL SELECT 'related', 'also_viewed', CAST(count(*) AS BIGINT) FROM part
+        UNION ALL SELECT 'related', 'bought_together', CAST(count(*) AS BIGINT) FROM part""",
     "csv_roundtrip": """
         SELECT 'relation' AS "table", asin AS a, compProd AS b, CAST(NULL AS DOUBLE) AS rating
         FROM meta_relation
@@ -562,6 +578,11 @@ ALS_SQL: dict[str, str] = {
 }
 
 
+# the same rows from record files and CSVs
+SQL["popularity_from_records"] = SQL["popularity_evaluation"]
+ALS_SQL["als_targets_from_records"] = ALS_SQL["als_targets"]
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: with_prelude(body) for name, body in SQL.items()}
     for name, body in ALS_SQL.items():

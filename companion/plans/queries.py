@@ -32,7 +32,7 @@ from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.popularity import TOP_K, popularity_pipeline
 from companion.session import materialize, scratch_path, table_exists
 from companion.sources import fixtures as FX
-from companion.sources.records import (read_records, record_counts, split_records,
+from companion.sources.records import (key_counts, read_records, record_counts, split_records,
                                        to_literal_lines, write_records)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -662,13 +662,53 @@ def record_cases(spark, sf_dir):
         none.alias("asin"), none.alias("title"), "n_records", "n_corrupt"))
 
 
+def _open_metadata(spark, sf_dir):
+    """Records with keys outside the schema, read, written by the open schema and read
+    again; flattened."""
+    raw, again = scratch_path(spark, "open-metadata"), scratch_path(spark, "open-metadata-again")
+    write_records(FX.open_metadata(spark, sf_dir, prepared(spark, sf_dir, "metadata")), raw)
+    write_records(read_records(spark, raw, schemas.OPEN_METADATA), again)
+    return R.flatten_metadata(read_records(spark, again, schemas.OPEN_METADATA))
+
+
+@query
+def open_metadata_records(spark, sf_dir):
+    """Named fields and keys that the schema does not name, one of them an object whose own
+    key differs by record."""
+    flat = R.lift_keys(_open_metadata(spark, sf_dir),
+                       {"brand": "string", "salesRank": "map<string,bigint>"})
+    return flat.select(
+        "asin", "title", r6("price").alias("price"), "brand",
+        F.map_keys("salesRank")[0].alias("rank_type"), F.map_values("salesRank")[0].alias("rank"),
+        F.size("also_bought").cast("long").alias("n_also_bought"))
+
+
+@query
+def list_relations(spark, sf_dir):
+    """Item to item rows of every list under ``related``, whether the schema names it or not."""
+    return REL.list_relations(_open_metadata(spark, sf_dir))
+
+
+@query
+def metadata_keys(spark, sf_dir):
+    """Keys that the metadata schema does not name, by level, and the records that hold them."""
+    flat = materialize(_open_metadata(spark, sf_dir).select(schemas.REST, "related_rest"), "metadata-keys")
+    return (key_counts(flat).select(F.lit("record").alias("level"), "*")
+            .unionByName(key_counts(flat, "related_rest").select(F.lit("related").alias("level"), "*")))
+
+
+def _csv_tables(spark, sf_dir):
+    """Relation, base and companion ratings read from the CSVs that PL1 wrote from record
+    files, as both models do."""
+    reviews_path, meta_path = _record_files(spark, sf_dir)
+    return PRE.read_outputs(spark, PRE.preprocess_files(
+        spark, reviews_path, meta_path, scratch_path(spark, "preprocessed")))
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     """PL1 from record files to CSV directories: all three tables read back, long form."""
-    reviews_path, meta_path = _record_files(spark, sf_dir)
-    paths = PRE.preprocess_files(spark, reviews_path, meta_path,
-                                 scratch_path(spark, "preprocessed"))
-    tables = PRE.read_outputs(spark, paths)
+    tables = _csv_tables(spark, sf_dir)
     rating = F.lit(None).cast("double")
     return (tables["relation"].select(F.lit("relation").alias("table"), F.col("asin").alias("a"),
                                       F.col("compProd").alias("b"), rating.alias("rating"))
@@ -678,6 +718,23 @@ def csv_roundtrip(spark, sf_dir):
                                                F.col("compProd").alias("b"), F.col("compRating").alias("rating"))))
 
 
+@query
+def popularity_from_records(spark, sf_dir):
+    """PL1 and PL2 joined up: record files, CSVs, recommendation and its metrics."""
+    t = _csv_tables(spark, sf_dir)
+    return popularity_pipeline(t["base"], t["comp"], t["relation"])["summary"].select(
+        "n_users", "zero_hit", *[r6(c).alias(c) for c in ("precision", "recall", "ndcg")])
+
+
+@query
+def als_targets_from_records(spark, sf_dir):
+    """PL1 and the data part of PL3 joined up: record files, CSVs, ids, split and targets."""
+    t = _csv_tables(spark, sf_dir)
+    out = ALSRun(t["base"], t["comp"], ALSConfig()).targets().out
+    return _long_ids(out["positives"].withColumn("positive", F.lit(True)).unionByName(
+        out["negatives"].withColumn("positive", F.lit(False))))
+
+
 @query
 def preprocess_summary(spark, sf_dir):
     """Row and column counts of the three preprocessing outputs."""

@@ -19,6 +19,21 @@ METADATA = T.StructType([
     ])),
 ])
 
+# the VARIANT field that keeps the keys of its level that no other field names
+REST = "rest"
+
+# the same record with every other key of the record and of "related" (further lists)
+OPEN_METADATA = T.StructType([
+    T.StructField("asin", T.StringType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("price", T.DoubleType()),
+    T.StructField("related", T.StructType([
+        T.StructField("also_bought", T.ArrayType(T.StringType())),
+        T.StructField(REST, T.VariantType()),
+    ])),
+    T.StructField(REST, T.VariantType()),
+])
+
 # base -> companion relation; compProd is null for items without a list
 RELATION = T.StructType([
     T.StructField("asin", T.StringType()),

@@ -13,6 +13,10 @@ TPC-H-like tables, linearly in their size:
   lines are enumerated.
 * metadata lists every part; parts that anchor no order carry a null
   ``related`` field, like catalogue items without an also-bought list.
+* open metadata adds keys outside the schema: the brand, a rank under a key that
+  differs by item (``salesRank: {p_type: p_size}``), and two more lists under
+  ``related``: parts of odd size were viewed with the next two part numbers, parts
+  whose size 3 divides are bought together with the part of twice their number.
 * category (for the two-category statistics) is the part's ``p_type``.
 """
 
@@ -95,6 +99,25 @@ def metadata(spark: SparkSession, sf_dir: str,
         "asin", "title", "price", "related")
 
 
+def open_metadata(spark: SparkSession, sf_dir: str, meta: DataFrame) -> DataFrame:
+    """``meta`` with the keys and lists of raw files that the schema does not name."""
+    part = table(spark, sf_dir, "part")
+
+    def ids(*numbers):
+        return F.array(*[n.cast("string") for n in numbers])
+
+    more = part.select(
+        F.col("p_partkey").cast("string").alias("asin"), F.col("p_brand").alias("brand"),
+        F.create_map("p_type", "p_size").alias("salesRank"),
+        F.when(F.col("p_size") % 2 == 1, ids(F.col("p_partkey") + 1, F.col("p_partkey") + 2)).alias("viewed"),
+        F.when(F.col("p_size") % 3 == 0, ids(F.col("p_partkey") * 2)).alias("together"))
+    return meta.join(more, "asin").select(
+        "asin", "title", "price", "brand", "salesRank",
+        F.struct(F.col("related.also_bought").alias("also_bought"),
+                 F.col("viewed").alias("also_viewed"),
+                 F.col("together").alias("bought_together")).alias("related"))
+
+
 def item_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``asin, category`` for every catalogue item."""
     return _items(spark, sf_dir).select("asin", "category")

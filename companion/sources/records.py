@@ -9,6 +9,12 @@ parses the line with single quotes allowed against an explicit schema.
 Lines that still do not parse are never dropped silently: ``split_records`` keeps
 them beside the records, ``record_counts`` counts both, and ``strict`` reading
 stops on the first file that has any.
+
+A schema is open where a struct level has a VARIANT field ``rest``: it receives every key
+of that level that no other field names, as one object (null where there is none), and
+``to_literal_lines`` spreads it back over the level it came from.  Of a key that a top
+level repeats, the last value counts, as in Python; a line that VARIANT cannot hold (keys
+repeated deeper inside ``rest``) counts as one that cannot be parsed.
 """
 
 from __future__ import annotations
@@ -17,8 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from companion.schemas import REST
 from companion.session import materialize
 
+OBJECT = "map<string,variant>"
+
 # A line's pieces: a quoted string (escapes included), a stretch without quotes, or a
 # quote that is never closed.
 _PIECE = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[^'"]++|['"]"""
@@ -54,17 +63,68 @@ def normalize_literals(line: F.Column) -> F.Column:
     return F.when(line.rlike(r"\b(?:None|True|False)\b|\\x"), cut).otherwise(line)
 
 
+def is_open(schema: T.DataType) -> bool:
+    """Whether a struct keeps, at some level, the keys that it does not name."""
+    return isinstance(schema, T.StructType) and any(
+        (f.name == REST and isinstance(f.dataType, T.VariantType)) or is_open(f.dataType)
+        for f in schema.fields)
+
+
+def _named(schema: T.StructType) -> list[T.StructField]:
+    return [f for f in schema.fields
+            if not (f.name == REST and isinstance(f.dataType, T.VariantType))]
+
+
+def _closed(schema: T.DataType) -> T.DataType:
+    """``schema`` without its ``rest`` fields."""
+    if not is_open(schema):
+        return schema
+    return T.StructType([T.StructField(f.name, _closed(f.dataType)) for f in _named(schema)])
+
+
+def _last_values(entries: F.Column) -> F.Column:
+    """A parsed map with the last value of every key."""
+    keys = F.map_keys(entries)
+    return F.map_from_entries(F.filter(F.map_entries(entries), lambda e, i: ~F.array_contains(
+        F.slice(keys, i + 2, F.size(keys)), e["key"])))
+
+
+def _with_rest(typed: F.Column, whole: F.Column, schema: T.StructType) -> list[F.Column]:
+    """The fields of an open struct: parsed ones from ``typed``, the others from ``whole``."""
+    names = [f.name for f in _named(schema)]
+    out = []
+    for field in schema.fields:
+        if field.name not in names:
+            others = F.map_filter(whole, lambda key, _: ~key.isin(*names))
+            value = F.when(F.size(others) > 0, F.to_variant_object(others))
+        elif is_open(field.dataType):
+            inner = F.try_variant_get(F.element_at(whole, F.lit(field.name)), "$", OBJECT)
+            value = F.when(typed[field.name].isNotNull(), F.struct(
+                *_with_rest(typed[field.name], inner, field.dataType)))
+        else:
+            value = typed[field.name]
+        out.append(value.alias(field.name))
+    return out
+
+
 def parse_records(lines: DataFrame, schema: T.StructType,
                   column: str = "value") -> DataFrame:
     """Parse a text column into ``schema`` plus ``_corrupt`` (the raw line of
     rows that failed to parse, else null)."""
-    with_corrupt = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
-    parsed = F.from_json(normalize_literals(F.col(column)), with_corrupt, _PARSE_OPTIONS)
-    return (lines.where(F.trim(F.col(column)) != "")
-            .select(parsed.alias("_r"), F.col(column).alias("_line"))
-            .select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields],
-                    F.when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(),
-                           F.col("_line")).alias("_corrupt")))
+    with_corrupt = T.StructType(
+        _closed(schema).fields + [T.StructField("_corrupt", T.StringType())])
+    text = normalize_literals(F.col(column))
+    rows = lines.where(F.trim(F.col(column)) != "").select(
+        F.from_json(text, with_corrupt, _PARSE_OPTIONS).alias("_r"), F.col(column).alias("_line"),
+        *([_last_values(F.from_json(text, OBJECT, _PARSE_OPTIONS)).alias("_whole")]
+          if is_open(schema) else []))
+    broken = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    fields = [F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields
+              if not is_open(schema)]
+    if is_open(schema):
+        broken |= F.col("_whole").isNull()
+        fields = _with_rest(F.col("_r"), F.col("_whole"), schema)
+    return rows.select(*fields, F.when(broken, F.col("_line")).alias("_corrupt"))
 
 
 def split_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -103,10 +163,33 @@ def corrupt_records(spark: SparkSession, path: str, schema: T.StructType) -> Dat
         F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("line"))
 
 
+def key_counts(df: DataFrame, column: str = REST) -> DataFrame:
+    """``key, n_records`` over the objects of a VARIANT column: what a schema leaves out."""
+    return (df.select(F.explode(F.map_keys(F.try_variant_get(F.col(column), "$", OBJECT))).alias("key"))
+            .groupBy("key").agg(F.count("*").alias("n_records")))
+
+
+def _whole_object(fields: dict[str, F.Column], schema: T.StructType) -> F.Column:
+    """One VARIANT object of an open level: its named fields and the keys of ``rest``."""
+    named = _named(schema)
+    values = [F.when(fields[f.name].isNotNull(), _whole_object(
+        {g.name: fields[f.name][g.name] for g in f.dataType.fields}, f.dataType))
+        if is_open(f.dataType) else fields[f.name] for f in named]
+    known = F.to_variant_object(F.struct(*[v.alias(f.name) for v, f in zip(values, named)]))
+    if len(named) == len(schema.fields):
+        return known
+    others = F.coalesce(F.try_variant_get(fields[REST], "$", OBJECT), F.create_map().cast(OBJECT))
+    return F.to_variant_object(F.map_concat(known.cast(OBJECT), F.map_filter(
+        others, lambda key, _: ~key.isin(*[f.name for f in named]))))
+
+
 def to_literal_lines(df: DataFrame) -> DataFrame:
     """One Python-literal line per row (``value`` column): single-quoted strings with
-    ``'`` and ``\\`` escaped, and ``None`` for null fields."""
+    ``'`` and ``\\`` escaped, and ``None`` for null fields.  The keys of ``rest`` stand
+    beside the named ones of their level, which win where both hold one."""
     js = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    if is_open(df.schema):
+        js = F.to_json(_whole_object({c: F.col(c) for c in df.columns}, df.schema))
 
     def bare(piece):
         for py, literal in _LITERALS:

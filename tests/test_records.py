@@ -5,8 +5,10 @@ import os
 import pytest
 
 from companion import schemas
-from companion.sources.records import (corrupt_records, read_records, record_counts,
-                                       split_records, write_records)
+from companion.operators.relation import list_relations
+from companion.operators.reshape import flatten_metadata, lift_keys
+from companion.sources.records import (corrupt_records, key_counts, read_records, record_counts,
+                                       split_records, to_literal_lines, write_records)
 from companion.sources.tables import read_csv_table, write_csv_table
 from companion.session import scratch_path
 
@@ -76,3 +78,65 @@ def test_csv_roundtrip_is_typed(spark):
     back = read_csv_table(spark, path, schemas.COMP_RATINGS)
     assert dict(back.dtypes)["compRating"] == "double"
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+OPEN_LINES = [
+    "{'asin': 'a', 'title': 'x', 'related': {'also_bought': ['p'], 'also_viewed': ['q', 'r']}, "
+    "'salesRank': {'Toys': 3}, 'verified': True, 'note': None}",
+    "{'asin': 'b', 'related': None, 'price': 1.5}",
+    "{'asin': 'c', 'related': {}, 'brand': 'it\\'s \"big\"', 'brand': \"None, it's\"}",
+    "{'asin': 'd', 'deep': {'k': 1, 'k': 2}}",       # VARIANT cannot hold it
+    "{'asin': 'e', 'related': {'also_viewed': 7}}",
+]
+
+
+def _as_python(row):
+    related = row.related and (row.related.also_bought, row.related.rest and row.related.rest.toPython())
+    return row.title, row.price, related, row.rest and row.rest.toPython()
+
+
+def test_keys_outside_the_schema_survive_read_write_and_parquet(spark, tmp_path):
+    path = os.path.join(tmp_path, "meta.json.gz")
+    with gzip.open(path, "wt") as fh:
+        fh.write("\n".join(OPEN_LINES) + "\n")
+    want = {
+        "a": ("x", None, (["p"], {"also_viewed": ["q", "r"]}),
+              {"salesRank": {"Toys": 3}, "verified": True, "note": None}),
+        "b": (None, 1.5, None, None),
+        "c": (None, None, (None, None), {"brand": "None, it's"}),
+        "e": (None, None, (None, {"also_viewed": 7}), None)}
+    first = read_records(spark, path, schemas.OPEN_METADATA, strict=False)
+    assert {r.asin: _as_python(r) for r in first.collect()} == want
+    assert [r.line for r in corrupt_records(spark, path, schemas.OPEN_METADATA).collect()] == [OPEN_LINES[3]]
+    stored, again = scratch_path(spark, "open-stored"), scratch_path(spark, "open-again")
+    first.write.parquet(stored)
+    write_records(spark.read.parquet(stored), again)
+    for line in spark.read.text(again).collect():
+        ast.literal_eval(line.value)
+    assert {r.asin: _as_python(r) for r in
+            read_records(spark, again, schemas.OPEN_METADATA).collect()} == want
+    counts = {r.key: r.n_records for r in key_counts(first).collect()}
+    assert counts == {"salesRank": 1, "verified": 1, "note": 1, "brand": 1}
+    flat = flatten_metadata(first)
+    assert flat.columns == ["asin", "title", "price", "rest", "also_bought", "related_rest"]
+    lifted = {r.asin: (r.brand, r.verified) for r in lift_keys(
+        flat, {"brand": "string", "verified": "boolean"}).collect()}
+    assert lifted == {"a": (None, True), "b": (None, None), "c": ("None, it's", None), "e": (None, None)}
+    # a value that is no list has no rows; neither has an item without lists
+    assert sorted(map(tuple, list_relations(flat).collect())) == [
+        ("also_bought", "a", "p"), ("also_viewed", "a", "q"), ("also_viewed", "a", "r")]
+
+
+def test_named_fields_win_over_equal_keys_of_rest(spark):
+    df = spark.sql("""SELECT 'a' AS asin, 't' AS title, 1D AS price,
+        named_struct('also_bought', array('p'), 'rest', parse_json('{"also_bought": 1, "z": []}')) AS related,
+        parse_json('{"title": "other", "y": "it\\'s"}') AS rest""")
+    assert [ast.literal_eval(r.value) for r in to_literal_lines(df).collect()] == [
+        {"asin": "a", "title": "t", "price": 1.0, "related": {"also_bought": ["p"], "z": []}, "y": "it's"}]
+
+
+def test_open_schema_on_an_empty_file(spark, tmp_path):
+    path = os.path.join(tmp_path, "empty.json")
+    open(path, "w").close()
+    back = read_records(spark, path, schemas.OPEN_METADATA)
+    assert back.schema == schemas.OPEN_METADATA and back.count() == 0
