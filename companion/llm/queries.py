@@ -202,6 +202,79 @@ LEFT JOIN found f ON f.r = d.r
 """
 
 
+def url_sql() -> str:
+    """Rules, template tree and purity in SQL.  The tree is decided level by level, as one
+    statement per level."""
+    u = url_filter
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, kind)
+            for kind, h, p in sorted(u.RULES, key=lambda r: -len(r[1] + r[2]))]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for c, name, _ in fits) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {c} THEN '{kind}'" for c, _, kind in fits) + " END"
+    levels, ways = [], []
+    for d in range(u.DEPTH + 1):
+        levels.append(f"""
+nodes{d} AS (SELECT host, path[1:{d}] AS prefix, path[{d + 1}] AS segment, sum(urls) AS urls
+             FROM level{d} WHERE len(path) > {d} GROUP BY ALL),
+wild{d} AS (SELECT host, prefix, segment FROM (
+              SELECT *, count(*) OVER w AS children, sum(urls) OVER w AS all_urls FROM nodes{d}
+              WINDOW w AS (PARTITION BY host, prefix))
+            WHERE children >= {u.MANY_CHILDREN} AND segment <> '*'
+              AND urls < CAST({u.SMALL_SHARE} AS DOUBLE) * all_urls),
+level{d + 1} AS (SELECT l.host, l.forms, l.urls, l.n, l.b,
+                   CASE WHEN w.segment IS NULL THEN l.path
+                        ELSE list_concat(l.path[1:{d}], ['*'], l.path[{d + 2}:]) END AS path
+            FROM level{d} l LEFT JOIN wild{d} w ON len(l.path) > {d} AND l.host = w.host
+             AND l.path[1:{d}] = w.prefix AND l.path[{d + 1}] = w.segment)""")
+        ways.append(f"""
+way{d + 1} AS (SELECT * EXCLUDE (p), CASE WHEN len(path) > {d + 1} THEN
+              ((sum(b) OVER above - sum(b) OVER below) + CAST({u.SMOOTHING} AS DOUBLE) * ((p + 0.5::DOUBLE) / 2.0::DOUBLE))
+              / ((sum(n) OVER above - sum(n) OVER below) + CAST({u.SMOOTHING} AS DOUBLE)) ELSE p END AS p
+            FROM way{d} WINDOW above AS (PARTITION BY host, path[1:{d + 1}]),
+                              below AS (PARTITION BY host, path[1:{d + 2}]))""")
+    smoothing = f"CAST({u.SMOOTHING} AS DOUBLE)"
+    return rf"""
+WITH cut AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+formed AS (
+  SELECT *, {rule} AS rule, {ruled} AS ruled, string_split(regexp_replace(array_to_string(list_transform(
+    regexp_extract_all(path, '[0-9A-Za-z]+|[^0-9A-Za-z]+'),
+    lambda x: CASE WHEN regexp_full_match(x, '[0-9a-fA-F]{{16,}}') THEN '{{h}}' ELSE x END), ''),
+    '[0-9]+', '{{n}}', 'g'), '/') AS steps FROM cut),
+rows AS (SELECT * EXCLUDE (steps), CASE WHEN len(steps) > {u.DEPTH}
+           THEN list_append(steps[1:{u.DEPTH}], '**') ELSE steps END AS forms FROM formed),
+level0 AS (
+  SELECT host, forms, count(*) AS urls, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS b,
+         forms AS path FROM rows GROUP BY host, forms),{','.join(levels)},
+way0 AS (SELECT host, path, sum(n) AS n, sum(b) AS b, 0.5::DOUBLE AS p
+         FROM level{u.DEPTH + 1} GROUP BY host, path),{','.join(ways)},
+branches AS (
+  SELECT *, list_max(list_transform(range(1, len(path) + 1), lambda i: CASE WHEN path[i] <> ''
+    AND NOT contains(path[i], '{{') AND path[i] <> '*' THEN i ELSE 0 END)) AS spot FROM way{u.DEPTH + 1}),
+kin AS (SELECT *, array_to_string(CASE WHEN spot > 0 THEN list_concat(path[1:spot - 1], ['+'], path[spot + 1:])
+                                  ELSE path END, '/') AS family FROM branches),
+shares AS (SELECT host, family, sum(b) / sum(n)::DOUBLE AS share
+           FROM kin WHERE n >= {u.MIN_LABELLED} GROUP BY host, family),
+compared AS (
+  SELECT k.*, coalesce(n >= {u.MIN_LABELLED} AND abs(b - n * share)
+    <= CAST({u.Z} AS DOUBLE) * sqrt(n * share * (1 - share)), false) AS alike
+  FROM kin k LEFT JOIN shares s ON k.host = s.host AND k.family = s.family),
+merged AS (SELECT host, family, sum(n) AS mn, sum(b) AS mb FROM compared WHERE alike
+           GROUP BY host, family HAVING count(*) > 1),
+rated AS (
+  SELECT c.host, c.path, CASE WHEN alike AND mn IS NOT NULL
+           THEN (mb + {smoothing} * 0.5::DOUBLE) / (mn + {smoothing})
+           ELSE (b + {smoothing} * ((p + 0.5::DOUBLE) / 2.0::DOUBLE)) / (n + {smoothing}) END AS purity
+  FROM compared c LEFT JOIN merged m ON c.host = m.host AND c.family = m.family)
+SELECT r.page_id, r.host, r.path, r.rule,
+       coalesce(r.ruled, CASE WHEN t.purity >= CAST({u.REJECT} AS DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict,
+       array_to_string(l.path, '/') AS template, t.purity
+FROM rows r JOIN level{u.DEPTH + 1} l ON r.host = l.host AND r.forms = l.forms
+JOIN rated t ON l.host = t.host AND l.path = t.path
+"""
+
+
 # The k best of one row's products with all others, by a running rank per query.
 TOP_K_SQL = """
 WITH rows AS (
@@ -218,6 +291,7 @@ WHERE rank <= 20
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licence_scan": licence_sql(),
+    "op5_url_filter": url_sql(),
     "op7_decontamination": DECONTAMINATION_SQL,
     "op10_source_mixing": MIXING_SQL,
     "op12_exact_top_k": TOP_K_SQL,

@@ -5,25 +5,34 @@ url's path starts with the rule's; the longest fitting rule decides.
 
 Method, for the other urls.  Per host, paths form a tree of segments.  Segments
 that vary are generalised: runs of digits and long hexadecimal strings by their
-form, and below a node with many children every child that carries a small share
-of its urls becomes ``*``.  Branches that differ in their last literal segment
-only are siblings; siblings whose share of blocked urls does not differ
-significantly from the family's are merged and share their counts.  A template is
-rejected when its smoothed purity, (blocked + A / 2) / (labelled + A), reaches
-``REJECT``: labels must outweigh ``A`` undecided ones, and a template without labels
-is never rejected.  Labels are the rules' own verdicts, and a table of judged urls
-where there is one.
+form, and, from the root down, below a node with many children every child that
+carries a small share of its urls becomes ``*``; what lies below children that
+became ``*`` is counted together before the next level is decided.  The tree has
+``DEPTH`` levels; what a path has beyond them is one segment ``**``.
+
+Branches that differ in their last literal segment only are siblings; labelled
+siblings whose share of blocked urls does not differ significantly from the family's
+are merged and share their counts.  A template is rejected when its smoothed purity,
+(blocked + A * pull) / (labelled + A), reaches ``REJECT``.  The pull of a merged branch
+is undecided (a half).  That of any other lies half way from undecided to the
+purity of the node above, smoothed in the same way up to the host, from the labels
+that are not below the node itself: each label counts once, what is said elsewhere on
+the host weakens with every level, and a template without labels follows its
+surroundings.  Labels are the rules' own verdicts, and a table of judged urls where
+there is one.
 
 Scale: urls are first counted by (host, generalised path), with map-side partial
 aggregation, so a host with a third of all urls sends each task's distinct paths
-only; the tree is built over those counts.  Counts that are joined back are
-written first, so both sides of a join are plain shuffles whose large partitions
-Spark can split.  DataFrame functions only.
+only; the tree is built over those counts.  A round gives every path its next wildcard,
+so there are as many rounds as a path has wildcards, at most one a level.  Counts that are
+joined back are written first, so both sides of a join are plain shuffles whose large
+partitions Spark can split.  DataFrame functions only.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no
 rule and is judged like a host of its own; an empty path is a tree's root; equal
 urls get equal verdicts; a null page_id keeps its row; an empty table gives no
-rows; without any label nothing is rejected; other columns are ignored whatever
+rows; without any label nothing is rejected; a url may have any number of
+segments; other columns are ignored whatever
 their names.
 """
 
@@ -42,6 +51,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+DEPTH = 16
 MANY_CHILDREN = 20
 SMALL_SHARE = 0.02
 MIN_LABELLED = 5
@@ -68,22 +78,25 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def forms(path: Column) -> Column:
-    """Segments with digit runs and long hexadecimal strings replaced by their form."""
+    """Segments with digit runs and long hexadecimal strings replaced by their form, and
+    those beyond the tree's depth by one."""
     hexed = F.regexp_replace(path, r"(?<![0-9A-Za-z])[0-9a-fA-F]{16,}(?![0-9A-Za-z])", "{h}")
-    return F.split(F.regexp_replace(hexed, "[0-9]+", "{n}"), "/")
+    parts = F.split(F.regexp_replace(hexed, "[0-9]+", "{n}"), "/")
+    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))
+                  ).otherwise(parts)
 
 
-def nodes(templates: DataFrame) -> DataFrame:
-    """One row per template and depth: its parent (a running hash) and segment."""
+def nodes(paths: DataFrame) -> DataFrame:
+    """One row per path and depth: its parent (a running hash) and segment."""
     steps = F.aggregate(
-        F.col("forms"), F.expr("named_struct('parent', 0L, 'out', cast(array() as array<bigint>))"),
+        F.col("path"), F.expr("named_struct('parent', 0L, 'out', cast(array() as array<bigint>))"),
         lambda acc, s: F.struct(F.xxhash64(acc["parent"], s).alias("parent"),
                                 F.concat(acc["out"], F.array(acc["parent"])).alias("out")))
-    return templates.withColumn("parents", steps["out"]).select(
-        "template_id", "host", "urls", F.posexplode(F.arrays_zip("parents", "forms")).alias(
+    return paths.withColumn("parents", steps["out"]).select(
+        "template_id", "host", "urls", F.posexplode(F.arrays_zip("parents", "path")).alias(
             "depth", "node")).select(
         "template_id", "host", "urls", "depth", F.col("node.parents").alias("parent"),
-        F.col("node.forms").alias("segment"))
+        F.col("node.path").alias("segment"))
 
 
 def template_key(host: Column, form: Column) -> Column:
@@ -92,22 +105,58 @@ def template_key(host: Column, form: Column) -> Column:
 
 
 def generalise(counted: DataFrame) -> DataFrame:
-    """(template_id, host, template): wildcards where a node's children vary."""
-    each = materialize(nodes(counted), "url-nodes")
-    children = materialize(each.groupBy("host", "parent", "segment").agg(
-        F.sum("urls").alias("urls")), "url-children")
-    totals = materialize(children.groupBy("host", "parent").agg(
-        F.count("*").alias("children"), F.sum("urls").alias("all_urls")).filter(
-        F.col("children") >= MANY_CHILDREN), "url-totals")
-    rare = materialize(children.join(totals, ["host", "parent"]).filter(
-        F.col("urls") < SMALL_SHARE * F.col("all_urls")).select(
-        "host", "parent", "segment", F.lit("*").alias("wild")), "url-wildcards")
-    named = each.join(rare, ["host", "parent", "segment"], "left")
-    return named.groupBy("template_id").agg(
-        F.first("host").alias("host"),
-        F.array_sort(F.collect_list(F.struct(
-            "depth", F.coalesce("wild", "segment").alias("s")))).alias("path")).select(
-        "template_id", "host", F.transform("path", lambda p: p["s"]).alias("path"))
+    """(template_id, host, path): wildcards where a node's children vary.
+
+    A round replaces the uppermost segment of each path that is due, so whatever lies
+    above a decision is final and nodes below a wildcard are one node."""
+    paths = counted.select("template_id", "host", "urls", F.col("forms").alias("path"))
+    while True:
+        each = materialize(nodes(paths), "url-nodes")
+        children = materialize(each.groupBy("host", "parent", "segment").agg(
+            F.sum("urls").alias("urls")), "url-children")
+        totals = children.groupBy("host", "parent").agg(
+            F.count("*").alias("children"), F.sum("urls").alias("all_urls")).filter(
+            F.col("children") >= MANY_CHILDREN)
+        rare = materialize(children.filter("segment <> '*'").join(totals, ["host", "parent"]).filter(
+            F.col("urls") < SMALL_SHARE * F.col("all_urls")).select(
+            "host", "parent", "segment"), "url-wildcards")
+        if rare.isEmpty():
+            return paths.drop("urls")
+        due = each.join(rare, ["host", "parent", "segment"]).groupBy("template_id").agg(
+            F.min("depth").alias("due"))
+        paths = materialize(paths.join(due, "template_id", "left").withColumn(
+            "path", F.transform("path", lambda s, i: F.when(i == F.col("due"), "*").otherwise(s))
+        ).drop("due"), "url-paths")
+
+
+def smoothed(blocked: Column, labelled: Column, pull: Column) -> Column:
+    return (blocked + F.lit(SMOOTHING) * pull) / (labelled + F.lit(SMOOTHING))
+
+
+def half_way(purity: Column) -> Column:
+    return (purity + F.lit(0.5)) / F.lit(2.0)
+
+
+def pulls(branches: DataFrame) -> DataFrame:
+    """(template_key, pull) of every template: the purity of the nodes above it, from the
+    labels beside the way down to it, weakened by every level."""
+    prefixes = branches.select(
+        "template_key", "host", "n", "b", F.posexplode(F.transform(
+            F.sequence(F.lit(1), F.size("path")), lambda d: template_key(
+                F.col("host"), F.slice("path", F.lit(1), d)))).alias("depth", "node"))
+    prefixes = materialize(prefixes, "url-prefixes")
+    counts = materialize(prefixes.groupBy("node").agg(
+        F.sum("n").alias("node_n"), F.sum("b").alias("node_b")), "url-node-counts")
+    # at most DEPTH + 1 nodes to a template
+    way = prefixes.join(counts, "node").groupBy("template_key").agg(F.array_sort(F.collect_list(
+        F.struct("depth", "node_n", "node_b"))).alias("way"))
+    beside = F.zip_with(
+        F.slice("way", F.lit(1), F.size("way") - 1), F.slice("way", F.lit(2), F.size("way")),
+        lambda above, below: F.struct((above["node_n"] - below["node_n"]).alias("n"),
+                                      (above["node_b"] - below["node_b"]).alias("b")))
+    purity = F.aggregate(F.filter(beside, lambda x: x.isNotNull()), F.lit(0.5),
+                         lambda p, x: smoothed(x["b"], x["n"], half_way(p)))
+    return way.select("template_key", half_way(purity).alias("pull"))
 
 
 def family(path: Column) -> Column:
@@ -127,28 +176,30 @@ def judge(labelled: DataFrame) -> DataFrame:
         F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")).withColumn(
         "template_id", template_key(F.col("host"), F.col("forms"))), "url-counts")
     named = generalise(counted).join(counted.select("template_id", "labelled", "blocked"), "template_id")
-    branch = named.withColumn("template", F.array_join("path", "/")).withColumn(
-        "family", F.array_join(family(F.col("path")), "/"))
-    branch = materialize(branch.drop("path"), "url-templates")
-    pooled = branch.groupBy("host", "family", "template").agg(
-        F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    pooled = materialize(pooled, "url-branches")
+    branch = materialize(named.withColumn("template", F.array_join("path", "/")).withColumn(
+        "family", F.array_join(family(F.col("path")), "/")).withColumn(
+        "template_key", template_key(F.col("host"), F.col("path"))), "url-templates")
+    pooled = materialize(branch.groupBy("template_key").agg(
+        F.first("host").alias("host"), F.first("family").alias("family"), F.first("path").alias("path"),
+        F.sum("labelled").alias("n"), F.sum("blocked").alias("b")), "url-branches")
     families = materialize(pooled.filter(F.col("n") >= MIN_LABELLED).groupBy("host", "family").agg(
         F.sum("n").alias("fn"), F.sum("b").alias("fb")), "url-families")
     share = F.col("fb") / F.col("fn")
     # within Z standard deviations; a family of one opinion has no variance
     near = F.abs(F.col("b") - F.col("n") * share) <= Z * F.sqrt(F.col("n") * share * (1 - share))
     alike = (F.col("n") >= MIN_LABELLED) & near
-    compared = materialize(pooled.join(families, ["host", "family"], "left").withColumn(
+    compared = materialize(pooled.drop("path").join(families, ["host", "family"], "left").withColumn(
         "alike", F.coalesce(alike, F.lit(False))), "url-compared")
     merged = materialize(compared.filter("alike").groupBy("host", "family").agg(
-        F.sum("n").alias("mn"), F.sum("b").alias("mb")), "url-merged")
-    joined = compared.join(merged, ["host", "family"], "left")
-    n = F.when(F.col("alike"), F.col("mn")).otherwise(F.col("n"))
-    b = F.when(F.col("alike"), F.col("mb")).otherwise(F.col("b"))
-    purity = (b + F.lit(SMOOTHING / 2)) / (n + F.lit(SMOOTHING))
-    rated = materialize(joined.select("host", "template", purity.alias("purity")), "url-rated")
-    return branch.select("template_id", "host", "template").join(rated, ["host", "template"]).select(
+        F.sum("n").alias("mn"), F.sum("b").alias("mb"), F.count("*").alias("members")).filter(
+        "members > 1"), "url-merged")
+    joined = compared.join(merged, ["host", "family"], "left").join(
+        materialize(pulls(pooled), "url-pulls"), "template_key")
+    purity = F.when(F.col("alike") & F.col("mn").isNotNull(),
+                    smoothed(F.col("mb"), F.col("mn"), F.lit(0.5))).otherwise(
+        smoothed(F.col("b"), F.col("n"), F.col("pull")))
+    rated = materialize(joined.select("template_key", purity.alias("purity")), "url-rated")
+    return branch.select("template_id", "template", "template_key").join(rated, "template_key").select(
         "template_id", "template", "purity",
         F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("judged"))
 

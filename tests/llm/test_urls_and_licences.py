@@ -28,48 +28,59 @@ def plain_templates(rows):
     form = {}
     for host, path, _ in rows:
         hexed = re.sub(r"(?<![0-9A-Za-z])[0-9a-fA-F]{16,}(?![0-9A-Za-z])", "{h}", path)
-        form[host, path] = tuple(re.sub("[0-9]+", "{n}", hexed).split("/"))
-    urls = collections.Counter()
-    children = collections.defaultdict(collections.Counter)
-    for host, path, _ in rows:
-        f = form[host, path]
-        urls[host, f] += 1
-        for i, s in enumerate(f):
-            children[host, f[:i]][s] += 1
-    def wild(host, f, i):
-        node = children[host, f[:i]]
-        return len(node) >= url_filter.MANY_CHILDREN and node[f[i]] < url_filter.SMALL_SHARE * sum(node.values())
-    named = {(h, f): tuple("*" if wild(h, f, i) else s for i, s in enumerate(f)) for h, f in urls}
+        steps = re.sub("[0-9]+", "{n}", hexed).split("/")
+        form[host, path] = tuple(steps[:url_filter.DEPTH] + ["**"] * (len(steps) > url_filter.DEPTH))
+    named = {(h, f): f for (h, _), f in form.items()}
+    # from the root down: a level is decided when all above it are
+    for depth in range(url_filter.DEPTH + 1):
+        children = collections.defaultdict(collections.Counter)
+        for host, path, _ in rows:
+            t = named[host, form[host, path]]
+            if len(t) > depth:
+                children[host, t[:depth]][t[depth]] += 1
+        for (host, f), t in named.items():
+            node = children[host, t[:depth]]
+            if (len(t) > depth and len(node) >= url_filter.MANY_CHILDREN
+                    and node[t[depth]] < url_filter.SMALL_SHARE * sum(node.values())):
+                named[host, f] = t[:depth] + ("*",) + t[depth + 1:]
     def family(t):
         literal = [i for i, s in enumerate(t) if s and "{" not in s and s != "*"]
         return t if not literal else t[:literal[-1]] + ("+",) + t[literal[-1] + 1:]
-    n, b = collections.Counter(), collections.Counter()
+    n, b, node_n, node_b = (collections.Counter() for _ in range(4))
     for host, path, label in rows:
         if label is not None:
             t = named[host, form[host, path]]
             n[host, t] += 1
             b[host, t] += label
+            for d in range(1, len(t) + 1):
+                node_n[host, t[:d]] += 1
+                node_b[host, t[:d]] += label
     fn, fb = collections.Counter(), collections.Counter()
     for (host, t), k in n.items():
         if k >= url_filter.MIN_LABELLED:
             fn[host, family(t)] += k
             fb[host, family(t)] += b[host, t]
-    alike = set()
+    alike = collections.defaultdict(list)
     for (host, t), k in n.items():
         key = host, family(t)
         if k >= url_filter.MIN_LABELLED:
             p = fb[key] / fn[key]
             if abs(b[host, t] - k * p) <= url_filter.Z * math.sqrt(k * p * (1 - p)):
-                alike.add((host, t))
-    mn, mb = collections.Counter(), collections.Counter()
-    for host, t in alike:
-        mn[host, family(t)] += n[host, t]
-        mb[host, family(t)] += b[host, t]
+                alike[key].append(t)
+    a = url_filter.SMOOTHING
     out = {}
     for (host, f), t in named.items():
-        key = (host, family(t)) if (host, t) in alike else None
-        total, bad = (mn[key], mb[key]) if key else (n[host, t], b[host, t])
-        out[host, f] = ("/".join(t), (bad + url_filter.SMOOTHING / 2) / (total + url_filter.SMOOTHING))
+        same = alike.get((host, family(t)), [])
+        if t in same and len(same) > 1:
+            total, bad, pull = sum(n[host, x] for x in same), sum(b[host, x] for x in same), 0.5
+        else:
+            purity = 0.5
+            for d in range(1, len(t)):
+                beside_n = node_n[host, t[:d]] - node_n[host, t[:d + 1]]
+                beside_b = node_b[host, t[:d]] - node_b[host, t[:d + 1]]
+                purity = (beside_b + a * (purity + 0.5) / 2) / (beside_n + a)
+            total, bad, pull = n[host, t], b[host, t], (purity + 0.5) / 2
+        out[host, f] = ("/".join(t), (bad + a * pull) / (total + a))
     return form, out
 
 
@@ -90,7 +101,10 @@ def check(df):
 
 
 def test_whole_pages_table(small):
-    assert {w[4] for w in check(small("pages"))} == {"allow", "block"}
+    rows = check(small("pages"))
+    assert {w[4] for w in rows} == {"allow", "block"}
+    # urls that no rule fits have a purity of their own
+    assert any(abs(w[6] - 0.5) > 0.01 for w in rows if w[3] is None)
 
 
 def test_url_cases(spark):
@@ -117,6 +131,37 @@ def test_judged_urls_reject_their_template(spark):
     assert rows == {1: "block", 2: "allow"}
 
 
+def test_two_variable_segments_are_one_template(spark):
+    names = [(f"n{chr(97 + i % 26)}{chr(97 + i // 26)}", f"s{chr(97 + i // 26)}{chr(97 + i % 26)}")
+             for i in range(60)]
+    judged = spark.createDataFrame([(f"http://bad.org/u/{a}/{b}", 1) for a, b in names]
+                                   + [("http://bad.org/about", 0)] * 3, "url string, blocked int")
+    df = spark.createDataFrame([(1, "http://bad.org/u/someone/words"), (2, "http://bad.org/about"),
+                                (3, "http://other.org/u/someone/words"), (4, "http://bad.org/u/a/b/more")],
+                               "page_id long, url string")
+    rows = {r.page_id: (r.template, r.verdict, r.purity) for r in
+            url_filter.filter_urls(df, judged=judged).collect()}
+    assert rows[1][:2] == ("/u/*/*", "block") and rows[2][:2] == ("/about", "allow")
+    assert rows[3][1:] == ("allow", 0.5)
+    # no labels of its own: it follows the node above, less than that node's own labels say
+    assert 0.5 < rows[4][2] < rows[1][2]
+
+
+def test_urls_of_any_depth(spark):
+    urls = ["http://h.net/fr" + f"/a{i % 3}b" * n for i, n in enumerate((1, 14, 15, 16, 17, 60000))]
+    urls += ["http://t.org/" + "/".join(chr(97 + (i * 7 + d) % 26) + chr(97 + i // 26) for d in range(20))
+             for i in range(60)] + ["http://star.org/*/" + chr(97 + i) for i in range(25)] * 3
+    check(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+
+
+def test_url_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/sf0.01/pages.parquet')")
+    got = queries.REGISTRY["op5_url_filter"](spark, "/root/testdata/sf0.01")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op5_url_filter']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def plain_canonical(text):
     out = re.sub(licence_scan.COPYRIGHT_LINE, "", (text or "").lower())
     for a, b in licence_scan.SPELLINGS:
