@@ -36,15 +36,19 @@ SPELLINGS = (
     ("https:", "http:"), ("per cent", "percent"), ("acknowledgement", "acknowledgment"),
 )
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-# The lines that are deleted: of those above, not the licence text that a line break has
-# brought there ("copyright notice and ...", "copyright holders be liable", "(c) you must").
-# The SQL has no look-ahead and keeps the wider pattern.
+# Words after which such a line is licence text that a line break has brought
+# there ("copyright notice and ...", "copyright holders be liable", "(c) you must").
+AFTER_COPYRIGHT = (
+    r"(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|disclaimers?|interests?|rights?|claims?|"
+    r"treat(?:y|ies)|protection|infringement|ownership|management|information|and|or|is|in|to|of|for|are|"
+    r"shall|that|as)\b")
+AFTER_SIGN = r"(?:you|the|any|this|if|each|an?|all|to|in|for|that|such|it|must|shall)\b"
+PROTECTED_LINE = (r"(?m)^[ \t*#/;-]*(?:copyright(?:[ \t]*$|[ \t,.;:]+" + AFTER_COPYRIGHT
+                  + r")|\(c\)[ \t]+" + AFTER_SIGN + ")")
+# The lines that are deleted: the first pattern without the second.
 COPYRIGHT_NOTICE = (
-    r"(?m)^[ \t*#/;-]*(?:copyright\b(?![ \t]*$)(?![ \t,.;:]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|"
-    r"statements?|disclaimers?|interests?|rights?|claims?|treat(?:y|ies)|protection|infringement|"
-    r"ownership|management|information|and|or|is|in|to|of|for|are|shall|that|as)\b)"
-    r"|\(c\)(?![ \t]+(?:you|the|any|this|if|each|an?|all|to|in|for|that|such|it|must|shall)\b)"
-    r"|©|all rights reserved)[^\n]*$")
+    r"(?m)^[ \t*#/;-]*(?:copyright\b(?![ \t]*$)(?![ \t,.;:]+" + AFTER_COPYRIGHT
+    + r")|\(c\)(?![ \t]+" + AFTER_SIGN + r")|©|all rights reserved)[^\n]*$")
 
 # Licence texts and notices.
 MIT = """MIT License

@@ -179,10 +179,13 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM docs d LEFT JOIN covered c ON d.r = c.r LEFT JOIN found f ON d.r = f.r
 """
 
-def licence_sql(known=licence_scan.KNOWN) -> str:
-    """The canonical form, digests and look-ups in SQL, over the same known texts."""
+def licence_sql(known=licence_scan.KNOWN + licence_scan.TITLED) -> str:
+    """The canonical form, digests and look-ups in SQL, over the same known texts.  Without
+    look-ahead, a line is deleted if it starts like a notice and is not protected."""
     def canonical(text: str) -> str:
-        out = f"regexp_replace(lower({text}), '{licence_scan.COPYRIGHT_LINE}', '', 'g')"
+        out = f"""array_to_string(list_transform(string_split(lower({text}), chr(10)), lambda line:
+            CASE WHEN regexp_matches(line, '{licence_scan.COPYRIGHT_LINE}')
+                 AND NOT regexp_matches(line, '{licence_scan.PROTECTED_LINE}') THEN '' ELSE line END), chr(10))"""
         for written, usual in licence_scan.SPELLINGS:
             out = f"replace({out}, '{written}', '{usual}')"
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
