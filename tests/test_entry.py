@@ -60,7 +60,9 @@ ALS = ["item_index", "user_index", "holdout_split", "training_set", "negative_sa
        "als_targets", "eligible_targets", "user_mean_rating", "cohort_ratings",
        "als_ideal_dcg", "pack_ratings", "als_user_metrics", "als_scored_instances",
        "als_list_sizes", "als_training_fit", "als_normal_equations", "als_factor_scores", "user_mean_of_rated", "sampled_users", "ideal_instances"]
-RECORDS = ["record_cases", "csv_roundtrip", "records_roundtrip", "metadata_records"]
+RECORDS = ["record_cases", "csv_roundtrip", "records_roundtrip", "metadata_records",
+           "open_metadata_records", "list_relations", "metadata_keys",
+           "popularity_from_records", "als_targets_from_records"]
 
 
 @pytest.mark.parametrize("name", FAST + ALS + RECORDS)
