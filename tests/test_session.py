@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from companion import session
 from companion.session import checkpoint_dir, materialize, run_tables
 
 
@@ -58,3 +59,22 @@ def test_materialize_cuts_lineage_into_the_shared_folder(spark):
     assert "FileScan parquet" in plan_of(out)
     assert checkpoint_dir(spark).replace("file:", "") .split("/")[1] in plan_of(out)
     assert sorted(r.twice for r in out.collect()) == [2 * i for i in range(50)]
+
+
+def test_larger_stage_tables_are_not_broadcast(spark, monkeypatch):
+    small = session.materialize(spark.range(100).withColumnRenamed("id", "k"), "small-side")
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1)
+    large = session.materialize(spark.range(100).withColumnRenamed("id", "k"), "large-side")
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    plans = [rows.join(side, "k")._jdf.queryExecution().sparkPlan().toString() for side in (small, large)]
+    assert "BroadcastHashJoin" in plans[0]
+    assert "BroadcastHashJoin" not in plans[1] and "SortMergeJoin" in plans[1]
+    assert rows.join(large, "k").count() == 100
+
+
+def test_total_bytes_of_folders_and_patterns(spark, tmp_path):
+    for name in ("a1", "a2", "b"):
+        (tmp_path / name).write_text("12345")
+    assert session.total_bytes(spark, str(tmp_path)) == 15
+    assert session.total_bytes(spark, str(tmp_path / "a*")) == 10
+    assert session.total_bytes(spark, str(tmp_path / "none*")) == 0
