@@ -120,3 +120,27 @@ def test_no_loop_and_few_exchanges(spark):
     assert sorted(names) == sorted(["dense-ids-productID_int", "negatives-train-users", "negatives-tests",
                                     "negatives-seen", "negatives-need"])
     assert out.count() == 4
+
+
+def test_few_draws_where_few_items_are_seen(spark, monkeypatch):
+    """Users who have seen much of their own but little of the pool make about as many draws as
+    they have tests, and those for whom that is too few get the same items in a second round."""
+    written = {}
+
+    def kept(df, name):
+        out = materialize(df, name)
+        written.setdefault(name, []).append(out)
+        return out
+
+    materialize = negatives.materialize
+    monkeypatch.setattr(negatives, "materialize", kept)
+    pool = list(range(3000))
+    train = [(u, (u * 31 + 7 * i) % 3000, 3) for u in range(20) for i in range(200)]
+    test = [(u, (u * 31 + 7 * (200 + i)) % 3000, 3) for u in range(20) for i in range(10)]
+    got = run(spark, test, train, pool)
+    assert len(got) == 2 * len(test)
+    assert sum(d.count() for d in written["negatives-draws"]) < 20 * 30      # 20 * 220 at once
+    assert len(written["negatives-draws"]) == 1
+    monkeypatch.setattr(negatives, "likely_draws", lambda *_: F.lit(3))
+    assert run(spark, test, train, pool) == got
+    assert len(written["negatives-draws"]) == 3
