@@ -36,9 +36,12 @@ def companions_per_user(reviews: DataFrame, rel: DataFrame,
     """``[by,] reviewerID, n_companions``: distinct rated companions per user.
 
     A semi join on the distinct companion ids replaces the reference's
-    review x relation join, which repeats each review once per base."""
+    review x relation join, which repeats each review once per base.  Few ratings repeat a
+    user's item, so rows are dealt by both before they are made distinct: a hash table per
+    file split would hold nearly all of its rows."""
     rated = reviews.join(_comp_ids(rel, by), [*by, "asin"], "left_semi")
     return (rated.where(F.col("reviewerID").isNotNull())
+            .select(*by, "reviewerID", "asin").repartition(*by, "reviewerID", "asin")
             .groupBy(*by, "reviewerID")
             .agg(F.countDistinct("asin").cast("long").alias("n_companions")))
 

@@ -64,3 +64,14 @@ def test_stored_sketches_merge(spark):
     for r in sketched_counts(stored, ["category"]).collect():
         assert abs(r.n_users - 5000) < 300 and abs(r.n_items - 100) < 6
     assert tuple(sketched_counts(count_sketches(rows.limit(0), ["category"])).first())[0] == 0
+
+
+def test_companions_per_user_deals_rows_before_they_are_made_distinct(spark):
+    reviews = spark.createDataFrame([("u", "c", 1.0), ("u", "c", 2.0), ("u", "d", 1.0), ("v", "x", 1.0),
+                                     (None, "c", 1.0)], "reviewerID string, asin string, overall double")
+    rel = spark.createDataFrame([("a", "c"), ("a", "d")], "asin string, compProd string")
+    out = S.companions_per_user(reviews, rel)
+    assert [tuple(r) for r in out.collect()] == [("u", 2)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_COL"):].split("BroadcastExchange")[0].split("Join")[0]
+    assert "Aggregate" not in below
