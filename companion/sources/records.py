@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from companion.schemas import REST
-from companion.session import materialize
+from companion.session import materialize, total_bytes
 
 OBJECT = "map<string,variant>"
+CORE_PARTS = 2                # parts of a core at least, so that uneven ones even out
+PART_BYTES = 1 << 25          # bytes (of gzip or plain text) that are parsed as one part
 
 # A line's pieces: a quoted string (escapes included), a stretch without quotes, or a
 # quote that is never closed.
@@ -83,10 +85,14 @@ def _closed(schema: T.DataType) -> T.DataType:
 
 
 def _last_values(entries: F.Column) -> F.Column:
-    """A parsed map with the last value of every key."""
-    keys = F.map_keys(entries)
-    return F.map_from_entries(F.filter(F.map_entries(entries), lambda e, i: ~F.array_contains(
-        F.slice(keys, i + 2, F.size(keys)), e["key"])))
+    """A parsed map with the last value of every key.  The map is bound as a variable: inside
+    the filter its expression would be parsed again for every key."""
+    def last(parsed):
+        return F.transform(F.array(F.map_keys(parsed)), lambda keys: F.map_from_entries(F.filter(
+            F.map_entries(parsed), lambda e, i: ~F.array_contains(
+                F.slice(keys, i + 2, F.size(keys)), e["key"]))))[0]
+
+    return F.transform(F.array(entries), last)[0]
 
 
 def _with_rest(typed: F.Column, whole: F.Column, schema: T.StructType) -> list[F.Column]:
@@ -130,8 +136,11 @@ def parse_records(lines: DataFrame, schema: T.StructType,
 def split_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Every non-blank line of Python-literal line files (gz or plain) as ``schema`` plus
     ``_corrupt``.  Gzip files are not splittable: the lines are spread over partitions
-    sized by their bytes before they are parsed."""
-    return parse_records(spark.read.text(path).hint("rebalance"), schema)
+    before they are parsed, about ``PART_BYTES`` of the files in each and enough of them for
+    every core.  Parsing costs far more than a line's bytes tell, so they aren't merged."""
+    size = total_bytes(spark, path)
+    parts = max(CORE_PARTS * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return parse_records(spark.read.text(path).repartition(parts), schema)
 
 
 def record_counts(parsed: DataFrame) -> DataFrame:
@@ -207,6 +216,12 @@ def to_literal_lines(df: DataFrame) -> DataFrame:
         js, bare, quoted)).otherwise(plain).alias("value"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain read of a table, dealt over all cores if its files make fewer tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(CORE_PARTS * cores)
+
+
 def write_records(df: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write ``df`` as gzipped Python-literal line records."""
     to_literal_lines(df).write.text(path, compression=compression)

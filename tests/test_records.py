@@ -3,10 +3,12 @@ import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from companion import schemas
 from companion.operators.relation import list_relations
 from companion.operators.reshape import flatten_metadata, lift_keys
+from companion.sources import records as REC
 from companion.sources.records import (corrupt_records, key_counts, read_records, record_counts,
                                        split_records, to_literal_lines, write_records)
 from companion.sources.tables import read_csv_table, write_csv_table
@@ -140,3 +142,25 @@ def test_open_schema_on_an_empty_file(spark, tmp_path):
     open(path, "w").close()
     back = read_records(spark, path, schemas.OPEN_METADATA)
     assert back.schema == schemas.OPEN_METADATA and back.count() == 0
+
+
+def test_one_file_is_parsed_by_all_cores(spark, tmp_path):
+    """A gzip file is one read task, and its lines are few bytes: all cores parse them."""
+    path = str(tmp_path / "one")
+    rows = spark.range(400).selectExpr("string(id) AS reviewerID", "'i' AS asin", "1.0D AS overall")
+    REC.write_records(rows.coalesce(1), path)
+    cores = spark.sparkContext.defaultParallelism
+    parsed = REC.split_records(spark, path, schemas.REVIEW)
+    sizes = [n for n in parsed.select("asin").rdd.glom().map(len).collect() if n]
+    assert len(sizes) >= cores and sum(sizes) == 400
+    assert REC.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() >= cores
+    many = spark.range(0, 10, 1, cores)
+    assert REC.spread(many) is many
+
+
+def test_a_line_is_parsed_once_for_its_keys(spark):
+    """Inside the filter of repeated keys the parsed map is a variable, not a parser."""
+    line = spark.createDataFrame([("{'a': 1, 'b': 2, 'a': 3}",)], "value string")
+    whole = REC._last_values(F.from_json("value", REC.OBJECT, REC._PARSE_OPTIONS)).alias("w")
+    assert line.select(F.to_json(whole)).first()[0] == '{"b":2,"a":3}'
+    assert line.select(whole)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
