@@ -18,9 +18,9 @@ evidence: a cue word of their kind before them speaks for them, a word like "ord
 or "version" right before them against them, and others are not examples.  The
 kind of a candidate is no feature, and the cue is none of an unchecked candidate, so
 what is learned carries over to candidates without a cue.  A kind's threshold rests
-on its own evidence, or on the base formats where there is too little.  Candidates of a bounded sample of about ``SAMPLE_DOCS`` documents,
-drawn by hash, are read; half of them teach and half calibrate.  The fitted trees
-become CASE expressions, so scoring is part of one projection over whole texts.
+on its own evidence, or on the base formats where there is too little.  The candidates of
+all documents are read: those of one half, drawn by hash, teach and the others calibrate.
+The fitted trees become CASE expressions, so scoring is part of one projection over whole texts.
 
 Scale: no shuffle over texts: every row is scanned, proposed, scored and judged
 where it lies.  Every generator starts at the head of a character run and takes
@@ -28,7 +28,7 @@ it possessively, so its time is linear in the text.
 
 Defined cases: a null text is empty; no span gives zero counts and the digest
 of the empty string; positions are code points, ends exclusive; repeated rows
-are kept; an empty table gives no rows; a sample without enough of both outcomes
+are kept; an empty table gives no rows; a table without enough of both outcomes
 trains no trees and adds no spans; other columns are ignored whatever their names.
 """
 
@@ -41,10 +41,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from companion.llm.common import hash_fraction, text_column
+from companion.llm.common import text_column
 from companion.session import materialize
 
-SAMPLE_DOCS = 20000           # documents whose candidates teach and calibrate
 PRECISION = 0.95              # wanted share of right spans above a threshold
 TREES = 8
 DEPTH = 3
@@ -247,12 +246,11 @@ class PiiModel:
             *[j["c"][n].alias(n) for n in ("start", "kind", "end", "value", "passes")])))
 
 
-def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Candidates of the sample as a table: kind, values (FEATURES), label, half (0 or 1)."""
-    total = docs.count()
+def examples(docs: DataFrame) -> DataFrame:
+    """Candidates of all documents as a table: kind, values (FEATURES), label, half (0 or 1).
+    Equal texts are in one half."""
     key = F.xxhash64(text_column(docs))
-    text = docs.filter(hash_fraction(key) < min(1.0, sample_docs / max(total, 1))).select(
-        text_column(docs).alias("text"), F.pmod(key, F.lit(2)).alias("half"))
+    text = docs.select(text_column(docs).alias("text"), F.pmod(key, F.lit(2)).alias("half"))
     spans = text.select("half", "text", candidates(F.col("text")).alias("spans"))
 
     def meets(c: Column, others: str) -> Column:
@@ -295,8 +293,8 @@ def calibrate(held: DataFrame, precision: float = PRECISION) -> tuple[float, dic
                   if k >= 0 and sum(r.n for r in rows) >= MIN_EVIDENCE}
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> PiiModel:
-    table = examples(docs, sample_docs)
+def fit(docs: DataFrame) -> PiiModel:
+    table = examples(docs)
     seen = {(r.half, r.label): r["count"] for r in table.groupBy("half", "label").count().collect()}
     if any(seen.get((half, label), 0) < 10 for half in (0, 1) for label in (0.0, 1.0)):
         return PiiModel([], float("inf"))

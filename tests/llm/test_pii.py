@@ -142,3 +142,10 @@ def test_fitted_model_adds_planted_spans(documents):
            for r in pii.find_pii(documents(asked), model).collect()}
     assert got == {1: ["id_number"], 2: ["id_number"], 3: ["national"], 4: ["national"],
                    5: ["account"], 6: ["account"], 7: []}
+
+
+def test_every_document_teaches_or_calibrates(spark):
+    docs = spark.range(26000).selectExpr("concat('to u', id, '@mail.org') AS text")
+    table = pii.examples(docs)
+    emails = table.filter("kind = 0").groupBy("half").count().collect()
+    assert sum(r["count"] for r in emails) == 26000 and len(emails) == 2
