@@ -142,3 +142,29 @@ def test_hot_user_rows_are_spread(spark, no_broadcast):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(r["count"] for r in sizes) < 10000 / 2
+
+
+def test_distinct_ratings_are_dealt_into_bounded_partitions(spark, no_broadcast, monkeypatch):
+    """As many tasks as the rows ask for, not as their bytes do; -0.0 and 0.0 are one rating."""
+    from companion.operators import cohort
+    monkeypatch.setattr(cohort, "DISTINCT_ROWS", 10, raising=False)
+    base = spark.createDataFrame(
+        [("u", f"p{i % 150}", float(i % 150 % 5)) for i in range(300)] + [("u", "p0", -0.0), (None, "p", 1.0)],
+        "reviewerID string, productID string, prodRating double")
+    comp = spark.createDataFrame([("u", f"c{i % 200}", 1.0) for i in range(400)] + [("u", "c0", None)] * 2,
+                                 "reviewerID string, compProd string, compRating double")
+    out = cohort.cohort_ratings(base, comp)
+    assert out["main"].count() == 150 and out["comp"].count() == 201
+    enc = cohort.encode_comp(comp, cohort.user_index(base), cohort.item_index(out["all"]))
+    assert enc.count() == 201
+    for df, n in ((out["main"], 31), (out["comp"], 41), (enc, 41)):
+        assert f", {n}), REPARTITION_BY_NUM" in plan_of(df)
+
+
+def test_rating_tables_are_halves_of_one_written_table(spark, monkeypatch):
+    """Base and companion ratings read ``flagged``; neither they nor the reviews are written for it."""
+    monkeypatch.setattr(queries, "_PREPARED", {})
+    halves = [queries.prepared(spark, SF_TINY, n) for n in ("base", "comp")]
+    assert {key[-1] for key in queries._PREPARED} == {"relation", "flagged"}
+    assert halves[0].columns == ["reviewerID", "productID", "prodRating"]
+    assert sum(h.count() for h in halves) == queries.prepared(spark, SF_TINY, "reviews").count()

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from companion import session
+from companion.plans.als import ALSRun
 from companion.session import checkpoint_dir, materialize, run_tables
 
 
@@ -78,3 +79,22 @@ def test_total_bytes_of_folders_and_patterns(spark, tmp_path):
     assert session.total_bytes(spark, str(tmp_path)) == 15
     assert session.total_bytes(spark, str(tmp_path / "a*")) == 10
     assert session.total_bytes(spark, str(tmp_path / "none*")) == 0
+
+
+def test_tables_are_written_by_bounded_tasks(spark, monkeypatch):
+    """Spark's own partition size gives way to the bound while a table is written, one that the
+    session sets does not."""
+    name, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    before = spark.conf.get(name)
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path: (seen.append(spark.conf.get(name)), parquet(self, path)))
+    run = ALSRun(None, None)
+    run._keep(spark.range(3), "bounded")
+    assert seen == [str(1 << 24)] and spark.conf.get(name) == before
+    spark.conf.set(name, "32m")
+    try:
+        run._keep(spark.range(3), "bounded")
+    finally:
+        spark.conf.unset(name)
+    assert seen[1:] == ["32m"]
