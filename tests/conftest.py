@@ -1,5 +1,6 @@
 import os
 import sys
+import time
 
 import pytest
 
@@ -10,6 +11,21 @@ from companion.session import local_session  # noqa: E402
 SF_TINY = "/root/testdata/sf0.001"
 
 
+def shuffles(spark) -> set[str]:
+    """Numbers of the shuffles that have files on disk."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = (str(b) for b in blocks.getAllBlocks().mkString(" ").split())
+    return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+
+def soon(check, seconds: float = 20) -> bool:
+    """Whether ``check()`` becomes true: Spark removes files in the background."""
+    end = time.time() + seconds
+    while not check() and time.time() < end:
+        time.sleep(0.2)
+    return check()
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("*", shuffle_partitions=8, app="companion-tests")

@@ -1,5 +1,7 @@
 """Rows-only ALS outputs checked by invariants on the smallest fixture."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 from companion.operators import als as A
 from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.queries import inputs
-from conftest import SF_TINY
+from companion.session import collect_garbage, run_tables
+from conftest import SF_TINY, shuffles, soon
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +103,40 @@ def test_scores_from_factor_tables_are_the_models(run, factors):
     assert all(abs(got[k] - want[k]) <= 1e-6 * max(1.0, abs(want[k])) for k in want)
     repeated = A.score_factors(users, items, asked.union(asked))
     assert repeated.count() == 2 * A.score_factors(users, items, asked).count()
+
+
+def small_run(spark, **settings) -> ALSRun:
+    """24 users who rate 12 main items and 30 companions."""
+    base = spark.range(24 * 12).selectExpr(
+        "concat('u', id % 24) AS reviewerID", "concat('p', id div 24) AS productID",
+        "CAST(1 + (id * 7) % 5 AS double) AS prodRating")
+    comp = spark.range(24 * 30).selectExpr(
+        "concat('u', id % 24) AS reviewerID", "concat('c', id div 24) AS compProd",
+        "CAST(1 + (id * 3) % 5 AS double) AS compRating")
+    return ALSRun(base, comp, ALSConfig(rank=4, **settings))
+
+
+def test_a_fitted_run_keeps_its_outputs_only(spark):
+    """Neither the tables on the way to a stage's output nor the shuffles of the training
+    iterations stay on disk while the run is in use."""
+    with run_tables(spark) as folder:
+        before = shuffles(spark)
+        run = small_run(spark).fit()
+
+        def gone() -> bool:
+            collect_garbage(spark)
+            return len(shuffles(spark) - before) <= 1
+        assert soon(gone)
+        names = {n.rsplit("-", 1)[0] for n in os.listdir(folder.removeprefix("file:"))}
+        assert names == {"als-base", "als-comp", "als-cohort", "dense-ids-productID", "dense-ids-reviewerID",
+                         "als-base-enc", "als-comp-enc", "als-split", "als-instances", "als-model",
+                         "als-predictions", "als-recommendations"}
+        assert run.out["recommendations"].select("reviewerID_int").distinct().count() == 24
+
+
+def test_checkpoints_do_not_change_the_model(spark):
+    with run_tables(spark):
+        rows = [sorted(small_run(spark, checkpoint_interval=n).fit().out["predictions"].collect())
+                for n in (1, 5)]
+        lazy = sorted(small_run(spark, materialize=False).fit().out["predictions"].collect())
+    assert rows[0] == rows[1] == lazy and len(rows[0]) > 100

@@ -7,6 +7,7 @@ import pytest
 from companion import session
 from companion.plans.als import ALSRun
 from companion.session import checkpoint_dir, materialize, run_tables
+from conftest import shuffles, soon
 
 
 def plan_of(df) -> str:
@@ -50,6 +51,28 @@ def test_a_closed_run_leaves_no_folder(spark):
     assert not os.path.exists(local(folder))
 
 
+def test_a_written_table_leaves_no_shuffle(spark):
+    before = shuffles(spark)
+    counted = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    outs = [materialize(counted, f"no-shuffle-{i}") for i in range(3)]
+    assert soon(lambda: not shuffles(spark) - before)
+    assert all(out.where("count > 141").count() == 7 for out in outs)
+    assert session._CLEANUP not in spark.conf.getAll
+
+
+def test_steps_go_and_their_result_stays(spark):
+    with run_tables(spark) as folder:
+        with session.steps_removed(spark) as keep:
+            step = materialize(spark.range(5), "step")
+            with session.steps_removed(spark) as keep_inner:
+                inner = keep_inner(materialize(step, "inner-step"), "inner")
+            out = keep(inner.selectExpr("id + 1 AS id"), "result")
+            assert inner.count() == 5
+        assert [n.split("-")[0] for n in os.listdir(local(folder))] == ["result"]
+        assert sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
+    assert not os.path.exists(local(folder))
+
+
 def local(path):
     return path.removeprefix("file:")
 

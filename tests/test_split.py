@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from companion.operators.split import holdout_split, training_set
+from companion.session import watched_plans
 
 
 def ratings(spark):
@@ -64,3 +65,12 @@ def test_rows_of_equal_digest_and_extreme_parts(spark):
                 train[r.reviewerID_int] = train.get(r.reviewerID_int, 0) + r.is_train
             assert train == counts
     assert holdout_split(rows.limit(0), "reviewerID_int", "productID_int", "compRating").count() == 0
+
+
+def test_digests_are_not_written(spark):
+    """A digest takes several times a row's bytes: every level computes it anew."""
+    with watched_plans() as stages:
+        holdout_split(ratings(spark), "reviewerID_int", "productID_int", "compRating", group_rows=2).count()
+    written = dict(stages)
+    assert "md5" not in written["first-rows"] and "md5" in written["first-cuts"]
+    assert len([n for n, _ in stages if n == "first-placed"]) > 1
