@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from companion.operators import als as A
+from companion.plans import queries
 from companion.plans.als import ALSConfig, ALSRun
 from companion.plans.queries import inputs
-from companion.session import collect_garbage, run_tables
+from companion.session import collect_garbage, run_tables, watched_plans
 from conftest import SF_TINY, shuffles, soon
 
 
@@ -140,3 +141,14 @@ def test_checkpoints_do_not_change_the_model(spark):
                 for n in (1, 5)]
         lazy = sorted(small_run(spark, materialize=False).fit().out["predictions"].collect())
     assert rows[0] == rows[1] == lazy and len(rows[0]) > 100
+
+
+def test_scored_rows_are_written_before_they_are_compared(spark):
+    """Rows that carry both factors are not on disk any more when they meet the model's scores."""
+    queries.forget_runs()
+    with watched_plans() as stages:
+        out = queries.REGISTRY["als_factor_scores"](spark, SF_TINY)
+    names = [name for name, _ in stages]
+    assert names.index("als-predictions") < names.index("als-recommendations") < names.index("als-factor-scores")
+    assert "factors" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("not equals_model").count() == 0 < out.count()
