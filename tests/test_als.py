@@ -143,6 +143,23 @@ def test_checkpoints_do_not_change_the_model(spark):
     assert rows[0] == rows[1] == lazy and len(rows[0]) > 100
 
 
+def test_sums_of_normal_equations_are_not_shuffled(spark, factors, run):
+    """Ratings meet by user and are summed there; only those of users with very many are summed
+    in every task first, and either way gives the same."""
+    def shuffled_sums(df) -> int:
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        return sum("Exchange" in parent for parent, line in zip(lines, lines[1:]) if "partial_sum" in line)
+
+    users, items = factors
+    plain = A.normal_equations(users, items, run["train"])
+    hot = A.normal_equations(users, items, run["train"], hot_ratings=20)
+    assert shuffled_sums(plain) == 0 and shuffled_sums(hot) == 1
+    found, other = ({r.reviewerID_int: r for r in df.collect()} for df in (plain, hot))
+    assert min(r.n_ratings for r in found.values()) <= 20 < max(r.n_ratings for r in found.values())
+    assert {u: (r.n_ratings, r.solved) for u, r in found.items()} == {
+        u: (r.n_ratings, r.solved) for u, r in other.items()}
+
+
 def test_scored_rows_are_written_before_they_are_compared(spark):
     """Rows that carry both factors are not on disk any more when they meet the model's scores."""
     queries.forget_runs()
