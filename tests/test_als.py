@@ -133,6 +133,9 @@ def test_a_fitted_run_keeps_its_outputs_only(spark):
                          "als-base-enc", "als-comp-enc", "als-split", "als-instances", "als-model",
                          "als-predictions", "als-recommendations"}
         assert run.out["recommendations"].select("reviewerID_int").distinct().count() == 24
+        summary = run.evaluate().out["summary"].first()
+        names = {n.rsplit("-", 1)[0] for n in os.listdir(folder.removeprefix("file:"))} - names
+        assert names == {"als-targets", "als-user-metrics"} and summary.n_users == run.out["user_metrics"].count()
 
 
 def test_checkpoints_do_not_change_the_model(spark):
